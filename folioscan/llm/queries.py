@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import mixing, quality_rules, sharding
+from folioscan.llm import langid, mixing, packing, quality_rules, sharding, toxicity
 from folioscan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+        "op6_language": lambda spark, d: langid.report(documents(spark, d)),
         "op7_interleaved_shards": lambda spark, d: sharding.report(documents(spark, d)),
+        "op8_best_fit_packing": lambda spark, d: packing.report(documents(spark, d), tokenizer_path()),
         "op9_quality_rules": lambda spark, d: quality_rules.report(documents(spark, d)),
         "op10_source_mix": lambda spark, d: mixing.report(documents(spark, d)),
     }
