@@ -33,10 +33,11 @@ def parts(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 
 def flat(run: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the lower-case parts, each between spaces; which are spaces; where each part begins."""
+    """Code points of the lower-case parts, each between spaces; which are spaces or signs; where each part begins."""
     low = [t.lower() for t in run]
     codes = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    # ASCII characters that aren't letters or digits part words like space does, so n-grams are of letters.
+    space = (codes < 48) | ((codes > 57) & (codes < 97)) | ((codes > 122) & (codes < 128))
     codes[space] = 32
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])[:-1]]).astype(np.int64)
     return codes, space, starts

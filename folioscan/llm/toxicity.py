@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from folioscan.llm.subwords import flat, grams, parts
 
-#: Lengths of n-grams, with the spaces around a word; log2 of the buckets; words in a passage.
-SIZES, BITS, PASSAGE = range(3, 7), 18, 4
+#: Lengths of n-grams, with the spaces around a word; log2 of the buckets; words in a passage; n-grams over which a shorter bag is averaged too.
+SIZES, BITS, PASSAGE, LEAST = range(3, 7), 18, 4, 40
 
 
 @dataclass
@@ -72,7 +72,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int
             if not some:
                 continue
             ids = np.concatenate([bags[i][0] for i in some])
-            share = np.concatenate([bags[i][1] / bags[i][1].sum() for i in some]).astype(np.float32)
+            share = np.concatenate([bags[i][1] / max(LEAST, bags[i][1].sum()) for i in some]).astype(np.float32)
             begin = np.concatenate([[0], np.cumsum([len(bags[i][0]) for i in some])[:-1]])
             mean = np.add.reduceat(e[ids] * share[:, None], begin)
             z = mean @ w + b
@@ -121,7 +121,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 5) -> Model:
     state = fit(joined, y, epochs=4)
     for _ in range(rounds):
         model = collapsed(state)
-        score = np.array([(model.weights[i] * c).sum() / max(1, c.sum()) for i, c in bags])
+        score = np.array([(model.weights[i] * c).sum() / max(LEAST, c.sum()) for i, c in bags])
         worst = [m[np.argmax(score[m])] for m in mine]
         state = fit([bags[k] for k in worst], y, epochs=3, start=state)
     return collapsed(state)
@@ -131,7 +131,7 @@ def scored(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of the toxic class for each text, by its most toxic passage."""
     best = np.full(len(texts), -np.inf)
     for owner, piece, bucket in passages([t or "" for t in texts]):
-        total = np.bincount(piece, model.weights[bucket], len(owner)) / np.maximum(np.bincount(piece, minlength=len(owner)), 1)
+        total = np.bincount(piece, model.weights[bucket], len(owner)) / np.maximum(np.bincount(piece, minlength=len(owner)), LEAST)
         np.maximum.at(best, owner, total)
     best = np.where(np.isfinite(best), best, 0.0) + model.bias
     return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
@@ -142,7 +142,7 @@ def held_out(third: int = 1, of: int = 3):
     return F.crc32(F.col("doc_id").cast("string")) % of == third
 
 
-def learned(documents: DataFrame, labels: DataFrame, most: int = 4000, most_bytes: int = 64_000_000) -> Model:
+def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_bytes: int = 64_000_000) -> Model:
     """Train on at most `most` labelled rows outside the held-out third, of at most most_bytes of text together."""
     key = F.xxhash64(F.lit(17), F.col("doc_id"))
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
