@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import langid, lm, mixing, packing, quality_rules, sharding, toxicity
+from folioscan.llm import langid, lm, mixing, ngram_join, packing, quality_rules, sharding, toxicity
 from folioscan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def tokenizer_path() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": lambda spark, d: ngram_join.report(documents(spark, d)),
         "op2_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op4_log_bilinear": lambda spark, d: lm.report(documents(spark, d)),
         "op6_language": lambda spark, d: langid.report(documents(spark, d)),
