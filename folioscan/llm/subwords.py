@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: A flat array holds about so many characters; longer texts are cut at a space.
-FLAT = 1_000_000
+FLAT = 250_000
 
 
 def parts(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, list[str]]]:

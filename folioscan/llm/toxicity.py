@@ -92,15 +92,42 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int
     return start
 
 
-def bagged(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Text and bag (buckets, counts) of each passage."""
-    owners, bags = [], []
+def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, counts = np.unique(buckets, return_counts=True)
+    return ids.astype(np.int32), counts.astype(np.float32)
+
+
+def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bag of each text."""
+    out = []
+    for text in texts:
+        found = [b for _, _, b in passages([text])]
+        out.append(bag(np.concatenate(found)))
+    return out
+
+
+def worst(texts: list[str], model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bag of the most toxic passage of each text."""
+    best, bags = np.full(len(texts), -np.inf), [bag(np.zeros(0, np.int64))] * len(texts)
     for owner, piece, bucket in passages(texts):
-        key, count = np.unique(piece << BITS | bucket, return_counts=True)
-        cut = np.searchsorted(key >> BITS, np.arange(len(owner) + 1))
-        owners.append(owner)
-        bags += [((key[a:z] & ((1 << BITS) - 1)).astype(np.int64), count[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
-    return np.concatenate(owners) if owners else np.zeros(0, np.int64), bags
+        total = averages(piece, bucket, len(owner), model)
+        order = np.lexsort((-total, owner))
+        first = order[np.unique(owner[order], return_index=True)[1]]
+        first = first[total[first] > best[owner[first]]]
+        chosen = np.zeros(len(owner), bool)
+        chosen[first] = True
+        some = chosen[piece]
+        piece, bucket = piece[some], bucket[some]
+        order = np.argsort(piece, kind="stable")
+        piece, bucket = piece[order], bucket[order]
+        for k in first:
+            a, z = np.searchsorted(piece, [k, k + 1])
+            best[owner[k]], bags[owner[k]] = total[k], bag(bucket[a:z])
+    return bags
+
+
+def averages(piece: np.ndarray, bucket: np.ndarray, n: int, model: Model) -> np.ndarray:
+    return np.bincount(piece, model.weights[bucket], n) / np.maximum(np.bincount(piece, minlength=n), LEAST)
 
 
 def collapsed(state: tuple) -> Model:
@@ -108,22 +135,14 @@ def collapsed(state: tuple) -> Model:
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 5) -> Model:
-    """Whole texts first, then in each round every text's most toxic passage."""
+def train(texts: list[str], labels: list[int], rounds: int = 8, first: int = 1500) -> Model:
+    """Whole texts first (so many of them), then in each round every text's most toxic passage."""
     y = np.array(labels, np.int64)
-    owner, bags = bagged(texts)
-    if not bags or len(set(labels)) < 2:
+    if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if 1 in labels else -50.0)
-    order = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order], np.arange(len(texts) + 1))
-    mine = [order[a:z] for a, z in zip(cut, cut[1:], strict=False)]
-    joined = [(np.concatenate([bags[k][0] for k in m]), np.concatenate([bags[k][1] for k in m])) for m in mine]
-    state = fit(joined, y, epochs=4)
+    state = fit(whole(texts[:first]), y[:first], epochs=4)
     for _ in range(rounds):
-        model = collapsed(state)
-        score = np.array([(model.weights[i] * c).sum() / max(LEAST, c.sum()) for i, c in bags])
-        worst = [m[np.argmax(score[m])] for m in mine]
-        state = fit([bags[k] for k in worst], y, epochs=3, start=state)
+        state = fit(worst(texts, collapsed(state)), y, epochs=3, start=state)
     return collapsed(state)
 
 
@@ -131,8 +150,7 @@ def scored(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of the toxic class for each text, by its most toxic passage."""
     best = np.full(len(texts), -np.inf)
     for owner, piece, bucket in passages([t or "" for t in texts]):
-        total = np.bincount(piece, model.weights[bucket], len(owner)) / np.maximum(np.bincount(piece, minlength=len(owner)), LEAST)
-        np.maximum.at(best, owner, total)
+        np.maximum.at(best, owner, averages(piece, bucket, len(owner), model))
     best = np.where(np.isfinite(best), best, 0.0) + model.bias
     return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
 
@@ -142,7 +160,7 @@ def held_out(third: int = 1, of: int = 3):
     return F.crc32(F.col("doc_id").cast("string")) % of == third
 
 
-def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_bytes: int = 64_000_000) -> Model:
+def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_bytes: int = 20_000_000) -> Model:
     """Train on at most `most` labelled rows outside the held-out third, of at most most_bytes of text together."""
     key = F.xxhash64(F.lit(17), F.col("doc_id"))
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
