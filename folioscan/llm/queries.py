@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import fingerprints, langid, lm, mixing, ngram_join, packing, quality_rules, sharding, toxicity
+from folioscan.llm import fingerprints, langid, lm, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
 from folioscan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op3_fingerprints": lambda spark, d: fingerprints.report(documents(spark, d)),
         "op4_log_bilinear": lambda spark, d: lm.report(documents(spark, d)),
+        "op5_warc_revisits": lambda spark, d: warc.report(spark.read.parquet(f"{d}/pages.parquet")),
         "op6_language": lambda spark, d: langid.report(documents(spark, d)),
         "op7_interleaved_shards": lambda spark, d: sharding.report(documents(spark, d)),
         "op8_best_fit_packing": lambda spark, d: packing.report(documents(spark, d), tokenizer_path()),
