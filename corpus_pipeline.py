@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.llm import mixing, ngram_join, packing, quality_rules, toxicity
 from folioscan.llm.queries import tokenizer_path
@@ -21,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic, by a model of the labelled ones among docs."""
     model = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, model, "_toxic").filter(f"_toxic < {TOXIC}").select(*docs.columns)
+    score = f"_toxic_{uuid.uuid4().hex}"  # no column of docs
+    return toxicity.with_score(docs, model, score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

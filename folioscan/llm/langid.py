@@ -115,7 +115,7 @@ def nearest(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def learned(documents: DataFrame, most: int = 400) -> Model:

@@ -71,7 +71,8 @@ def planned(df: DataFrame, weights: Sequence[float], share: float = 1.0, most_ep
 
 
 def keyed(df: DataFrame, seed: int, id_column: str = "doc_id") -> DataFrame:
-    return df.withColumns({"_doc": F.col(id_column), "_source": source_key(), "_size": word_count("text")}).withColumn("_key", random_key(seed, F.col("_doc")))
+    """_row (all columns of df), _doc, _source, _size and _key."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_column).alias("_doc"), source_key().alias("_source"), word_count("text").alias("_size"), random_key(seed, F.col(id_column)).alias("_key"))
 
 
 def small(per_source: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def mixed(df: DataFrame, weights: Sequence[float], share: float = 1.0, most_epoc
     _, cuts = planned(df, weights, share, most_epochs, seed)
     taken = contributions(keyed(df, seed), cuts)
     copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*df.columns)
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")
 
 
 def report(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:

@@ -5,8 +5,9 @@ are equal are one node, so that copies cost nothing. A run starts from all nodes
 tokens: at each level by one more random token of the set, the one that comes first in the level's hash order, so that
 two sets stay together with the probability of their similarity. A part that is small enough is compared as a whole,
 on the whole sets. Runs repeat until a pair at the threshold, in parts of the deepest level, is met with the target
-recall. What is still large at the deepest level, as sets that are all alike, is compared in blocks: nothing is left
-out, and no block holds more than a bounded number of sets and shingles.
+recall. A large part that a further token wouldn't halve, as its sets are all alike, and what is still large at the
+deepest level, are compared in blocks: nothing is left out, and no block holds more than a bounded number of sets and
+shingles.
 
 A pair may share a part in several runs. The parts of a node are carried along, so a pair counts in the first run
 that brings it together, and no pairs are written. Each part yields its nodes' numbers of links and, for the classes,
@@ -33,7 +34,7 @@ from folioscan.llm.common import settle
 
 MOST_WORDS = 300_000
 #: A frame of ids is broadcast up to so many rows.
-MOST_IDS = 500_000
+MOST_IDS = 150_000
 #: Most sets in a part, and most shingles of its sets together.
 PART, PART_SHINGLES = 256, 1 << 21
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -69,9 +70,10 @@ def signature(h: np.ndarray, coordinates: int) -> np.ndarray:
     """For each coordinate, the token that is first in its order, as a hash."""
     out = np.empty(coordinates, np.int64)
     for k in range(coordinates):
-        odd = np.uint64((MIX[1] * (2 * k + 1)) % 2**64 | 1)
-        x = (h ^ (h >> np.uint64(31))) * odd
-        out[k] = (x ^ (x >> np.uint64(32))).min().view(np.int64)
+        x = (h ^ np.uint64(MIX[2] * (k + 1) % 2**64)) * np.uint64(MIX[1])
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(MIX[0])
+        out[k] = (x ^ (x >> np.uint64(29))).min().view(np.int64)
     return out
 
 
@@ -89,7 +91,7 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
 
 
 def sketched(df: DataFrame, n: int, coordinates: int) -> DataFrame:
-    """doc_id, d1, d2 and n (the set's digest and size) and sig, of each row."""
+    """doc_id, text_hash, d1, d2 and n (the set's digest and size) and sig, of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +100,10 @@ def sketched(df: DataFrame, n: int, coordinates: int) -> DataFrame:
                 h = shingles(text, n)
                 rows.append((*digest(h), len(h), signature(h, coordinates) if len(h) else None))
             d1, d2, size, sig = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "text_hash", "d1", "d2", "n", "sig"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(sketch, "doc_id long, d1 long, d2 long, n int, sig array<long>")
+    own = df.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(sketch, "doc_id long, text_hash long, d1 long, d2 long, n int, sig array<long>")
 
 
 def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
@@ -114,10 +117,15 @@ def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
         parts = active.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("rep")).alias("_members")).filter("_size > 1")
         blocks = F.greatest(F.ceil(F.col("_size") / PART), F.ceil(F.col("_shingles") / PART_SHINGLES)).cast("int")
         active = settle(active.join(parts.withColumn("blocks", blocks), key))
-        own = active.select("rep", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
-        own = own if last else own.filter("blocks = 1")
+        final = F.lit(last) | (F.col("blocks") == 1)
+        if not last:
+            # A part that the next token wouldn't halve holds sets that are alike; splitting it on would only lose pairs.
+            largest = active.filter("blocks > 1").groupBy(key, f"k{d + 1}").count().groupBy(key).agg(F.max("count").alias("_largest"))
+            active = active.join(largest, key, "left")
+            final = final | F.coalesce(2 * F.col("_largest") > F.col("_size"), F.lit(False))
+        own = active.filter(final).select("rep", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
         found = own if found is None else found.unionByName(own)
-        active = active.filter("blocks > 1").drop("_size", "_shingles", "_members", "blocks")
+        active = active.filter(~final).drop("_size", "_shingles", "_members", "blocks", "_largest")
     return settle(found)
 
 
@@ -238,8 +246,8 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = settle(star.filter("a <> b").distinct())
 
 
-def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, depth: int = 3) -> DataFrame:
-    """doc_id, class_id (the least id of the class), n_links (other rows with J >= threshold) and n_copies (rows with the same set, this one included) of each row."""
+def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3) -> DataFrame:
+    """doc_id, class_id (the least id of the class), n_links (other rows with J >= threshold) and n_copies (rows with the same set, this one included) and text_hash of each row."""
     runs = runs_for(recall, threshold, depth)
     rows = settle(sketched(documents, n, runs * depth))
     digests = ["d1", "d2", "n"]
@@ -251,20 +259,23 @@ def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     per_node = found.groupBy("rep").agg(F.sum("links").alias("_links"))
     nodes = nodes.select(*digests, "rep", "w").join(per_node, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     nodes = nodes.select(*digests, F.coalesce("root", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
-    return rows.drop("sig").join(nodes, digests).select("doc_id", "class_id", "n_links", "n_copies")
+    return rows.drop("sig").join(nodes, digests).select("doc_id", "class_id", "n_links", "n_copies", "text_hash")
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:
     """The rows of documents, one of each class: that with the least id. Rows without an id stay."""
     classes = settle(joined(documents, **how))
-    dropped = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    rows = dropped.count()
-    kept = documents.join(small(dropped, rows), F.col("doc_id") == F.col("_dropped"), "left_anti")
-    ids = classes.filter("doc_id = class_id")
-    if ids.count() != ids.select("doc_id").distinct().count():  # repeated ids; this shuffles the texts
-        return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    named = classes.filter("doc_id IS NOT NULL")
+    if named.count() == named.select("doc_id").distinct().count():
+        dropped = named.filter("doc_id <> class_id").select("doc_id")
+        return documents.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*columns)
+    # Rows share ids: a row is told by its id and its text, and of equal rows one stays. This shuffles the texts.
+    chosen = named.filter("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("_h")).select(F.struct("class_id", "_h").alias("_chosen"))
+    rows = documents.select(F.struct(*columns).alias("_row"), F.struct(F.col("doc_id").cast("long").alias("class_id"), F.xxhash64("text").alias("_h")).alias("_chosen"))
+    kept = rows.join(chosen, "_chosen", "left_semi").dropDuplicates(["_chosen"]).select("_row.*")
+    return kept.unionByName(documents.filter("doc_id IS NULL"))
 
 
 def report(documents: DataFrame) -> DataFrame:
-    return joined(documents)
+    return joined(documents).drop("text_hash")

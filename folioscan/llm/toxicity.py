@@ -157,7 +157,7 @@ def scored(texts: list[str | None], model: Model) -> np.ndarray:
 
 def held_out(third: int = 1, of: int = 3):
     """Whether a row is kept from training: the remainder of the CRC-32 of its id's digits."""
-    return F.crc32(F.col("doc_id").cast("string")) % of == third
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == third, F.lit(False))
 
 
 def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_bytes: int = 20_000_000) -> Model:
