@@ -138,7 +138,9 @@ def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 def filtered(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with the columns of df."""
     renamed = df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c != text})
-    kept = judged(renamed, rules, text).filter("kept").select(*renamed.columns)
+    # A filter would be pushed below the projection and measure every text again for each rule that it names.
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))))
+    kept = judged(renamed, rules, text).select(*renamed.columns, once.alias("_kept")).select(*renamed.columns)
     return kept.withColumnsRenamed({f"_own_{c}": c for c in df.columns if c != text})
 
 
