@@ -35,7 +35,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&|]*)")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: White space of Unicode, and separators that only str.split() takes for it.
-ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MOST_WORDS = 300_000
 
 
