@@ -110,6 +110,26 @@ def test_language_model_is_normalised_and_learns_order():
     assert all(np.argmax(model.near[k] + model.far[(k - 1) % 6]) == (k + 1) % 6 for k in range(6))
 
 
+def test_language_model_learns_from_every_text(spark, odd, monkeypatch):
+    """More texts than a sample of 4,000 texts or 6 MB would hold: each is trained on, and classes come from all counts."""
+    words = [f"w{i}" for i in range(8)]
+    texts = [" ".join(words[(i + k) % 8] for k in range(12)) for i in range(4500)] + ["pad " * 150_000 + f"late{i} " * 9 for i in range(12)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], odd.schema).repartition(4)
+    used, once = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda rows, *rest: used.append(rows.count()) or once(rows, *rest))
+    model = lm.learned(docs, lm.counted(docs, 1000), few=1)
+    assert sum(used) == len(texts)
+    assert set(model.classes) == {lm.word_hash(w.encode()) for t in texts for w in set(t.split())}
+    kind = np.array([model.classes[lm.word_hash(w.encode())] for w in words])
+    for i in range(8):
+        a, b = kind[i], kind[(i + 1) % 8]
+        assert np.argmax((model.near[b] + model.far[a])[kind]) == (i + 2) % 8
+
+
+def test_number_of_classes_grows():
+    assert lm.class_count(10**4) == 1000 < lm.class_count(10**8) < lm.class_count(10**10)
+
+
 def test_rare_words_are_counted_by_the_join(spark, odd):
     """With no frequent words at all, every count goes through the shuffle."""
     train = odd.filter(~lm.held_out())
