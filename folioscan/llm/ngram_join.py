@@ -107,14 +107,14 @@ def sketched(df: DataFrame, n: int, coordinates: int) -> DataFrame:
 
 
 def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
-    """rep, run, leaf and blocks: the parts that the runs compare, of two nodes or more. blocks is over 1 for parts to be compared in blocks."""
+    """node, run, leaf and blocks: the parts that the runs compare, of two nodes or more. blocks is over 1 for parts to be compared in blocks."""
     paths = [F.struct(F.lit(r).alias("run"), *[F.xxhash64(F.lit(r), *[F.col("sig")[r * depth + k] for k in range(d + 1)]).alias(f"k{d}") for d in range(depth)]) for r in range(runs)]
-    active = nodes.select("rep", "n", F.explode(F.array(*paths)).alias("p")).select("rep", "n", "p.*")
+    active = nodes.select("node", "n", F.explode(F.array(*paths)).alias("p")).select("node", "n", "p.*")
     found = None
     for d in range(depth):
         last = d == depth - 1
         key = f"k{d}"
-        parts = active.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("rep")).alias("_members")).filter("_size > 1")
+        parts = active.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("node")).alias("_members")).filter("_size > 1")
         blocks = F.greatest(F.ceil(F.col("_size") / PART), F.ceil(F.col("_shingles") / PART_SHINGLES)).cast("int")
         active = settle(active.join(parts.withColumn("blocks", blocks), key))
         final = F.lit(last) | (F.col("blocks") == 1)
@@ -123,17 +123,17 @@ def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
             largest = active.filter("blocks > 1").groupBy(key, f"k{d + 1}").count().groupBy(key).agg(F.max("count").alias("_largest"))
             active = active.join(largest, key, "left")
             final = final | F.coalesce(2 * F.col("_largest") > F.col("_size"), F.lit(False))
-        own = active.filter(final).select("rep", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
+        own = active.filter(final).select("node", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
         found = own if found is None else found.unionByName(own)
         active = active.filter(~final).drop("_size", "_shingles", "_members", "blocks", "_largest")
     return settle(found)
 
 
 def compared(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of the sets of one part (or of two of its blocks): rep, links, root."""
+    """Links of the sets of one part (or of two of its blocks): node, links, root."""
     out = []
     for (_, _, cross), part in group.groupby(["leaf", "pair", "cross"], sort=False):
-        part = part.sort_values("rep", kind="stable")
+        part = part.sort_values("node", kind="stable")
         m = len(part)
         if m < 2:
             continue
@@ -169,7 +169,7 @@ def compared(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         # A pair counts where it meets first.
         met = np.stack(part["leaves"].to_list())[:, : int(part["run"].iloc[0])]
         new = linked & ~((met[:, None, :] == met[None, :, :]) & (met[:, None, :] != 0)).any(2) if met.shape[1] else linked
-        rep, weight = part["rep"].to_numpy(), part["w"].to_numpy()
+        node, weight = part["node"].to_numpy(), part["w"].to_numpy()
         links = new @ weight
         root = np.arange(m)
         while True:  # least connected position
@@ -180,8 +180,8 @@ def compared(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 break
             root = least
         some = linked.any(1)
-        out.append(pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": rep[root][some]}))
-    return pd.concat(out) if out else pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        out.append(pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": node[root][some]}))
+    return pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
 
 
 def small(ids: DataFrame, rows: int) -> DataFrame:
@@ -190,20 +190,20 @@ def small(ids: DataFrame, rows: int) -> DataFrame:
 
 
 def links(documents: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
-    """rep, links and root from each part."""
+    """node, links and root from each part."""
     # Parts with the same nodes as one of an earlier run bring nothing new.
     first = parts.groupBy("_size", "_members").agg(F.min("run").alias("run"))
     chosen = parts.join(first, ["_size", "_members", "run"])
-    met = parts.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("_met"))
+    met = parts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("_met"))
     all_leaves = F.array(*[F.coalesce(F.col("_met")[r], F.lit(0)) for r in range(runs)])
     member = F.struct("leaf", "run", "blocks")
-    chosen = chosen.groupBy("rep").agg(F.collect_list(member).alias("parts"))
-    reps = settle(chosen.join(met, "rep").select("rep", "parts", all_leaves.alias("leaves")).join(nodes.select("rep", "w", "d1", "d2"), "rep"))
+    chosen = chosen.groupBy("node").agg(F.collect_list(member).alias("parts"))
+    reps = settle(chosen.join(met, "node").select("node", "parts", all_leaves.alias("leaves")).join(nodes.select("node", "rep", "w", "d1", "d2"), "node"))
     count = reps.count()
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(small(reps, count), "rep")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "leaf", "pair", "cross", "run", "block", "rep", "w", "leaves", "hashes"]
+        names = ["slot", "leaf", "pair", "cross", "run", "block", "node", "w", "leaves", "hashes"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -214,18 +214,18 @@ def links(documents: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, thre
                         continue  # another row with the same id
                     for p in x["parts"]:
                         blocks = p["blocks"]
-                        own = xxhash.xxh32_intdigest(str(x["rep"]).encode(), 1) % blocks
+                        own = xxhash.xxh32_intdigest(str(x["node"]).encode(), 1) % blocks
                         for other in range(blocks):
                             pair = min(own, other) * blocks + max(own, other)
                             slot = xxhash.xxh32_intdigest(f"{p['leaf']} {pair}".encode()) % slots
-                            rows.append((slot, p["leaf"], pair, own != other, p["run"], own, x["rep"], x["w"], x["leaves"], h.tobytes()))
+                            rows.append((slot, p["leaf"], pair, own != other, p["run"], own, x["node"], x["w"], x["leaves"], h.tobytes()))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     # Parts are handed over in slots of some dozens of nodes, as most have only a few.
     slots = max(1, count // 32)
-    sets = texts.mapInArrow(spread, "slot int, leaf long, pair long, cross boolean, run int, block int, rep long, w long, leaves array<long>, hashes binary")
-    return sets.groupBy("slot").applyInPandas(lambda g: compared(g.drop_duplicates(["leaf", "pair", "cross", "rep"]), threshold), "rep long, links long, root long")
+    sets = texts.mapInArrow(spread, "slot int, leaf long, pair long, cross boolean, run int, block int, node long, w long, leaves array<long>, hashes binary")
+    return sets.groupBy("slot").applyInPandas(lambda g: compared(g.drop_duplicates(["leaf", "pair", "cross", "node"]), threshold), "node long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,14 +251,19 @@ def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     runs = runs_for(recall, threshold, depth)
     rows = settle(sketched(documents, n, runs * depth))
     digests = ["d1", "d2", "n"]
-    nodes = settle(rows.groupBy(*digests).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.any_value("sig").alias("sig")))
+    nodes = rows.groupBy(*digests).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.any_value("sig").alias("sig"))
+    # Two sets may have the same least id, so nodes have numbers; rep only finds their texts and names the classes.
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()))
     usable = nodes.filter("rep IS NOT NULL AND n > 0")
     parts = leaves(usable, runs, depth)
     found = settle(links(documents, usable, parts, n, threshold, runs))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_node = found.groupBy("rep").agg(F.sum("links").alias("_links"))
-    nodes = nodes.select(*digests, "rep", "w").join(per_node, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = nodes.select(*digests, F.coalesce("root", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
+    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
+    names = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("_class"))
+    classes = classes.join(names, "root").select("node", "_class")
+    per_node = found.groupBy("node").agg(F.sum("links").alias("_links"))
+    nodes = nodes.select(*digests, "node", "rep", "w").join(per_node, "node", "left").join(classes, "node", "left")
+    nodes = nodes.select(*digests, F.coalesce("_class", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
     return rows.drop("sig").join(nodes, digests).select("doc_id", "class_id", "n_links", "n_copies", "text_hash")
 
 

@@ -82,6 +82,14 @@ def test_joins_by_shuffle_beyond_the_broadcast_bound(odd, odd_rows, monkeypatch)
     assert result(odd) == brute(odd_rows)
 
 
+def test_join_of_different_texts_with_one_id(spark, odd, prose):
+    """Near copies of each other, and texts of which each has its own near copy."""
+    rng = random.Random(6)
+    a, b, c = prose(200), prose(200), prose(200)
+    rows = [(i, t, None, None, None) for i, t in [(1, a), (1, near(a, 1, rng)), (2, b), (2, c), (3, near(b, 1, rng)), (4, near(c, 1, rng)), (5, near(c, 2, rng))]]
+    assert result(spark.createDataFrame(rows, odd.schema)) == brute(rows)
+
+
 def test_deduplicated(clashing, odd_rows):
     kept = ngram_join.deduplicated(clashing)
     assert kept.columns == clashing.columns
