@@ -10,7 +10,7 @@ so far finds the most toxic.
 
 Null and empty texts have no n-gram and get the score of an empty bag, the class bias. Rows are scored alone, so
 repeated rows and ties need no care. Without labelled rows the model is empty and scores 0. Training uses at most
-`most` labelled rows, the first by a hash of their id; scoring covers every text as a whole.
+`most` labelled rows, the first by a hash of their id, less those that don't fit a bound of bytes; scoring covers every text as a whole.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from folioscan.llm.common import settle
 from folioscan.llm.subwords import flat, grams, parts
 
 #: Lengths of n-grams, with the spaces around a word; log2 of the buckets; words in a passage; n-grams over which a shorter bag is averaged too.
@@ -167,9 +167,17 @@ def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_byte
     some = some.withColumn("_key", key).orderBy("_key", "doc_id").limit(most)
     texts = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text IS NOT NULL")
     # Repeated rows can make this more than `most`.
-    texts = texts.withColumn("_bytes", F.octet_length("text")).orderBy("_key", "doc_id", "text").limit(most)
-    texts = texts.withColumn("_sum", F.sum("_bytes").over(Window.orderBy("_key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = texts.filter(F.col("_sum") <= most_bytes).select("text", "toxic").collect()
+    texts = settle(texts.withColumns({"_bytes": F.octet_length("text"), "_hash": F.xxhash64("text")}).orderBy("_key", "doc_id", "_hash").limit(most))
+    sizes = texts.groupBy("_key", "doc_id", "_hash").agg(F.sum("_bytes").alias("n")).orderBy("_key", "doc_id", "_hash").collect()
+    chosen, left = [], most_bytes
+    for r in sizes:  # a text that doesn't fit is passed over
+        if r["n"] <= left:
+            chosen.append((r["doc_id"], r["_hash"]))
+            left -= r["n"]
+    if sizes and not chosen:
+        raise ValueError(f"none of {len(sizes)} labelled texts has at most {most_bytes} bytes")
+    fits = documents.sparkSession.createDataFrame(chosen, "doc_id long, _hash long")
+    rows = texts.join(F.broadcast(fits), ["doc_id", "_hash"]).orderBy("_key", "doc_id", "_hash").select("text", "toxic").collect()
     return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
 

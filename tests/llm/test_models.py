@@ -50,6 +50,17 @@ def test_toxicity(spark, labelled, odd, none, clashing):
     assert toxicity.with_score(clashing, model, "other").columns == [*clashing.columns, "other"]
 
 
+def test_one_long_text_does_not_end_the_training_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: sorted(zip(texts, labels, strict=True)))
+    ids = [i for i in range(30) if not held(i, 3, 1)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    for long in ids[:3]:
+        docs = spark.createDataFrame([(i, "x" * 5000 if i == long else f"text {i}", None, None, None) for i in ids], odd.schema)
+        assert toxicity.learned(docs, labels, most_bytes=1000) == sorted((f"text {i}", i % 2) for i in ids if i != long)
+    with pytest.raises(ValueError):
+        toxicity.learned(docs, labels, most_bytes=2)
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     model = toxicity.train([r[1] for r in labelled[:150]], [r[5] for r in labelled[:150]], rounds=1)
     texts = [r[1] for r in labelled[150:200]] + [None, ""]
