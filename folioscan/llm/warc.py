@@ -9,7 +9,8 @@ A URL may have any share of all captures: captures are joined within ranges of t
 latest response of the URL's earlier ranges, so no task holds a whole URL.
 
 A null or empty URL matches nothing (status `no_url`). A null time matches nothing either (`no_time`). Captures at
-the same time are ordered by id; a response isn't earlier than itself. Repeated rows are resolved each. Bodies are
+the same time are ordered by id; a response isn't earlier than itself. A response without headers has none to keep, so
+the revisit's permitted ones are the result. Repeated rows are resolved each; an empty table gives no rows. Bodies are
 neither read nor moved; a resolved revisit names its response, by which they can be joined.
 """
 
@@ -28,11 +29,11 @@ RANGES = 512
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, www or m prefix, default port, fragment, tracking parameters and closing slash removed; host in lower case."""
+    """Scheme, www prefix, default port, fragment, tracking parameters and closing slash removed; host in lower case."""
     bare = F.regexp_replace(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*://", "")
     bare = F.regexp_replace(bare, r"#.*$", "")
     host = F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"))), "&")
@@ -50,7 +51,8 @@ def resolved(captures: DataFrame) -> DataFrame:
     usable = rows.filter("url_key IS NOT NULL AND at IS NOT NULL")
     span = usable.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
     low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // RANGES))
-    ranged = usable.withColumn("_range", F.expr(f"(at - {low}) div {width}"))
+    # Decimals, as the distance of two longs may not be one.
+    ranged = usable.withColumn("_range", F.expr(f"(cast(at AS decimal(20,0)) - {low}) div cast({width} AS decimal(20,0))"))
     response = F.struct("at", F.col("record_id").alias("id"), "headers")
     placed = F.when(F.col("kind") == "response", response)
     latest = ranged.filter("kind = 'response'").groupBy("url_key", "_range").agg(F.max(F.struct("at", "record_id")).alias("_last"))
@@ -74,7 +76,7 @@ def resolved(captures: DataFrame) -> DataFrame:
     agrees = F.when(both[0], weak[0] == weak[1]).when(both[1], dates[0] == dates[1]).otherwise(F.lit(True))
     status = F.when(F.col("url_key").isNull(), "no_url").when(F.col("at").isNull(), "no_time").when(F.col("_found").isNull(), "no_response").when(agrees, "resolved").otherwise("mismatch")
     renewed = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*RENEWED))
-    stored = F.map_filter(F.col("_found.headers"), lambda k, v: ~F.map_contains_key(renewed, k))
+    stored = F.map_filter(F.coalesce(F.col("_found.headers"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(renewed, k))
     out = joined.withColumn("status", status)
     merged = F.when(F.col("status") == "resolved", F.map_concat(stored, renewed)).otherwise(F.col("headers"))
     ok = F.col("status") == "resolved"
@@ -85,19 +87,21 @@ def captures(pages: DataFrame) -> DataFrame:
     """Captures as a crawl of pages would leave them: each page in full, in the order of ids, and a revisit of it after the last one.
 
     The entity tag is the body's digest, so a revisit agrees with the latest page of its URL only if that has its body.
+    Both captures of a page have its id; times stop at the largest long.
     """
     last = pages.agg(F.max("page_id")).first()[0] or 0
+    later = F.expr(f"cast(least(cast(page_id AS decimal(20,0)) + {last} + 1, {2**63 - 1}) AS long)")
     tag = F.concat(F.lit('"'), F.sha1(F.coalesce(F.col("html"), F.lit(""))), F.lit('"'))
     size = F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("string")
     narrow = settle(pages.select("page_id", "url", tag.alias("tag"), size.alias("size")))
     full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size"), F.lit("etag"), F.col("tag"), F.lit("date"), F.col("page_id").cast("string"))
-    again = F.create_map(F.lit("etag"), F.col("tag"), F.lit("date"), (F.col("page_id") + last + 1).cast("string"), F.lit("server"), F.lit("cache"))
-    responses = narrow.select((2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("at"), full.alias("headers"))
-    revisits = narrow.select((2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + last + 1).alias("at"), again.alias("headers"))
+    again = F.create_map(F.lit("etag"), F.col("tag"), F.lit("date"), later.cast("string"), F.lit("server"), F.lit("cache"))
+    responses = narrow.select(F.col("page_id").alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("at"), full.alias("headers"))
+    revisits = narrow.select(F.col("page_id").alias("record_id"), F.lit("revisit").alias("kind"), "url", later.alias("at"), again.alias("headers"))
     return responses.unionByName(revisits)
 
 
 def report(pages: DataFrame) -> DataFrame:
     found = resolved(captures(pages))
     names = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return found.select(F.expr("(record_id - 1) div 2").alias("page_id"), "url_key", "status", F.expr("response_id div 2").alias("response_page_id"), names.alias("headers"))
+    return found.select(F.col("record_id").alias("page_id"), "url_key", "status", F.col("response_id").alias("response_page_id"), names.alias("headers"))

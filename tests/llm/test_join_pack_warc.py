@@ -198,6 +198,23 @@ def test_revisits(spark):
     assert warc.resolved(spark.createDataFrame([], kinds)).count() == 0
 
 
+def test_revisits_of_odd_captures(spark):
+    """A response without headers, m. as a host of its own, and times and ids at both ends of the longs."""
+    kinds = "record_id long, kind string, url string, at long, headers map<string,string>"
+    low, high = -(2**63), 2**63 - 1
+    rows = [
+        (1, "response", "http://a.org/", 1, None), (2, "revisit", "http://a.org/", 2, {"etag": '"1"', "server": "x"}),
+        (3, "response", "http://m.b.org/", 1, {"etag": '"1"'}), (4, "revisit", "http://www.b.org/", 2, {"etag": '"1"'}),
+        (low, "response", "http://c.org/", low, {"etag": '"9"'}), (high, "revisit", "http://c.org/", high, {"etag": '"9"'}),
+    ]
+    found = {r["record_id"]: r for r in warc.resolved(spark.createDataFrame(rows, kinds)).collect()}
+    assert (found[2]["status"], found[2]["headers"]) == ("resolved", {"etag": '"1"'})
+    assert found[4]["status"] == "no_response"
+    assert (found[high]["status"], found[high]["response_id"]) == ("resolved", low)
+    wide = spark.createDataFrame([(low, "http://a.org", "x"), (high, "http://a.org", "x")], "page_id long, url string, html string")
+    assert sorted(r["status"] for r in warc.report(wide).collect()) == ["resolved", "resolved"]
+
+
 def test_sql(spark, data):
     import duckdb
 
