@@ -17,18 +17,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine (tests) may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a checkpoint in the session's shared folder.
 
-    The folder is spark.checkpoint.dir; only where a session has none (tests) a temporary one is set. Spark removes
-    the files once the frame is no longer referenced, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    Spark removes the files once the frame is no longer referenced, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it whole, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column | str) -> Column:
     """Words of a text, in order; a null text has none."""
     split = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE + "+")

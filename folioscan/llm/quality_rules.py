@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Each document is judged alone, so ties, repeated rows and an empty table need no care. A null text counts as an empty
-one, has no word and fails. A long text is processed whole: the cost of every metric is n log n in its words. Columns
-of the input that are named like a metric are replaced; all others are kept.
+one, has no word and fails. A long text is processed whole: the cost of every metric is n log n in its words. Of the
+input, judged() replaces columns that are named like a metric and filtered() keeps all columns, whatever their names.
+Windows of five words are told apart by the 64-bit hash of their words' 64-bit hashes, not by the words themselves.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import SPACE, WORD
+from folioscan.llm.common import SPACE, WORD, quoted
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -81,7 +82,7 @@ def repeated_words(hashes: str, n: int = 5) -> str:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the metrics of a text that the rules name. A null text counts as an empty one."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     df = df.withColumns({"_body": body, "_words": F.filter(F.split(body, SPACE + "+"), lambda w: w != "")})
     df = df.withColumns(
         {
@@ -137,11 +138,10 @@ def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
 def filtered(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with the columns of df."""
-    renamed = df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c != text})
+    whole = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_own"), F.col(quoted(text)).alias("_text"))
     # A filter would be pushed below the projection and measure every text again for each rule that it names.
     once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))))
-    kept = judged(renamed, rules, text).select(*renamed.columns, once.alias("_kept")).select(*renamed.columns)
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in df.columns if c != text})
+    return judged(whole, rules, "_text").select("_own", once.alias("_once")).select("_own.*")
 
 
 def report(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
