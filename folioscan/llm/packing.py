@@ -1,18 +1,25 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit: documents' pieces are sorted by falling length, and one step places all pieces of a length.
-A step sweeps the gaps from that length upward: each gap, the successor of the length, takes as many pieces as fit, in
-the order of the pieces' ranks, which settles conflicts; then the gaps are updated and the next length follows. Only
-when no gap fits are sequences opened.
-
-Lengths and gaps are whole numbers up to the capacity, so pieces of a length are interchangeable, and so are sequences
-with the same gap: a step is decided on counts, at most one for each length and each run of equal gaps. That table is
-bounded by the capacity, whatever the number of documents. The data is only ranked within its lengths, by sums over key
-ranges, and each piece then finds its sequence in the table; no task holds a length's pieces or a sequence's.
-
-A null text is an empty one and packs as its end token. Repeated rows are packed each. An empty table gives no rows.
-A text is split into words at white space, which no token crosses; that makes very long texts cheap, and lets a worker
-keep the tokens of words it has seen.
+Bulk-synchronous best-fit, in rounds over two tables of narrow rows: pieces without a place, and the gaps of open
+sequences. A round range-sorts its pieces and gaps together by size. A sweep over each range then gives every gap the largest piece that is no larger, in order of the
+pieces' ranks: a piece is put on a stack, a gap takes the top, so of the pieces that want a gap the highest in rank
+gets it and the others go on to the next. What a range can't match, pieces at its upper end and gaps at its lower, is
+matched across ranges: the counts of these decide which rank of which range meets which, and a join on that number
+brings them together. Matched pieces get their offsets, gaps shrink, and the next round begins.
+
+Only pieces of more than `band` of the longest one's length take part in a round, so that short ones are kept for the
+last gaps. A gap that holds several of the longest stands for as many slots, so that pieces that are all short need few
+rounds. Only if no gap is large enough for a round's shortest piece, sequences are opened: as many as the round's tokens
+need at least. Each round places pieces, and the longest length falls; the number of rounds depends on the lengths and
+not on the number of rows.
+
+Sizes are whole numbers up to the capacity, so the counts of sizes, from which a round's ranges are cut, are a table
+that the capacity bounds. Rows of one size are in the order of a random key and are cut into ranges like any others; no
+task holds more than a range. Ranges grow in number with the rows.
+
+A null text is an empty one and packs as its end token. Repeated rows are packed each, null ids too. An empty table
+gives no rows. Extra columns of the documents are not read. A text is split into words at white space, which no token
+crosses; that makes very long texts cheap, and lets a worker keep the tokens of words it has seen.
 """
 
 from __future__ import annotations
@@ -20,14 +27,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folioscan.llm.common import key_range, key_ranges, prefix_sums, random_key, settle
+from folioscan.llm.common import random_key, settle
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,71 +126,135 @@ def tokenized(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
-def fitted(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Place counts[length] pieces of each length: rows (length, first rank, first sequence, pieces in each sequence, offset).
+#: Pieces and gaps in a range, about; pieces and gaps are told apart by these.
+RANGE, PIECE, GAP = 50_000, 0, 1
 
-    A row holds for the ranks of its length from its first up to the next row's: rank r goes to sequence
-    first + (r - first rank) // each, at offset + (r - first rank) % each * length.
+def swept(rows: pd.DataFrame) -> pd.DataFrame:
+    """Match the pieces and slots of one range: each slot takes the largest piece before it that is still free.
+
+    Pieces come out once, with the sequence and slot they go to if any. Of slots only those without a piece come out.
+    _rank counts the pieces left from the top and the slots left from the bottom.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []  # of the gaps, smallest first
-    rows, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                heappush(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank, small = counts[length], 0, []
-        while left:
-            while order and order[0] < length:
-                small.append(heappop(order))
-            if order:
-                gap = order[0]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[heappop(order)]
-            else:
-                gap = capacity
-                first, n = opened, -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            whole = min(n, left // each)
-            rest = min(each, left - whole * each) if whole < n else 0
-            rows.append((length, rank, first, each, capacity - gap))
-            put(gap - each * length, first, whole)
-            put(gap - rest * length, first + whole, 1 if rest else 0)
-            put(gap, first + whole + (rest > 0), n - whole - (rest > 0))
-            rank += whole * each + rest
-            left -= whole * each + rest
-        for gap in small:
-            heappush(order, gap)
-    return rows
-
-
-def packed(pieces: DataFrame, capacity: int = 4096, seed: int = 3) -> DataFrame:
-    """Add sequence_id and offset to pieces."""
-    rows = settle(pieces.withColumn("_key", random_key(seed, F.col("doc_id"), F.col("piece"))))
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    table = np.array(sorted(fitted(counts, capacity)), np.int64).reshape(-1, 5)
-    plan = rows.sparkSession.sparkContext.broadcast(table)
-    ranged = rows.withColumns({"_range": key_range("_key", key_ranges(rows.sparkSession, sum(counts.values()))), "_one": F.lit(1)})
-    ranked = prefix_sums(ranged, ["length"], ["_key", "doc_id", "piece", "start", "ids_crc32"], "_one", "_rank").select(*pieces.columns, F.col("_rank").cast("long"))
-    names = [*pieces.columns, "sequence_id", "offset"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = (plan.value[:, 0] << 44) + plan.value[:, 1]
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            _, base, first, each, offset = plan.value[np.searchsorted(starts, (length << 44) + rank, "right") - 1].T
-            more = [pa.array(first + (rank - base) // each), pa.array(offset + (rank - base) % each * length)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names)
+    rows = rows.sort_values(["size", "kind", "key", "id", "slot"], kind="stable", ignore_index=True)
+    taker, stack, left = np.full(len(rows), -1), [], []
+    for at, kind in enumerate(rows["kind"].to_numpy()):
+        if kind == PIECE:
+            stack.append(at)
+        elif stack:
+            taker[stack.pop()] = at
+        else:
+            left.append(at)
+    chosen = np.concatenate([np.flatnonzero(rows["kind"].to_numpy() == PIECE), np.array(left, np.int64)])
+    rank = np.full(len(rows), -1)
+    rank[stack[::-1]], rank[left] = np.arange(len(stack)), np.arange(len(left))
+    out, to = rows.loc[chosen, ["_range", "kind", "id", "size"]].reset_index(drop=True), taker[chosen]
+    is_gap, found = out["kind"].to_numpy() == GAP, to >= 0
+    source = np.where(found, to, chosen)
+    for name in ("sequence", "slot", "free"):
+        own = rows["id" if name == "sequence" else name].to_numpy()[source]
+        out[name] = pd.array(np.where(found | is_gap, own, 0), "Int64")
+        out.loc[~(found | is_gap), name] = pd.NA
+    out["_rank"] = rank[chosen]
+    return out
+
 
-    return ranked.mapInArrow(place, schema)
+SWEPT = "_range long, kind int, id long, size int, sequence long, slot long, free int, _rank long"
+
+
+def across(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int, int]]:
+    """Match what ranges have left over, counts[range, kind]: the slots of a range take the pieces of the nearest lower one first.
+
+    Rows (number, range and first rank of pieces, range and first rank of slots, how many).
+    """
+    stack, out = [], []
+    for r in sorted({r for r, _ in counts}):
+        first, n = 0, counts.get((r, GAP), 0)
+        while n and stack:
+            low, begin, many = stack.pop()
+            k = min(n, many)
+            out.append((len(out), low, begin, r, first, k))
+            first, n = first + k, n - k
+            if many > k:
+                stack.append((low, begin + k, many - k))
+        if counts.get((r, PIECE)):
+            stack.append((r, 0, counts[r, PIECE]))
+    return out
+
+
+def matched(items: DataFrame, ranges: int) -> DataFrame:
+    """The pieces of items (kind, id, size, slot, free, key, _range) with sequence, slot and free of the gap they go to, null if none."""
+    rows = settle(items.groupBy("_range").applyInPandas(swept, SWEPT))
+    pieces = rows.filter(F.col("kind") == PIECE).select("_range", "id", "size", "sequence", "slot", "free", "_rank")
+    counts = {} if ranges == 1 else {(r["_range"], r["kind"]): r["n"] for r in rows.filter("_rank >= 0").groupBy("_range", "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    links = across(counts)
+    if not links:
+        return pieces.drop("_range", "_rank")
+    # Two rows for each range at most.
+    table = F.broadcast(rows.sparkSession.createDataFrame(links, "_no long, _low long, _a long, _high long, _b long, _n long"))
+    free = rows.filter((F.col("kind") == GAP) & (F.col("_rank") >= 0)).join(table, (F.col("_range") == F.col("_high")) & (F.col("_rank") >= F.col("_b")) & (F.col("_rank") < F.col("_b") + F.col("_n")))
+    free = free.select("_no", (F.col("_rank") - F.col("_b")).alias("_k"), F.col("sequence").alias("_sequence"), F.col("slot").alias("_slot"), F.col("free").alias("_free"))
+    wanting = pieces.join(table, (F.col("_range") == F.col("_low")) & (F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_a") + F.col("_n")), "left")
+    both = wanting.withColumn("_k", F.col("_rank") - F.col("_a")).join(free, ["_no", "_k"], "left")
+    return settle(both.select("id", "size", *[F.coalesce(c, f"_{c}").alias(c) for c in ("sequence", "slot", "free")]))
+
+
+def ranged(items: DataFrame, counts: dict[tuple[int, int], int]) -> tuple[DataFrame, int]:
+    """Add _range, a number that grows with (size, kind, key), and tell how many ranges there are. counts[size, kind] of items."""
+    total, before, table = sum(counts.values()), 0, []
+    for (size, kind), n in sorted(counts.items()):
+        table.append((size, kind, before, n))
+        before += n
+    cells = F.broadcast(items.sparkSession.createDataFrame(table, "size int, kind int, _first long, _n long"))
+    place = F.expr(f"(_first + shiftright(key, 32) * _n div {2**31}) div {RANGE}")
+    return items.join(cells, ["size", "kind"]).withColumn("_range", place).drop("_first", "_n"), -(-total // RANGE)
+
+
+def placed(pieces: DataFrame, capacity: int, band: float = 0.25, seed: int = 3) -> DataFrame:
+    """id, sequence and offset of each of pieces (id long, size int)."""
+    spark = pieces.sparkSession
+    waiting, gaps, done, opened = [pieces], None, [], 0
+    lengths = dict(pieces.groupBy("size").count().collect())  # at most capacity rows
+    while lengths:
+        longest = max(lengths)
+        least = min(size for size in lengths if size > band * longest)
+        widths = {} if gaps is None else {size: n for size, n in gaps.groupBy("size").count().collect() if size >= least}  # at most capacity rows
+        if not widths:
+            tokens = sum(size * n for size, n in lengths.items() if size >= least)
+            n = -(-tokens // capacity)
+            more = spark.range(opened, opened + n).select("id", F.lit(capacity).alias("size"))
+            gaps, opened, widths = more if gaps is None else gaps.unionByName(more), opened + n, {capacity: n}
+        takers = reduce(DataFrame.unionByName, [w.filter(F.col("size") >= least) for w in waiting])
+        takers = takers.select(F.lit(PIECE).alias("kind"), "id", "size", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("free"))
+        slots = F.greatest(F.expr(f"size div {longest}"), F.lit(1).cast("long"))
+        offered = gaps.filter(F.col("size") >= least).withColumn("_slots", slots)
+        offered = offered.select(F.lit(GAP).alias("kind"), "id", F.expr("size div _slots").cast("int").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1)).alias("slot"), F.col("size").alias("free"))
+        items = takers.unionByName(offered).withColumn("key", random_key(seed, F.col("kind"), F.col("id"), F.col("slot")))
+        sizes = {(size, PIECE): n for size, n in lengths.items() if size >= least}
+        for gap, n in widths.items():
+            m = max(1, gap // longest)
+            sizes[gap // m, GAP] = sizes.get((gap // m, GAP), 0) + n * m
+        found = matched(*ranged(items, sizes))
+        # A sequence takes at most as many pieces as its capacity.
+        earlier = Window.partitionBy("sequence").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.lit(capacity) - F.col("free") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
+        new = settle(found.filter("sequence IS NOT NULL").select("id", "size", "sequence", offset.cast("long").alias("offset")))
+        done.append(new.select("id", "sequence", "offset"))
+        used = new.groupBy(F.col("sequence").alias("id")).agg(F.sum("size").cast("int").alias("_used"))
+        gaps = settle(gaps.join(used, "id", "left").select("id", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")).filter("size > 0"))
+        waiting = [*(w.filter(F.col("size") < least) for w in waiting), found.filter("sequence IS NULL").select("id", "size")]
+        for size, n in new.groupBy("size").count().collect():
+            lengths[size] -= n
+            if not lengths[size]:
+                del lengths[size]
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "id long, sequence long, offset long")
+
+
+def packed(pieces: DataFrame, capacity: int = 4096, band: float = 0.25) -> DataFrame:
+    """Add sequence_id and offset to pieces."""
+    rows = settle(pieces.withColumn("_id", F.monotonically_increasing_id()))
+    found = placed(rows.select(F.col("_id").alias("id"), F.col("length").cast("int").alias("size")), capacity, band)
+    found = found.select(F.col("id").alias("_id"), F.col("sequence").alias("sequence_id"), "offset")
+    return rows.join(found, "_id").select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

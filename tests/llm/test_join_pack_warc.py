@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import itertools
 import random
@@ -134,29 +135,59 @@ def test_packing_of_nothing_and_extra_columns(none, clashing):
     assert packing.report(clashing, tokenizer_path()).count() > 0
 
 
-def test_fitted_is_best_fit_decreasing():
-    rng = random.Random(1)
-    for _ in range(200):
-        capacity = rng.choice([10, 37, 100])
-        counts = {rng.randint(1, capacity): rng.randint(1, 30) for _ in range(rng.randint(1, 8))}
-        gaps = []
-        for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                fits = [g for g in gaps if g >= length]
-                if fits:
-                    gaps.remove(min(fits))
-                    gaps.append(min(fits) - length)
-                else:
-                    gaps.append(capacity - length)
-        rows = packing.fitted(counts, capacity)
-        used = collections.defaultdict(int)
-        for i, (length, rank, first, each, offset) in enumerate(rows):
-            end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else counts[length]
-            for r in range(rank, end):
-                at = first + (r - rank) // each
-                assert used[at] == offset + (r - rank) % each * length
-                used[at] += length
-        assert len(used) == len(gaps) and sorted(used.values()) == sorted(capacity - g for g in gaps)
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("kind", "size"), [("mixed", 50_000), ("mixed", 40), ("equal", 70), ("tiny", 50_000), ("one", 50_000)])
+def test_rounds_pack_like_best_fit_decreasing(spark, monkeypatch, kind, size):
+    """In one range and in many, offsets are gapless, each piece has one place, and few sequences more are used than by a serial packer."""
+    monkeypatch.setattr(packing, "RANGE", size)
+    rng, capacity = random.Random(7), 1000
+    lengths = {"mixed": [min(1000, int(rng.expovariate(1 / 120)) + 1) for _ in range(900)], "equal": [300] * 400 + [rng.randint(1, 100) for _ in range(100)], "tiny": [2] * 3000, "one": [1000]}[kind]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "id long, size int").repartition(3)
+    found = packing.placed(rows, capacity).collect()
+    assert sorted(r["id"] for r in found) == list(range(len(lengths)))
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["sequence"]].append((r["offset"], lengths[r["id"]]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(by) <= best_fit_decreasing(lengths, capacity) + 1
+
+
+def test_sweep_gives_each_slot_its_largest_piece():
+    """A range's sweep, and what is left of ranges matched across them, equal a serial successor sweep over all."""
+    import pandas as pd
+
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = [(rng.randint(1, 30), rng.choice([packing.PIECE, packing.GAP]), i) for i in range(rng.randint(1, 40))]
+        order = sorted(rows)
+        stack, expected = [], set()
+        for size, kind, i in order:
+            if kind == packing.PIECE:
+                stack.append(i)
+            elif stack:
+                expected.add((stack.pop(), i))
+        cut = rng.randint(1, 6)
+        frame = pd.DataFrame([(k * cut // len(order), kind, i, size, 0, size, i) for k, (size, kind, i) in enumerate(order)], columns=["_range", "kind", "id", "size", "slot", "free", "key"])
+        out = pd.concat([packing.swept(g) for _, g in frame.groupby("_range")])
+        got = {(r.id, r.sequence) for r in out[(out.kind == packing.PIECE) & (out._rank < 0)].itertuples()}
+        left = {(r._1, r.kind, r._8): (r.id if r.kind == packing.PIECE else r.sequence) for r in out[out._rank >= 0].itertuples()}
+        counts = collections.Counter(k[:2] for k in left)
+        for _, low, a, high, b, n in packing.across(counts):
+            got |= {(left[low, packing.PIECE, a + k], left[high, packing.GAP, b + k]) for k in range(n)}
+        assert got == expected
 
 
 def test_sequences_have_the_ids(odd):
