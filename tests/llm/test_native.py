@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -159,7 +160,7 @@ def test_dotted_names_pass_the_filter(spark, odd):
 
 
 def pieces(text):
-    return set(re.findall(r"[^\n]{1,128}\n*", text or ""))
+    return set(collections.Counter(re.findall(r"[^\n]{1,128}\n*", text or "")).items())
 
 
 def alike(a, b):
@@ -167,7 +168,7 @@ def alike(a, b):
 
 
 def test_fingerprints(spark, prose, odd, none):
-    texts = ["\n".join(prose(12) for _ in range(n)) for n in (1, 3, 9, 40, 200)] + [None, "", "x", "é" * 700, prose(3000)]
+    texts = ["\n".join(prose(12) for _ in range(n)) for n in (1, 3, 9, 40, 200)] + [None, "", "x", "é" * 700, prose(3000), "same\n" * 700 + "end", "same\n" * 900 + "end"]
     docs = spark.createDataFrame([(3 * i, t, None, None, None) for i, t in enumerate(texts)], odd.schema)
     got = {r["doc_id"] // 3: r for r in fingerprints.report(docs.repartition(3)).collect()}
     for i, t in enumerate(texts):
@@ -187,8 +188,38 @@ def test_fingerprints_of_odd_rows(odd, odd_rows):
     assert len({r["fingerprint"] for r in rows if r["doc_id"] in (104, 105)}) == 1
 
 
+def test_fingerprints_of_any_ids(spark, odd, monkeypatch):
+    """Ids at both ends of the longs, dense ids among them, many null ids: the next text is that of the next id."""
+    monkeypatch.setattr(fingerprints, "ROWS", 4)
+    ids = [-(2**63), -(2**40), *range(1000, 1200), 2**40, 2**63 - 1] + [None] * 60
+    rows = [(i, f"text {k}", None, None, None) for k, i in enumerate(ids)]
+    got = fingerprints.followed(spark.createDataFrame(rows, odd.schema).repartition(5)).collect()
+    assert len(got) == len(rows)
+    follows = {r["text"]: r["next"] for r in got}
+    named = [t for i, t, *_ in rows if i is not None]
+    assert [follows[t] for t in named[:-1]] == named[1:]
+    text, seen = named[0], set()
+    while text not in seen:
+        seen.add(text)
+        text = follows[text]
+    assert len(seen) == len(rows) and text == named[0]
+
+
 def test_peeling_recovers_digests(spark):
-    sets = spark.createDataFrame([(1, [11, 12, 13], [12, 14]), (2, [5], [5])], "id long, a array<long>, b array<long>")
-    cells = fingerprints.subtracted(fingerprints.tables(sets, ["a", "b"], ["id"], 1), [(0, 1)], ["id"])
-    rows = fingerprints.peeled(cells, ["id"], 1).collect()
-    assert {(r["id"], r["found"], r["n"]) for r in rows} == {(1, 11, 1), (1, 13, 1), (1, 14, -1)}
+    rng = random.Random(8)
+    cases = [([11, 12, 13], [12, 14]), ([5], [5]), ([], [1, 2]), ([], []), (list(range(100)), list(range(50, 170))), (list(range(3000)), list(range(3, 3001)))]
+    for _ in range(60):
+        common, sides = rng.sample(range(10**9), rng.randint(0, 60)), [rng.sample(range(10**9, 2 * 10**9), rng.randint(0, 40)) for _ in range(2)]
+        cases.append((common + sides[0], common + sides[1]))
+    sets = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "id long, a array<long>, b array<long>")
+    found = fingerprints.differences(sets, [("a", "b", "d")]).collect()
+    assert len(found) == len(cases)
+    for r in found:
+        a, b = map(set, cases[r["id"]])
+        assert set(r["d"]["removed"]) == a - b and set(r["d"]["added"]) == b - a and len(r["d"]["removed"]) + len(r["d"]["added"]) == len(a ^ b)
+
+
+def test_compared_texts_give_the_differing_paragraphs(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc"), (2, None, ""), (3, "a\na\n", "a\n")], "id long, old string, new string")
+    got = {r["id"]: r["difference"] for r in fingerprints.compared(rows, "old", "new").collect()}
+    assert (len(got[1]["removed"]), len(got[1]["added"])) == (1, 1) and not got[2]["removed"] and (len(got[3]["removed"]), len(got[3]["added"])) == (1, 1)
