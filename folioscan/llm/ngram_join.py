@@ -15,7 +15,8 @@ one edge from each node to the least one it is connected to there. Classes are c
 star contraction on those edges.
 
 Copies of a text have J = 1, those of a text without words too. Repeated rows are copies. A null text is an empty one.
-A null id can't be linked to other texts: such rows get a null class. An empty table gives no rows.
+A null id can't be linked to other texts: such rows get a null class. Different texts may share an id: each is a node of
+its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import settle
+from folioscan.llm.common import quoted, settle
 
 MOST_WORDS = 300_000
-#: A frame of ids is broadcast up to so many rows.
-MOST_IDS = 150_000
+#: A frame of ids is broadcast up to so many rows. Keys of more than LARGE rows are joined without a shuffle.
+MOST_IDS, LARGE = 50_000, 512
 #: Most sets in a part, and most shingles of its sets together.
 PART, PART_SHINGLES = 256, 1 << 21
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -106,26 +107,35 @@ def sketched(df: DataFrame, n: int, coordinates: int) -> DataFrame:
     return own.mapInArrow(sketch, "doc_id long, text_hash long, d1 long, d2 long, n int, sig array<long>")
 
 
+def joined_by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with a side that has a row for each key and tells how many rows have it. Rows of large keys aren't shuffled: there are few such keys, so these are broadcast."""
+    large = settle(side.filter(F.col(size) > LARGE))
+    if large.count() > MOST_IDS:
+        return rows.join(side, keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(side.filter(F.col(size) <= LARGE), keys)
+    return rows.join(F.broadcast(large), keys).unionByName(rest)
+
+
 def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
     """node, run, leaf and blocks: the parts that the runs compare, of two nodes or more. blocks is over 1 for parts to be compared in blocks."""
     paths = [F.struct(F.lit(r).alias("run"), *[F.xxhash64(F.lit(r), *[F.col("sig")[r * depth + k] for k in range(d + 1)]).alias(f"k{d}") for d in range(depth)]) for r in range(runs)]
     active = nodes.select("node", "n", F.explode(F.array(*paths)).alias("p")).select("node", "n", "p.*")
     found = None
     for d in range(depth):
-        last = d == depth - 1
-        key = f"k{d}"
-        parts = active.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("node")).alias("_members")).filter("_size > 1")
+        last, key = d == depth - 1, f"k{d}"
+        sums = [F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("node")).alias("_members")]
         blocks = F.greatest(F.ceil(F.col("_size") / PART), F.ceil(F.col("_shingles") / PART_SHINGLES)).cast("int")
-        active = settle(active.join(parts.withColumn("blocks", blocks), key))
-        final = F.lit(last) | (F.col("blocks") == 1)
-        if not last:
+        if last:
+            parts = active.groupBy(key).agg(*sums).withColumns({"blocks": blocks, "_final": F.lit(True)})
+        else:
             # A part that the next token wouldn't halve holds sets that are alike; splitting it on would only lose pairs.
-            largest = active.filter("blocks > 1").groupBy(key, f"k{d + 1}").count().groupBy(key).agg(F.max("count").alias("_largest"))
-            active = active.join(largest, key, "left")
-            final = final | F.coalesce(2 * F.col("_largest") > F.col("_size"), F.lit(False))
-        own = active.filter(final).select("node", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
+            finer = active.groupBy(key, f"k{d + 1}").agg(*sums)
+            parts = finer.groupBy(key).agg(F.sum("_size").alias("_size"), F.sum("_shingles").alias("_shingles"), F.bit_xor("_members").alias("_members"), F.max("_size").alias("_largest"))
+            parts = parts.withColumn("blocks", blocks).withColumn("_final", (F.col("blocks") == 1) | (2 * F.col("_largest") > F.col("_size"))).drop("_largest")
+        active = settle(joined_by_size(active, settle(parts.filter("_size > 1").drop("_shingles")), [key], "_size"))
+        own = active.filter("_final").select("node", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
         found = own if found is None else found.unionByName(own)
-        active = active.filter(~final).drop("_size", "_shingles", "_members", "blocks", "_largest")
+        active = active.filter("NOT _final").drop("_size", "_members", "blocks", "_final")
     return settle(found)
 
 
@@ -238,16 +248,16 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("_m", F.col("a")).alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        star = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        large = joined_by_size(both, least, ["a"], "_n").filter("b > a").select(F.col("b").alias("a"), F.least("_m", F.col("a")).alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        star = joined_by_size(large, least, ["a"], "_n")
         star = star.select(F.explode(F.array(F.struct(F.col("a"), F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e")).select("e.*")
         pairs = settle(star.filter("a <> b").distinct())
 
 
 def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3) -> DataFrame:
-    """doc_id, class_id (the least id of the class), n_links (other rows with J >= threshold) and n_copies (rows with the same set, this one included) and text_hash of each row."""
+    """doc_id, class_id (the least id of the class), n_links (other rows with J >= threshold) and n_copies (rows with the same set, this one included), text_hash and group (a number that no other class has) of each row."""
     runs = runs_for(recall, threshold, depth)
     rows = settle(sketched(documents, n, runs * depth))
     digests = ["d1", "d2", "n"]
@@ -260,27 +270,27 @@ def joined(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
     names = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("_class"))
-    classes = classes.join(names, "root").select("node", "_class")
+    classes = classes.join(names, "root").select("node", "root", "_class")
     per_node = found.groupBy("node").agg(F.sum("links").alias("_links"))
     nodes = nodes.select(*digests, "node", "rep", "w").join(per_node, "node", "left").join(classes, "node", "left")
-    nodes = nodes.select(*digests, F.coalesce("_class", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
-    return rows.drop("sig").join(nodes, digests).select("doc_id", "class_id", "n_links", "n_copies", "text_hash")
+    nodes = nodes.select(*digests, F.coalesce("_class", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"), F.coalesce("root", "node").alias("group"))
+    return joined_by_size(rows.drop("sig"), nodes, digests, "n_copies").select("doc_id", "class_id", "n_links", "n_copies", "text_hash", "group")
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:
-    """The rows of documents, one of each class: that with the least id. Rows without an id stay."""
+    """The rows of documents, one of each class: that with the least id. Rows without an id stay, and so do unlike texts that share one."""
     classes = settle(joined(documents, **how))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    columns = [F.col(quoted(c)) for c in documents.columns]
     named = classes.filter("doc_id IS NOT NULL")
     if named.count() == named.select("doc_id").distinct().count():
         dropped = named.filter("doc_id <> class_id").select("doc_id")
         return documents.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*columns)
     # Rows share ids: a row is told by its id and its text, and of equal rows one stays. This shuffles the texts.
-    chosen = named.filter("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("_h")).select(F.struct("class_id", "_h").alias("_chosen"))
-    rows = documents.select(F.struct(*columns).alias("_row"), F.struct(F.col("doc_id").cast("long").alias("class_id"), F.xxhash64("text").alias("_h")).alias("_chosen"))
+    chosen = named.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("_chosen")).select("_chosen")
+    rows = documents.select(F.struct(*columns).alias("_row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_chosen"))
     kept = rows.join(chosen, "_chosen", "left_semi").dropDuplicates(["_chosen"]).select("_row.*")
     return kept.unionByName(documents.filter("doc_id IS NULL"))
 
 
 def report(documents: DataFrame) -> DataFrame:
-    return joined(documents).drop("text_hash")
+    return joined(documents).drop("text_hash", "group")

@@ -98,6 +98,30 @@ def test_deduplicated(clashing, odd_rows):
     assert len(ids) == len(set(ids)) and set(ids) == {c for _, c, _ in brute(odd_rows)}
 
 
+def test_deduplicated_keeps_unlike_texts_of_one_id(spark, odd, prose):
+    a, b, c = prose(100), prose(100), prose(100)
+    rows = [(5, a, None, None, None), (5, b, None, None, None), (9, c, None, None, None), (7, a, None, None, None), (7, a, None, None, None)]
+    kept = ngram_join.deduplicated(spark.createDataFrame(rows, odd.schema)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, a), (5, b), (9, c)])
+
+
+def test_large_keys_are_joined_apart(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 1)
+    assert result(odd) == brute(odd_rows)
+
+
+def test_recall_of_links_near_the_threshold(spark, odd, prose):
+    """Groups of near copies, many of them barely alike: all of their links between different texts are found."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        base = prose(120)
+        rows += [(100 * g + i, near(base, rng.randint(0, 2), rng), None, None, None) for i in range(14)]
+    expected = brute(rows)
+    assert sum(k[2] * n for k, n in expected.items()) > 2000
+    assert result(spark.createDataFrame(rows, odd.schema)) == expected
+
+
 def check_packing(rows, placed, capacity):
     import public_tokenizers
     from tokenizers import Tokenizer
