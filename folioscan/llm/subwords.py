@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: A flat array holds about so many characters; longer texts are cut at a space.
-FLAT = 250_000
+#: A flat array holds about so many characters, of at most so many texts; longer texts are cut at white space.
+FLAT, MOST_TEXTS = 250_000, 256
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def parts(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts in runs of about FLAT characters: the index of each part's text, and the parts. A long text is cut at white space."""
+def cut(text: str, begin: int) -> int:
+    """Where a part that begins at `begin` ends: after white space if the part has any, so that no n-gram is lost."""
+    end = begin + FLAT
+    if len(text) <= end:
+        return len(text)
+    while end > begin and text[end - 1] not in " \t\n\v\f\r":
+        end -= 1
+    return end if end > begin else begin + FLAT
+
+
+def words_before(text: str, end: int, words: int) -> int:
+    """Where the last so many words before `end` begin, within the last FLAT // 2 characters; `end` if they don't."""
+    low = max(0, end - FLAT // 2)
+    starts = [m.end() for m in _SPACES.finditer(text, low, end) if m.end() < end]
+    return starts[-words] if words and len(starts) >= words else end
+
+
+def parts(texts: Sequence[str], overlap: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts in runs of about FLAT characters: the index of each part's text, and the parts. Parts of one text share `overlap` words."""
     at, run, chars = [], [], 0
     for i, text in enumerate(texts):
         begin = 0
         while True:
-            end = len(text) if len(text) - begin <= FLAT else text.rfind(" ", begin, begin + FLAT) + 1 or begin + FLAT
-            if end <= begin:
-                end = min(len(text), begin + FLAT)
+            end = cut(text, begin)
             at.append(i)
             run.append(text[begin:end])
             chars += end - begin
-            if chars >= FLAT:
+            if chars >= FLAT or len(run) >= MOST_TEXTS:
                 yield np.array(at), run
                 at, run, chars = [], [], 0
-            begin = end
-            if begin >= len(text):
+            if end >= len(text):
                 break
+            begin = max(words_before(text, end, overlap), begin + 1) if overlap else end
     if run:
         yield np.array(at), run
 

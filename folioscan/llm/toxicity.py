@@ -5,12 +5,15 @@ that is linear in the average; embeddings and softmax are trained together, in n
 n-grams with words that were seen, so they get about the same vector.
 
 A text is scored by its passages, as a few insults in a long text would vanish in one average: the score is that of
-its most toxic passage. Training starts with whole texts and then goes on with the passage of each text that the model
-so far finds the most toxic.
+its most toxic passage. A passage begins at every word, so where a phrase stands is of no consequence. Training starts
+with whole texts and then goes on with the passage of each text that the model so far finds the most toxic.
 
 Null and empty texts have no n-gram and get the score of an empty bag, the class bias. Rows are scored alone, so
-repeated rows and ties need no care. Without labelled rows the model is empty and scores 0. Training uses at most
-`most` labelled rows, the first by a hash of their id, less those that don't fit a bound of bytes; scoring covers every text as a whole.
+repeated rows and ties need no care. Without labelled rows the model is empty and scores 0, as it does if no label is
+toxic; if all are, every text scores 0.5. Training uses at most `most` labelled rows, the first by a hash of their id,
+less those that don't fit a bound of bytes, and begins with whole texts of at most `first` of them. Scoring covers every
+text as a whole. Texts of more than 250,000 characters are scored in parts that overlap by a passage less a word; only
+a word that is itself longer than that is cut.
 """
 
 from __future__ import annotations
@@ -38,24 +41,27 @@ class Model:
     bias: float
 
 
-def passages(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts in turn: the text of each passage, and for each n-gram its passage and its bucket."""
-    for at, run in parts(texts):
+def tokens(texts: list[str], overlap: int = PASSAGE - 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts in turn: the text of each word, the end of its part (as a number of words), and for each n-gram its word and its bucket."""
+    for at, run in parts(texts, overlap):
         codes, space, starts = flat(run)
-        word = np.cumsum(space[:-1] & ~space[1:], dtype=np.int64)  # number of words begun at or before the next character
-        word = np.concatenate([word, word[-1:]])
-        first = word[starts]  # words of earlier parts, plus this part's first if it begins at once
-        lead = (~space[np.minimum(starts + 1, len(space) - 1)]).astype(np.int64)
-        before = first - lead
-        part = np.repeat(np.arange(len(run)), np.diff(np.append(starts, len(codes))))
-        piece = np.maximum(word - before[part] - 1, 0) // PASSAGE
-        sizes = np.zeros(len(run), np.int64)
-        np.maximum.at(sizes, part, piece + 1)
-        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        piece = piece + base[part]
-        owner = np.repeat(at, sizes)
+        begins = np.flatnonzero(space[:-1] & ~space[1:])  # the space before each word
+        part = np.searchsorted(starts, begins, "right") - 1
+        begun = np.cumsum(space[:-1] & ~space[1:], dtype=np.int64)
+        begun = np.concatenate([begun, begun[-1:]])
         found = list(grams(codes, space, SIZES, BITS))
-        yield owner, np.concatenate([piece[i] for i, _ in found]), np.concatenate([b for _, b in found])
+        yield at[part], np.searchsorted(part, part, "right"), np.concatenate([begun[i] - 1 for i, _ in found]), np.concatenate([b for _, b in found])
+
+
+def passages(owner: np.ndarray, end: np.ndarray, word: np.ndarray, bucket: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and average of each passage. A part of fewer words than a passage is one."""
+    n = len(owner)
+    total = np.concatenate([[0.0], np.cumsum(np.bincount(word, model.weights[bucket], n))])
+    count = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
+    first = np.arange(n)
+    first = first[(first + PASSAGE <= end) | np.concatenate([[True], end[1:] != end[:-1]])[:n]]
+    last = np.minimum(first + PASSAGE, end[first])
+    return first, last, (total[last] - total[first]) / np.maximum(count[last] - count[first], LEAST)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 5, start: tuple | None = None) -> tuple:
@@ -99,37 +105,26 @@ def bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The bag of each text."""
-    out = []
-    for text in texts:
-        found = [b for _, _, b in passages([text])]
-        out.append(bag(np.concatenate(found)))
-    return out
+    return [bag(np.concatenate([buckets for *_, buckets in tokens([text], 0)])) for text in texts]
 
 
 def worst(texts: list[str], model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The bag of the most toxic passage of each text."""
+    """The bag of the most toxic passage of each text, the first of equal ones."""
     best, bags = np.full(len(texts), -np.inf), [bag(np.zeros(0, np.int64))] * len(texts)
-    for owner, piece, bucket in passages(texts):
-        total = averages(piece, bucket, len(owner), model)
-        order = np.lexsort((-total, owner))
-        first = order[np.unique(owner[order], return_index=True)[1]]
-        first = first[total[first] > best[owner[first]]]
-        chosen = np.zeros(len(owner), bool)
-        chosen[first] = True
-        some = chosen[piece]
-        piece, bucket = piece[some], bucket[some]
-        order = np.argsort(piece, kind="stable")
-        piece, bucket = piece[order], bucket[order]
-        for k in first:
-            a, z = np.searchsorted(piece, [k, k + 1])
-            best[owner[k]], bags[owner[k]] = total[k], bag(bucket[a:z])
+    for owner, end, word, bucket in tokens(texts):
+        first, last, average = passages(owner, end, word, bucket, model)
+        order = np.lexsort((first, -average, owner[first]))
+        order = order[np.unique(owner[first][order], return_index=True)[1]]
+        by_word = np.argsort(word, kind="stable")
+        sorted_words = word[by_word]
+        for k in order:
+            text = owner[first[k]]
+            if average[k] > best[text]:
+                a, z = np.searchsorted(sorted_words, [first[k], last[k]])
+                best[text], bags[text] = average[k], bag(bucket[by_word[a:z]])
     return bags
 
 
-def averages(piece: np.ndarray, bucket: np.ndarray, n: int, model: Model) -> np.ndarray:
-    return np.bincount(piece, model.weights[bucket], n) / np.maximum(np.bincount(piece, minlength=n), LEAST)
-
-
 def collapsed(state: tuple) -> Model:
     e, w, b = state[:3]
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
@@ -149,8 +144,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 8, first: int = 150
 def scored(texts: list[str | None], model: Model) -> np.ndarray:
     """Probability of the toxic class for each text, by its most toxic passage."""
     best = np.full(len(texts), -np.inf)
-    for owner, piece, bucket in passages([t or "" for t in texts]):
-        np.maximum.at(best, owner, averages(piece, bucket, len(owner), model))
+    for owner, end, word, bucket in tokens([t or "" for t in texts]):
+        first, _, average = passages(owner, end, word, bucket, model)
+        np.maximum.at(best, owner[first], average)
     best = np.where(np.isfinite(best), best, 0.0) + model.bias
     return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
 

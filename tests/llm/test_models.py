@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pytest
 
-from folioscan.llm import langid, lm, toxicity
+from folioscan.llm import langid, lm, subwords, toxicity
 
 BAD = ("scoundrel", "rascally", "villainous", "knavish")
 
@@ -61,6 +62,31 @@ def test_one_long_text_does_not_end_the_training_rows(spark, odd, monkeypatch):
         toxicity.learned(docs, labels, most_bytes=2)
 
 
+def test_a_phrase_scores_alike_wherever_it_stands(labelled):
+    """A phrase of two words, each common in clean texts, at every place; and across the cut of a very long text."""
+    texts, y = [r[1] for r in labelled[:300]], [0] * 300
+    for i in range(0, 300, 3):
+        words = texts[i].split()
+        texts[i], y[i] = " ".join(words[: i % 11] + ["scoundrel", "rascally"] + words[i % 11 :]), 1
+    model = toxicity.train(texts, y, rounds=2)
+    clean = "of the and to in the of and to the".split()
+    scores = [toxicity.scored([" ".join(clean[:k] + ["scoundrel", "rascally"] + clean[k:])], model)[0] for k in range(2, 7)]
+    assert max(scores) - min(scores) < 0.1 and min(scores) > 0.7
+    filler = "the of and in " * 20_000
+    for shift in range(250_000 - 60, 250_000 + 60, 7):
+        text = (filler[:shift].rstrip() + " scoundrel rascally " + filler)[:300_000]
+        assert toxicity.scored([text], model)[0] > 0.7, shift
+
+
+def test_many_short_texts_stay_small():
+    runs = list(subwords.parts(["ab"] * 10_000))
+    assert max(len(run) for _, run in runs) <= subwords.MOST_TEXTS and sum(len(run) for _, run in runs) == 10_000
+    long = "one two three four five six seven\n" * 20_000
+    assert "".join(p for _, run in subwords.parts([long]) for p in run) == long
+    overlapping = [part for _, run in subwords.parts([long], 3) for part in run]
+    assert len(overlapping) > 2 and all(b.split()[:3] == a.split()[-3:] for a, b in itertools.pairwise(overlapping))
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     model = toxicity.train([r[1] for r in labelled[:150]], [r[5] for r in labelled[:150]], rounds=1)
     texts = [r[1] for r in labelled[150:200]] + [None, ""]
@@ -137,6 +163,57 @@ def test_language_model_learns_from_every_text(spark, odd, monkeypatch):
         assert np.argmax((model.near[b] + model.far[a])[kind]) == (i + 2) % 8
 
 
+def test_language_frequencies_cover_all_training_texts(spark, odd):
+    rows = languages(300, 2)
+    model = langid.learned(spark.createDataFrame(rows, odd.schema), most=20)
+    training = [r[1] for r in rows if not held(r[0], 4, 2)]
+    seen = sum((counts > 0).sum(0) for _, counts in langid.runs(training))
+    assert np.allclose(model.idf, np.log((1 + len(training)) / (1 + seen)) + 0.2, atol=1e-5)
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 1000])
+def test_scores_equal_a_plain_loop(spark, odd, odd_rows, frequent):
+    """Each token's probability by a softmax over all classes, written out."""
+    train = odd.filter(~lm.held_out())
+    counts = lm.counted(train, frequent, odd.filter(lm.held_out()))
+    model = lm.learned(train, counts, size=12, few=1)
+    tokens = collections.Counter()
+    for r in odd_rows:
+        if not held(r[0], 7, 2):
+            tokens.update((r[1] or "").encode().lower().split())
+            tokens[None] += 1
+    inside = {w for w in tokens if w is not None and lm.word_hash(w) in model.classes}
+    rest = sum(n for w, n in tokens.items() if w is not None and w not in inside)
+    distinct = sum(1 for w in tokens if w is not None and w not in inside)
+    end = len(model.classes)
+    expected = collections.Counter()
+    for r in odd_rows:
+        words = (r[1] or "").encode().lower().split()
+        if len(words) > 500:
+            continue
+        before, total = [end + 2, end + 2], 0.0
+        for w in [*words, None]:
+            kind = end if w is None else model.classes.get(lm.word_hash(w), end + 1)
+            scores = model.near[before[1]].astype(float) + model.far[before[0]]
+            total += scores[kind] - (scores.max() + math.log(np.exp(scores - scores.max()).sum()))
+            if kind == end + 1:
+                total += math.log((tokens[w] + 1) / (rest + distinct + 1))
+            before = [before[1], kind]
+        expected[r[0], len(words) + 1, round(total / math.log(10), 3)] += 1
+    found = collections.Counter((x["doc_id"], x["n_tokens"], round(x["score"], 3)) for x in lm.scored(odd, counts, model).collect() if x["n_tokens"] <= 501)
+    assert found.keys() == expected.keys() or all(abs(a[2] - b[2]) < 0.01 and a[:2] == b[:2] for a, b in zip(sorted(found.elements(), key=str), sorted(expected.elements(), key=str), strict=True))
+
+
+def test_a_word_of_held_out_texts_only_is_counted_as_frequent(spark, odd):
+    rows = [(i, "common words here", None, None, None) for i in range(40)] + [(i, "flood " * 50, None, None, None) for i in range(1000, 1400) if held(i, 7, 2)]
+    docs = spark.createDataFrame(rows, odd.schema)
+    counts = lm.counted(docs.filter(~lm.held_out()), 100, docs.filter(lm.held_out()))
+    assert counts.frequent[lm.word_hash(b"flood")] == 0 and counts.distinct == 4
+    model = lm.learned(docs.filter(~lm.held_out()), counts, few=1)
+    assert lm.word_hash(b"flood") not in model.classes
+    assert {r["n_known"] for r in lm.scored(docs, counts, model).collect() if r["doc_id"] >= 1000} == {1}
+
+
 def test_number_of_classes_grows():
     assert lm.class_count(10**4) == 1000 < lm.class_count(10**8) < lm.class_count(10**10)
 
