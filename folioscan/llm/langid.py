@@ -4,9 +4,10 @@ A text is a TF-IDF vector of its character n-grams, hashed and of length 1. The
 clustered into several centroids; a text gets the language of the centroid with the highest cosine, and is rejected if
 its cosine is lower than almost all of that centroid's training texts had.
 
-A null text, or one without a letter, is `und`. Rows are judged alone. Without training rows every text is `und`.
-The centroids are fitted to a bounded sample: about `most` texts of each language, by a hash of their id, and of at most
-MOST_LANGUAGES languages. Each sampled text comes to the driver as a vector of fixed length, however long it is.
+A null text, or one without a letter, is `und`. Rows are judged alone, repeated rows too. Without training rows every
+text is `und`. Document frequencies count all training texts. The centroids are fitted to a bounded sample: about `most`
+texts of each language, by a hash of their id; each language is clustered by itself on an executor, and only its
+centroids, vectors of fixed length, come to the driver. A very long text is counted in parts that end at white space.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.subwords import flat, grams, parts
 
-SIZES, BITS, MOST_LANGUAGES = range(2, 5), 12, 1000
+SIZES, BITS = range(2, 5), 12
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -81,21 +82,17 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> tuple[n
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def train(counts: np.ndarray, languages: list[str], k: int = 4, slack: float = 0.5) -> Model:
-    """slack: how far below the lowest hundredth of its training cosines a centroid still accepts, as a part of that cosine."""
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2).astype(np.float32)
-    x, names = vectors(counts, idf), np.array(languages)
-    centroids, owners, floors = [], [], []
-    for name in sorted(set(languages)):
-        own = x[names == name]
-        c, near = clustered(own, k)
-        best = (own * c[near]).sum(1)
-        for j in range(len(c)):
-            if (near == j).any():
-                centroids.append(c[j])
-                owners.append(name)
-                floors.append(np.quantile(best[near == j], 0.01) * (1 - slack))
-    return Model(idf, np.array(centroids), owners, np.array(floors))
+def inverse_frequencies(documents: int, frequencies: np.ndarray) -> np.ndarray:
+    return (np.log((1 + documents) / (1 + frequencies)) + 0.2).astype(np.float32)
+
+
+def centroids(counts: np.ndarray, idf: np.ndarray, k: int = 4, slack: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """A language's centroids and floors. slack: how far below the lowest hundredth of its training cosines a centroid still accepts, as a part of that cosine."""
+    x = vectors(counts, idf)
+    c, near = clustered(x, k)
+    best = (x * c[near]).sum(1)
+    used = [j for j in range(len(c)) if (near == j).any()]
+    return c[used], np.array([np.quantile(best[near == j], 0.01) * (1 - slack) for j in used])
 
 
 def nearest(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -119,14 +116,24 @@ def held_out():
 
 
 def learned(documents: DataFrame, most: int = 400) -> Model:
-    """Fit to a sample of the labelled documents that aren't held out."""
+    """Fit to the labelled documents that aren't held out: document frequencies to all of them, centroids to a sample of about `most` of each language."""
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    rates = usable.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_rate"))
+    place = F.xxhash64(F.lit(23), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
+    sample = usable.join(rates, "lang").filter(place < F.col("_rate")).select("lang", "text")
+
+    def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for _, found in runs(batch.column(0).to_pylist()):
+                total, n = total + (found > 0).sum(0), n + len(found)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 1 << BITS), pa.int32()), pa.array(np.concatenate([[n], total]))], ["bucket", "n"])
+
+    frequencies = dict(usable.select("text").mapInArrow(seen_in, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect())  # a row for each bucket
+    if not frequencies:
         return Model(np.zeros(1 << BITS), np.zeros((0, 1 << BITS)), [], np.zeros(0))
-    rates = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, _rate double")
-    place = (F.xxhash64(F.lit(23), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))).alias("_place")
-    sample = usable.join(F.broadcast(rates), "lang").filter(place < F.col("_rate")).select("lang", "text")
+    idf = inverse_frequencies(frequencies[-1], np.array([frequencies[b] for b in range(1 << BITS)]))
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +142,15 @@ def learned(documents: DataFrame, most: int = 400) -> Model:
                 packed = [np.minimum(row, 2**31 - 1).astype("<i4").tobytes() for row in found]
                 yield pa.RecordBatch.from_arrays([pa.array(langs[first : first + len(packed)], pa.string()), pa.array(packed, pa.binary())], ["lang", "counts"])
 
-    rows = sample.mapInArrow(counts_of, "lang string, counts binary").limit(2 * most * MOST_LANGUAGES).collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    return train(np.array([np.frombuffer(r["counts"], "<i4") for r in rows]).reshape(-1, 1 << BITS), [r["lang"] for r in rows])
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.array([np.frombuffer(c, "<i4") for c in sorted(group["counts"])])
+        c, floors = centroids(counts, idf)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "k": np.arange(len(c)), "centroid": [x.astype("<f4").tobytes() for x in c], "floor": floors})
+
+    # About `most` texts to a group, whatever the language's share of the documents.
+    rows = sample.mapInArrow(counts_of, "lang string, counts binary").groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary, floor double").collect()
+    rows.sort(key=lambda r: (r["lang"], r["k"]))
+    return Model(idf, np.array([np.frombuffer(r["centroid"], "<f4") for r in rows]).reshape(-1, 1 << BITS), [r["lang"] for r in rows], np.array([r["floor"] for r in rows]))
 
 
 def identified(df: DataFrame, model: Model) -> DataFrame:
