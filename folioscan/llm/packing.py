@@ -267,5 +267,5 @@ def sequences(placed: DataFrame) -> DataFrame:
     )
 
 
-def report(df: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    return packed(tokenized(df, tokenizer_path, capacity), capacity)
+def report(df: DataFrame, tokenizer_path: str, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
+    return packed(tokenized(df, tokenizer_path, capacity, with_ids=with_ids), capacity)

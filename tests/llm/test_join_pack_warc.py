@@ -297,7 +297,29 @@ def test_pipeline(spark, data):
         if name == "near_duplicates":
             assert not {r["n_links"] for r in ngram_join.joined(after).collect()} - {0}
         previous = after
-    placed = corpus_pipeline.STAGES[-1][1](spark, previous, data)
+    placed = corpus_pipeline.STAGES[-1][1](spark, previous, data).collect()
     rows = [tuple(r) for r in previous.select("doc_id", "text").collect()]
-    check_packing(rows, placed.collect(), 4096)
-    assert corpus_pipeline.run(spark, data).count() == placed.count()
+    check_packing(rows, placed, 4096)
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in placed)
+
+
+def test_pipeline_of_odd_tables(spark, odd, clashing, odd_rows, none, prose, tmp_path):
+    """Nulls in every column, repeated rows and ids, clashing and dotted names, a null id; and an empty table."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(24)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [*odd_rows, (None, prose(90), None, None, None), (None, prose(90), None, "s0", None)]
+    wide = spark.createDataFrame(rows, odd.schema).withColumns({**{c: F.lit("own") for c in clashing.columns if c not in odd.columns}, "a.b": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (wide, none):
+            after = stage(spark, table, str(tmp_path))
+            assert after.columns == table.columns, name
+            kept = after.count()
+            assert 0 < kept <= 2 * len(rows) if table is wide else kept == 0, name
+    packed = corpus_pipeline.pack(spark, wide, str(tmp_path))
+    assert packed.select("doc_id", "piece", "ids_crc32").count() >= len(rows) and corpus_pipeline.pack(spark, none, str(tmp_path)).count() == 0
+    wide.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and {r["doc_id"] for r in out.select("doc_id").collect()} <= {r[0] for r in rows}
