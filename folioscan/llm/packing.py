@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -212,40 +213,46 @@ def ranged(items: DataFrame, counts: dict[tuple[int, int], int]) -> tuple[DataFr
 def placed(pieces: DataFrame, capacity: int, band: float = 0.25, seed: int = 3) -> DataFrame:
     """id, sequence and offset of each of pieces (id long, size int)."""
     spark = pieces.sparkSession
-    waiting, gaps, done, opened = [pieces], None, [], 0
-    lengths = dict(pieces.groupBy("size").count().collect())  # at most capacity rows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    waiting, gaps, done, opened = [pieces], [], [], 0
+    lengths = Counter(dict(pieces.groupBy("size").count().collect()))  # at most capacity rows
+    widths: Counter[int] = Counter()
     while lengths:
         longest = max(lengths)
         least = min(size for size in lengths if size > band * longest)
-        widths = {} if gaps is None else {size: n for size, n in gaps.groupBy("size").count().collect() if size >= least}  # at most capacity rows
-        if not widths:
-            tokens = sum(size * n for size, n in lengths.items() if size >= least)
-            n = -(-tokens // capacity)
-            more = spark.range(opened, opened + n).select("id", F.lit(capacity).alias("size"))
-            gaps, opened, widths = more if gaps is None else gaps.unionByName(more), opened + n, {capacity: n}
-        takers = reduce(DataFrame.unionByName, [w.filter(F.col("size") >= least) for w in waiting])
-        takers = takers.select(F.lit(PIECE).alias("kind"), "id", "size", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("free"))
-        slots = F.greatest(F.expr(f"size div {longest}"), F.lit(1).cast("long"))
-        offered = gaps.filter(F.col("size") >= least).withColumn("_slots", slots)
-        offered = offered.select(F.lit(GAP).alias("kind"), "id", F.expr("size div _slots").cast("int").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1)).alias("slot"), F.col("size").alias("free"))
-        items = takers.unionByName(offered).withColumn("key", random_key(seed, F.col("kind"), F.col("id"), F.col("slot")))
-        sizes = {(size, PIECE): n for size, n in lengths.items() if size >= least}
+        if not any(gap >= least for gap in widths):
+            n = -(-sum(size * n for size, n in lengths.items() if size >= least) // capacity)
+            gaps.append(spark.range(opened, opened + n).select("id", F.lit(capacity).alias("size")))
+            opened, widths[capacity] = opened + n, n
+        # Tables of earlier rounds are read together, in no more tasks than one of them.
+        taking, offered = (reduce(DataFrame.unionByName, [t.filter(F.col("size") >= least) for t in tables]).coalesce(parts) for tables in (waiting, gaps))
+        slots = offered.withColumn("_slots", F.greatest(F.expr(f"size div {longest}"), F.lit(1).cast("long")))
+        slots = slots.select(F.lit(GAP).alias("kind"), "id", F.expr("size div _slots").cast("int").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1)).alias("slot"), F.col("size").alias("free"))
+        items = taking.select(F.lit(PIECE).alias("kind"), "id", "size", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("free")).unionByName(slots)
+        items = items.withColumn("key", random_key(seed, F.col("kind"), F.col("id"), F.col("slot")))
+        sizes = Counter({(size, PIECE): n for size, n in lengths.items() if size >= least})
         for gap, n in widths.items():
-            m = max(1, gap // longest)
-            sizes[gap // m, GAP] = sizes.get((gap // m, GAP), 0) + n * m
+            if gap >= least:
+                m = max(1, gap // longest)
+                sizes[gap // m, GAP] += n * m
         found = matched(*ranged(items, sizes))
-        # A sequence takes at most as many pieces as its capacity.
-        earlier = Window.partitionBy("sequence").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-        offset = F.lit(capacity) - F.col("free") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-        new = settle(found.filter("sequence IS NOT NULL").select("id", "size", "sequence", offset.cast("long").alias("offset")))
-        done.append(new.select("id", "sequence", "offset"))
-        used = new.groupBy(F.col("sequence").alias("id")).agg(F.sum("size").cast("int").alias("_used"))
-        gaps = settle(gaps.join(used, "id", "left").select("id", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")).filter("size > 0"))
-        waiting = [*(w.filter(F.col("size") < least) for w in waiting), found.filter("sequence IS NULL").select("id", "size")]
-        for size, n in new.groupBy("size").count().collect():
-            lengths[size] -= n
-            if not lengths[size]:
-                del lengths[size]
+        # A sequence takes at most as many pieces as its capacity. Its gap goes first.
+        rows = found.filter("sequence IS NOT NULL").select(F.lit(PIECE).alias("kind"), "id", "size", "sequence", "slot", "free")
+        rows = rows.unionByName(offered.select(F.lit(GAP).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("size"), F.col("id").alias("sequence"), F.lit(-1).cast("long").alias("slot"), F.col("size").alias("free")))
+        whole = Window.partitionBy("sequence")
+        before = F.coalesce(F.sum("size").over(whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = settle(rows.withColumns({"offset": (F.lit(capacity) - F.col("free") + before).cast("long"), "left": (F.col("free") - F.sum("size").over(whole)).cast("int")}))
+        done.append(rows.filter(F.col("kind") == PIECE).select("id", "sequence", "offset"))
+        waiting = [*(t.filter(F.col("size") < least) for t in waiting), found.filter("sequence IS NULL").select("id", "size")]
+        gaps = [*(t.filter(F.col("size") < least) for t in gaps), rows.filter((F.col("kind") == GAP) & (F.col("left") > 0)).select(F.col("sequence").alias("id"), F.col("left").alias("size"))]
+        widths = Counter({gap: n for gap, n in widths.items() if gap < least})
+        size = F.when(F.col("kind") == PIECE, F.col("size")).otherwise(F.col("left"))
+        for kind, size, n in rows.groupBy("kind", size.alias("size")).count().collect():  # at most capacity rows of each kind
+            if kind == GAP and size:
+                widths[size] += n
+            elif kind == PIECE:
+                lengths[size] -= n
+        lengths = +lengths
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "id long, sequence long, offset long")
 
 
