@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, token_list, tokens
-from folioscan.operators import accounting, evaluation, lines, search, tree, trigram
+from folioscan.operators import accounting, evaluation, lines, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
-from folioscan.sources.corpus import fresh, table_documents, table_pages
+from folioscan.sources.corpus import fresh, scoped, table_documents, table_pages
 from folioscan.streaming.ledger import folded
 
 LITERAL, REGEX, QUERY = "tion of", "[Tt]h[a-z]{2,}ing[.,]", "ontion threa of"
@@ -85,8 +85,10 @@ def grep_context(spark, d):
 
 @query
 def scoped_search(spark, d):
-    docs = table_documents(spark, d).filter("source = 'src3'")
-    return search.budgeted(search.grep(docs, LITERAL, literal=True), 50, "doc_key", "line_no")[0].select("path", "line_no", "match_column")
+    """Matches in one document, the last by path that has any."""
+    docs = table_documents(spark, d)
+    path = docs.filter(F.contains("text", F.lit(LITERAL))).agg(F.max("path")).first()[0]
+    return search.budgeted(search.grep(scoped(docs, path), LITERAL, literal=True), 50, "doc_key", "line_no")[0].select("path", "line_no", "match_column")
 
 
 @query
@@ -486,3 +488,127 @@ def streaming_ledger_fold(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     where = os.path.join(base, f"ledger-{uuid.uuid4().hex}")
     return folded(spark, f"{d}/events.parquet", where, {"operation": "user_id", "sequence": "event_id", "status": "event_type"})
+
+
+@query
+def node_search_windows(spark, d):
+    """Windows of matches in conversations, ended at the section of the matched line."""
+    pages = table_pages(spark, d)
+    rows = lines.lines(tree.assembled(pages), "doc")
+    nodes = conversation_nodes(spark, d)
+    matches = rows.filter(F.contains("line", F.lit("tion"))).select("doc", "line_no")
+    found = results.node_windows(tree.deepest(nodes, matches), nodes, rows, search.BEFORE, search.AFTER)
+    return found.select("doc", "node_id", "match_line", "first", "last", "byte_start", "byte_end", "column_start", F.sha2("text", 256).alias("text_sha256"))
+
+
+def stale_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a build recorded and what is there now: some documents are gone, some have changed."""
+    recorded = docs.select("path", F.col("text_sha256").alias("source_sha256"))
+    return recorded, docs.filter("doc_id % 17 <> 4").select("path", F.when(F.col("doc_id") % 13 == 1, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.col("text_sha256")).alias("source_sha256"))
+
+
+@query
+def stale_budget(spark, d):
+    docs = table_documents(spark, d)
+    found, _ = results.fresh_matches(search.grep(docs, LITERAL, literal=True), *stale_sources(docs), 60, "doc_key", "line_no")
+    return found.select("path", "line_no")
+
+
+@query
+def visited_stale_paths(spark, d):
+    docs = table_documents(spark, d)
+    return results.fresh_matches(search.grep(docs, LITERAL, literal=True), *stale_sources(docs), 60, "doc_key", "line_no")[1]
+
+
+@query
+def catalog_page(spark, d):
+    return results.paginated(table_documents(spark, d).select("path", "source_bytes"), ["path"], 40, 20)
+
+
+@query
+def payload_prefix(spark, d):
+    rows = table_documents(spark, d).select("source", "path", F.least(F.col("source_bytes"), F.lit(4096)).alias("size"))
+    return results.payload(rows, "source", ["path"], "size", 16384)
+
+
+@query
+def hint_packet(spark, d):
+    """Items of each lane in order of size and id, at most 8 and 2048 bytes; one that is too large is passed over."""
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") % 16).alias("lane"), "item_id", F.octet_length("text").cast("long").alias("n"))
+    lists = rows.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("item_id", "n"))).alias("l"))
+    taken = lists.withColumn("t", results.packet(F.transform("l", lambda x: x["n"]), 8, 1200))
+    return taken.select("lane", F.explode(F.arrays_zip(F.col("l.item_id").alias("item_id"), F.col("t").alias("taken"))).alias("e")).select("lane", "e.item_id", "e.taken")
+
+
+@query
+def frame_headings(spark, d):
+    """Turns of assistants as headings under the frames that users' turns are."""
+    spans = tree.page_spans(table_pages(spark, d))
+    heads = spans.select("doc", "role", F.col("line_start").alias("line"), F.concat_ws(" ", "role", F.col("number").cast("string")).alias("title"))
+    frames = heads.filter("role = 'user'").select("doc", "line", F.lit(1).alias("level"), "title")
+    return results.under_frames(heads.filter("role <> 'system'").select("doc", "line", F.lit(2).alias("level"), "title"), frames)
+
+
+@query
+def reservation_receipts(spark, d):
+    rows = events(spark, d)
+    outcomes = rows.filter("k % 7 <> 0").select("event_id", F.when(F.col("user_id") % 5 == 0, None).otherwise(F.col("cents")).alias("cents"))
+    return rules.receipts(rows.select("event_id", "user_id"), outcomes, "event_id", "user_id", "cents")
+
+
+@query
+def attempt_rule_violations(spark, d):
+    rows = events(spark, d).select(F.col("user_id").alias("run"), F.concat_ws("/", F.col("user_id").cast("string"), F.col("k").cast("string")).alias("attempt"), "event_type", "event_id", "k")
+    return rules.attempt_violations(rows, rows.filter("k % 11 <> 3"), "attempt", "event_type", 12, "run")
+
+
+@query
+def counter_regressions(spark, d):
+    return rules.regressions(events(spark, d), "user_id", "event_id", "k").select("user_id", "event_id", "k", "reached")
+
+
+@query
+def page_specifications(spark, d):
+    specs = spark.createDataFrame([(s,) for s in ("1-3,7", "5", "2-4,3-6", "10-10, 1")], "spec string")
+    return specs.select("spec", F.explode(rules.pages_of(F.col("spec"))).alias("page"))
+
+
+@query
+def tier_agreement(spark, d):
+    rows = spark.createDataFrame([("fast", "priority"), ("standard", None), ("Priority", "fast"), ("standard", "fast"), ("flex", "flex")], "asked string, observed string")
+    return rows.select("asked", "observed", rules.tier_agrees(F.col("asked"), F.col("observed")).alias("agrees"))
+
+
+@query
+def repeated_views(spark, d):
+    """Items, and some again with other white space, as views of one request."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") % 8).alias("request"), "item_id", "text")
+    other = items.select("request", (F.col("item_id") + 1_000_000).alias("item_id"), F.concat(F.lit(" "), F.regexp_replace("text", " ", "  ")).alias("text")).filter("item_id % 3 = 0")
+    return rules.distinct_views(items.unionByName(other).withColumnRenamed("item_id", "view"), "text").select("request", "view", "repeats")
+
+
+@query
+def anchor_windows(spark, d):
+    """First lines as windows, named; hints that name each window, and some that none has."""
+    first = lines.lines(table_documents(spark, d), "doc_id", "doc_key").filter("line_no = 1").select("doc_id", "doc_key", "byte_start", "byte_end", F.sha2("line", 256).alias("sha256"))
+    windows = rules.anchors(first, "g1")
+    hints = windows.select(F.col("doc_id").alias("hint_id"), F.array("anchor_id", F.when(F.col("doc_id") % 9 == 0, F.lit("nav_unknown")).otherwise(F.col("anchor_id"))).alias("anchor_ids"))
+    known, unknown = rules.anchored(hints.withColumn("anchor_ids", F.array_distinct("anchor_ids")), windows.select("anchor_id", "byte_end"))
+    return known.select("hint_id", "anchor_id", "byte_end").unionByName(unknown.select("hint_id", "anchor_id", F.lit(None).cast("long").alias("byte_end")))
+
+
+@query
+def cost_gate(spark, d):
+    rows = events(spark, d).select((F.col("event_type") != "error").alias("ok"), (F.col("cents").cast("decimal(20,6)") / 100_000).alias("model"), (F.col("k").cast("decimal(20,6)") / 100_000).alias("decisions"))
+    return rules.gate(rows, "ok", ["model", "decisions"], 61, "0.003607")
+
+
+@query
+def eval_macro_means(spark, d):
+    """Pages with a term as gold, longest pages as hits of the conversations that have a second term; by parity of the conversation."""
+    pages = table_pages(spark, d)
+    gold = pages.filter(F.contains("text", F.lit("tion"))).select(F.col("doc").alias("query"), F.col("number").alias("item"))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.octet_length("text")), "number"))
+    hits = pages.filter("doc % 5 <> 2").withColumn("rank", rank).select(F.col("doc").alias("query"), F.col("number").alias("item"), "rank")
+    queries = pages.select(F.col("doc").alias("query"), F.when(F.col("doc") % 2 == 0, "even").otherwise("odd").alias("mode")).distinct()
+    return rules.macro(rules.quality(hits, gold, queries, 3))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{IsAlphabetic}\p{N}_]+"
+#: The same class for constants, which the driver splits.
+_TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
 
 
 def digest(value: Column) -> Column:
@@ -27,15 +30,21 @@ def tokens(text: Column, most: int = 16) -> Column:
 
 def token_list(query: str, most: int = 16) -> list[str]:
     """tokens() of a constant."""
-    found = [t.lower() for t in re.findall(r"\w+", query)]
+    found = [t.lower() for t in _TOKEN.findall(query)]
     return list(dict.fromkeys(found))[:most]
 
 
+def _bare(source: str) -> str:
+    """A pattern without its character classes, and with escaped signs as letters: what is left of `(?=` or `*+` is an operator."""
+    escaped = re.sub(r"\\[^1-9kA-Za-z]", "x", source)
+    return re.sub(r"\[\^?\]?[^\]]*\]", "x", escaped)
+
+
 def pattern(source: str, ignore_case: bool = False, literal: bool = False) -> str:
     """A line pattern in the dialect of the engine: Unicode classes, `.` and `$` know only line feeds, linear-time constructs only."""
     if literal:
         source = r"\Q" + source.replace(r"\E", r"\E\\E\Q") + r"\E"
-    elif re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+", source):
+    elif re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+", _bare(source)):
         raise ValueError(f"look-around, back-references and possessive or atomic groups are not supported: {source!r}")
     return f"(?{'i' if ignore_case else ''}dU{'u' if ignore_case else ''}){source}"
 
@@ -43,7 +52,7 @@ def pattern(source: str, ignore_case: bool = False, literal: bool = False) -> st
 def literal_anchor(line: Column, query: str) -> Column:
     """Whether a one-token query is a word of the line, whatever its case."""
     word = query.strip()
-    if not re.fullmatch(r"\w+", word):
+    if not _TOKEN.fullmatch(word):
         return F.lit(False)
     return F.exists(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t) == word.lower())
 

@@ -135,8 +135,8 @@ class _Node:
 
 
 def _label(titles: list[str], pages: tuple[int, int], most: int = 200) -> str:
-    joined = "; ".join(titles)
-    if len(joined) <= most:
+    joined = "; ".join(t for t in titles if t)
+    if joined and len(joined) <= most:
         return joined
     return f"p.{pages[0]}" if pages[0] == pages[1] else f"p.{pages[0]}-{pages[1]}"
 

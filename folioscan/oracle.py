@@ -72,7 +72,7 @@ ORACLE = {
     "regex_truncated": f"WITH {L} SELECT count(*) > 200 AS truncated FROM l WHERE regexp_matches(line, '{REGEX}')",
     "regex_search_casefold": f"WITH {L} SELECT path, count(*) AS n, min(line_no) AS first_line FROM l WHERE regexp_matches(line, 'ÊTRE|über|ñas', 'i') GROUP BY path",
     "grep_context": f"WITH {L} SELECT a.doc_id, a.line_no, sha256(string_agg(b.line, chr(10) ORDER BY b.line_no)) AS context_sha256 FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 2 AND a.line_no + 2 WHERE contains(a.line, '{LITERAL}') GROUP BY ALL",
-    "scoped_search": f"WITH {L} SELECT path, line_no, {COLUMN.format(LITERAL)} AS match_column FROM l WHERE source = 'src3' AND contains(line, '{LITERAL}') ORDER BY doc_key, line_no LIMIT 50",
+    "scoped_search": f"WITH {L} SELECT path, line_no, {COLUMN.format(LITERAL)} AS match_column FROM l WHERE path = (SELECT max(path) FROM d WHERE contains(text, '{LITERAL}')) AND contains(line, '{LITERAL}') ORDER BY line_no LIMIT 50",
     "trigram_postings_stats": f"WITH {TG} SELECT tri, count(*) AS n_docs, min(doc_id) AS first_doc FROM tg GROUP BY tri",
     "trigram_candidates_vs_scan": f"WITH {TG}, c AS (SELECT doc_id FROM tg WHERE tri IN ({TRI}) GROUP BY doc_id HAVING count(DISTINCT tri) = {len(literal_trigrams(LITERAL))}) SELECT doc_id, contains(text, '{LITERAL}') AS verified FROM d JOIN c USING (doc_id)",
     "search_coverage_report": f"WITH {TG}, c AS (SELECT doc_id, 1 AS c FROM tg WHERE tri IN ({TRI}) GROUP BY doc_id HAVING count(DISTINCT tri) = {len(literal_trigrams(LITERAL))}) SELECT count(*) AS documents, count(c) AS candidates, count(*) FILTER (contains(text, '{LITERAL}') AND c = 1) AS verified, count(*) FILTER (contains(text, '{LITERAL}') AND c IS NULL) AS lost FROM d LEFT JOIN c USING (doc_id)",
@@ -135,6 +135,31 @@ SELECT model, band::BIGINT AS band, count(*) AS turns, round(sum(CASE WHEN model
     "first_valid_outcome": f"WITH {EV}, x AS (SELECT user_id::VARCHAR || '/' || (k % 5)::VARCHAR AS origin, event_id, event_type, event_type IN ('purchase', 'click') AS ok FROM ev) SELECT origin, coalesce(min(event_id) FILTER (ok), max(event_id)) AS chosen, count(*) AS attempts, count(*) FILTER (ok) AS valid, count(DISTINCT event_type) FILTER (ok) > 1 AS conflict FROM x GROUP BY origin",
     "ledger_transition_violations": "WITH x AS (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM events), y AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'unknown_state' WHEN ended = 1 THEN 'after_terminal' END AS violation FROM x) SELECT user_id, violation, count(*) AS n, min(event_id) AS first_event FROM y WHERE violation IS NOT NULL GROUP BY ALL",
     "streaming_ledger_fold": "SELECT user_id AS operation, max(event_id) AS sequence, arg_max(event_type, event_id) AS status, count(*) AS n_events, 0::BIGINT AS rejected FROM events GROUP BY user_id",
-    "node_window_cursor": None,
+    "node_window_cursor": f"""WITH {D}, c AS (SELECT doc_id, i, strlen(text[i]) AS b FROM d, unnest(range(1, least(length(text), 4096) + 1)) AS u(i)), s AS (SELECT doc_id, sum(b) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM c), r AS (SELECT doc_id, max(e) AS e FROM s WHERE e <= 4096 GROUP BY doc_id)
+SELECT doc_id, coalesce(e, 0) AS read, CASE WHEN coalesce(e, 0) < strlen(text) THEN coalesce(e, 0) END AS next_offset, strlen(text) - coalesce(e, 0) AS unread_after FROM d LEFT JOIN r USING (doc_id)""",
+    "routing_descriptions": rf"""WITH {D}, t AS (SELECT doc_key, path, regexp_replace(text, '\s+', ' ', 'g') AS o FROM dk ORDER BY path LIMIT 32), c AS (SELECT path, i, strlen(o[i]) AS b FROM t, unnest(range(1, least(length(o), 300) + 1)) AS u(i)), s AS (SELECT path, i, sum(b) OVER (PARTITION BY path ORDER BY i) AS e FROM c), n AS (SELECT path, max(i) AS n FROM s WHERE e <= 300 GROUP BY path),
+x AS (SELECT doc_key, path, 'Path: ' || path || chr(10) || 'Title: ' || split_part(path, '/', -1) || chr(10) || 'Opening: ' || o[1:coalesce(n, 0)] AS description FROM t LEFT JOIN n USING (path)) SELECT doc_key, path, strlen(description) AS n_bytes, sha256(description) AS description_sha256 FROM x""",
+    "batch_packing": """WITH RECURSIVE r AS (SELECT item_id % 16 AS lane, item_id, strlen(text) AS n, row_number() OVER (PARTITION BY item_id % 16 ORDER BY item_id) AS k FROM benchmark),
+w AS (SELECT lane, item_id, k, 0::BIGINT AS batch, 1 AS c, n AS size FROM r WHERE k = 1 UNION ALL SELECT r.lane, r.item_id, r.k, CASE WHEN c + 1 > 8 OR size + n > 2048 THEN batch + 1 ELSE batch END, CASE WHEN c + 1 > 8 OR size + n > 2048 THEN 1 ELSE c + 1 END, CASE WHEN c + 1 > 8 OR size + n > 2048 THEN n ELSE size + n END FROM w JOIN r ON r.lane = w.lane AND r.k = w.k + 1) SELECT lane, item_id, batch FROM w""",
+    "hint_packet": """WITH RECURSIVE r AS (SELECT item_id % 16 AS lane, item_id, strlen(text) AS n, row_number() OVER (PARTITION BY item_id % 16 ORDER BY item_id) AS k FROM benchmark),
+w AS (SELECT lane, item_id, k, n <= 1200 AS taken, (n <= 1200)::INT AS c, CASE WHEN n <= 1200 THEN n ELSE 0 END AS size FROM r WHERE k = 1 UNION ALL SELECT r.lane, r.item_id, r.k, c < 8 AND size + n <= 1200, c + (c < 8 AND size + n <= 1200)::INT, CASE WHEN c < 8 AND size + n <= 1200 THEN size + n ELSE size END FROM w JOIN r ON r.lane = w.lane AND r.k = w.k + 1) SELECT lane, item_id, taken FROM w""",
+    "node_search_windows": f"""WITH {NODES}, {split('asm', 'doc', 'pl')}, m AS (SELECT doc, line_no, node_id, line_start, line_end FROM (SELECT pl.doc, line_no, node_id, line_start, line_end, row_number() OVER (PARTITION BY pl.doc, line_no ORDER BY level DESC, line_end - line_start, ord DESC) AS rn FROM pl JOIN nd ON pl.doc = nd.doc AND line_no BETWEEN line_start AND line_end WHERE contains(line, 'tion')) WHERE rn = 1)
+SELECT m.doc, node_id, m.line_no AS match_line, min(b.line_no) AS first, max(b.line_no) AS last, min(b.byte_start) AS byte_start, max(b.byte_start + strlen(b.line)) AS byte_end, min(b.byte_start) FILTER (b.line_no = m.line_no) - min(b.byte_start) + 1 AS column_start, sha256(string_agg(b.line, chr(10) ORDER BY b.line_no)) AS text_sha256
+FROM m JOIN pl b ON b.doc = m.doc AND b.line_no BETWEEN greatest(m.line_no - 4, line_start) AND least(m.line_no + 12, line_end) GROUP BY m.doc, node_id, m.line_no""",
+    "stale_budget": f"WITH {L} SELECT path, line_no FROM l WHERE contains(line, '{LITERAL}') AND doc_id % 17 <> 4 AND doc_id % 13 <> 1 ORDER BY doc_key, line_no LIMIT 60",
+    "visited_stale_paths": f"WITH {L} SELECT DISTINCT path FROM l WHERE contains(line, '{LITERAL}') AND (doc_id % 17 = 4 OR doc_id % 13 = 1)",
+    "catalog_page": f"WITH {D}, r AS (SELECT path, strlen(text) AS source_bytes, row_number() OVER (ORDER BY path) - 1 AS place, count(*) OVER () AS n FROM d) SELECT path, source_bytes, place, CASE WHEN n > 60 THEN 60 END AS next_offset FROM r WHERE place >= 40 AND place < 60",
+    "payload_prefix": f"WITH {D}, r AS (SELECT source, path, least(strlen(text), 4096) AS size FROM d), u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY path)::BIGINT AS used FROM r) SELECT * FROM u WHERE used <= 16384",
+    "frame_headings": f"""WITH {PAGES}, h AS (SELECT doc, role, line_start AS line, role || ' ' || number AS title FROM sp) SELECT a.doc, a.line, a.title, f.title AS frame, CASE WHEN f.title IS NULL THEN 2 ELSE 3 END AS level FROM (SELECT * FROM h WHERE role NOT IN ('system', 'user')) a ASOF LEFT JOIN (SELECT * FROM h WHERE role = 'user') f ON a.doc = f.doc AND a.line >= f.line""",
+    "reservation_receipts": f"WITH {EV} SELECT user_id, count(*) AS reserved, count(*) FILTER (k % 7 <> 0) AS observed, count(*) FILTER (k % 7 = 0) AS unobserved, CASE WHEN count(*) FILTER (k % 7 = 0 OR user_id % 5 = 0) = 0 THEN sum(cents)::BIGINT END AS cost_total, coalesce(sum(cents) FILTER (k % 7 <> 0 AND user_id % 5 <> 0), 0)::BIGINT AS cost_known FROM ev GROUP BY user_id",
+    "attempt_rule_violations": f"WITH {EV}, v AS (SELECT 'unreserved' AS kind FROM ev WHERE k % 11 = 3 UNION ALL SELECT 'identity_changed' FROM ev GROUP BY user_id, k HAVING count(DISTINCT event_type) > 1 UNION ALL SELECT 'too_many_attempts' FROM ev WHERE k % 11 <> 3 GROUP BY user_id HAVING count(DISTINCT k) > 12) SELECT kind, count(*) AS n FROM v GROUP BY kind",
+    "counter_regressions": f"WITH {EV}, r AS (SELECT user_id, event_id, k, max(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ev) SELECT * FROM r WHERE k < reached",
+    "page_specifications": "SELECT * FROM (VALUES ('1-3,7', 1), ('1-3,7', 2), ('1-3,7', 3), ('1-3,7', 7), ('5', 5), ('2-4,3-6', 2), ('2-4,3-6', 3), ('2-4,3-6', 4), ('2-4,3-6', 5), ('2-4,3-6', 6), ('10-10, 1', 1), ('10-10, 1', 10)) t(spec, page)",
+    "tier_agreement": "SELECT * FROM (VALUES ('fast', 'priority', true), ('standard', NULL, true), ('Priority', 'fast', true), ('standard', 'fast', false), ('flex', 'flex', true)) t(asked, observed, agrees)",
+    "repeated_views": r"WITH v AS (SELECT item_id % 8 AS request, item_id AS view, text FROM benchmark UNION ALL SELECT item_id % 8, item_id + 1000000, ' ' || replace(text, ' ', '  ') FROM benchmark WHERE (item_id + 1000000) % 3 = 0) SELECT request, view, row_number() OVER (PARTITION BY request, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) ORDER BY view) > 1 AS repeats FROM v",
+    "anchor_windows": f"WITH {L}, w AS (SELECT doc_id, 'nav_' || sha256('g1:' || doc_key || ':' || byte_start || ':' || (byte_start + strlen(line)) || ':' || sha256(line)) AS anchor_id, byte_start + strlen(line) AS byte_end FROM l WHERE line_no = 1) SELECT doc_id AS hint_id, anchor_id, byte_end FROM w UNION ALL SELECT doc_id, 'nav_unknown', NULL FROM w WHERE doc_id % 9 = 0",
+    "cost_gate": f"WITH {EV}, s AS (SELECT count(*) AS questions, count(*) FILTER (event_type <> 'error') AS correct, 0::BIGINT AS cost_missing, sum(cents + k)::DOUBLE / 100000 AS cost FROM ev) SELECT questions, correct, cost_missing, round(cost, 6) AS cost, round(cost / questions, 6) AS cost_per_question, correct >= 61 AND cost / questions < 0.003607 AS passes FROM s",
+    "eval_macro_means": f"""WITH {PAGES}, g AS (SELECT DISTINCT doc, number AS item FROM pg WHERE contains(text, 'tion')), h AS (SELECT doc, number AS item, row_number() OVER (PARTITION BY doc ORDER BY strlen(text) DESC, number) AS rank FROM pg WHERE doc % 5 <> 2), f AS (SELECT g.doc, count(h.rank) / count(*) AS recall, coalesce(1.0 / min(h.rank), 0.0) AS rr FROM g LEFT JOIN (SELECT * FROM h WHERE rank <= 3) h USING (doc, item) GROUP BY g.doc),
+q AS (SELECT DISTINCT doc, CASE WHEN doc % 2 = 0 THEN 'even' ELSE 'odd' END AS mode FROM pg), x AS (SELECT q.doc, mode, recall, rr, CASE WHEN recall IS NULL THEN (q.doc % 5 = 2)::INT END AS na FROM q LEFT JOIN f USING (doc)) SELECT coalesce(mode, 'all') AS mode, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(na), 6) AS no_answer FROM x GROUP BY ROLLUP (mode)""",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}

@@ -59,7 +59,9 @@ def described(rows: DataFrame, path: Column) -> DataFrame:
 
 def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a corpus of plain-text files."""
-    path = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
+    # Ids of more than eight digits stay whole; documents without a source have a folder of their own.
+    number = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("_none")), F.lit("/"), F.when(F.length(number) < 8, F.lpad(number, 8, "0")).otherwise(F.coalesce(number, F.lit("_none"))), F.lit(".txt"))
     return described(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), path)
 
 

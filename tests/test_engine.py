@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import accounting, evaluation, lines, search, tree, trigram
+from folioscan.functions.text import pattern, token_list, tokens
+from folioscan.operators import accounting, evaluation, lines, results, rules, search, tree, trigram
 from folioscan.plans.search import search as whole_search
 from folioscan.sources import corpus, generations
 
@@ -214,3 +215,45 @@ def test_catalog_agrees_with_sql(spark, data):
         names = sorted(ours.columns)
         listed = ", ".join(f'"{n}"' for n in names)
         assert plain(map(tuple, ours.select(*names).collect())) == plain(c.sql(f"SELECT {listed} FROM ({sql})").fetchall()), name
+
+
+def test_patterns_with_escaped_signs_are_accepted():
+    for source in (r"[*+]+", r"a\++b", r"\(?=x", r"[(?=]", r"\\d+"):
+        pattern(source)
+    for source in (r"a(?=b)", r"a(?<!b)", r"a*+", r"(a)\1", r"(?>a)", r"[a]++"):
+        with pytest.raises(ValueError):
+            pattern(source)
+
+
+def test_tokens_of_constants_equal_those_of_columns(spark):
+    texts = ["हिन्दी भाषा", "naïve ½ 杭州_x", "a-b c", "İstanbul"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("found")).collect()
+    assert all(r["found"] == token_list(r["t"]) for r in rows)
+
+
+def test_ids_of_any_length_and_null_sources_have_their_own_path(spark, tmp_path):
+    spark.createDataFrame([(123456789, "s", "a"), (123456780, "s", "b"), (7, None, "c"), (7, "s", "d")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus.table_documents(spark, str(tmp_path)).collect()
+    assert len({r["path"] for r in rows}) == 4 and None not in {r["doc_key"] for r in rows}
+
+
+def test_pages_and_packets(spark):
+    rows = spark.createDataFrame([("3-1",), ("0",), ("1,,2",), ("a",)], "s string")
+    for r in rows.collect():
+        with pytest.raises(Exception, match="page specification"):
+            rows.filter(F.col("s") == r["s"]).select(rules.pages_of(F.col("s"))).collect()
+    sizes = spark.createDataFrame([([5, 9, 4, 1, 1],)], "n array<long>")
+    assert sizes.select(results.packet(F.col("n"), 3, 10).alias("t")).first()["t"] == [True, False, True, True, False]
+
+
+def test_page_of_results_tells_where_the_next_begins(spark):
+    rows = spark.range(25)
+    last = results.paginated(rows, ["id"], 20, 10).collect()
+    assert [r["id"] for r in last] == [20, 21, 22, 23, 24] and {r["next_offset"] for r in last} == {None}
+    assert {r["next_offset"] for r in results.paginated(rows, ["id"], 0, 10).collect()} == {10}
+
+
+def test_unequal_cost_parts_leave_the_gate_open(spark):
+    rows = spark.createDataFrame([(True, 1.0, None), (True, 1.0, 2.0)], "ok boolean, a double, b double")
+    r = rules.gate(rows, "ok", ["a", "b"], 1, "9").first()
+    assert r["cost"] is None and r["cost_missing"] == 1 and not r["passes"]
