@@ -100,7 +100,7 @@ def trigram_postings_stats(spark, d):
 @query
 def trigram_candidates_vs_scan(spark, d):
     docs = table_documents(spark, d)
-    found = trigram.candidates(trigram.postings(docs, "doc_id"), docs, "doc_id", LITERAL)
+    found = trigram.candidates(trigram.postings(docs, "doc_id", trigram.literal_trigrams(LITERAL)), docs, "doc_id", LITERAL)
     verified = docs.join(found, "doc_id", "left_semi").withColumn("verified", F.contains("text", F.lit(LITERAL)))
     return verified.select("doc_id", "verified")
 
@@ -108,7 +108,7 @@ def trigram_candidates_vs_scan(spark, d):
 @query
 def search_coverage_report(spark, d):
     docs = table_documents(spark, d)
-    found = trigram.candidates(trigram.postings(docs, "doc_id"), docs, "doc_id", LITERAL).withColumn("c", F.lit(1))
+    found = trigram.candidates(trigram.postings(docs, "doc_id", trigram.literal_trigrams(LITERAL)), docs, "doc_id", LITERAL).withColumn("c", F.lit(1))
     hit = F.contains("text", F.lit(LITERAL))
     rows = docs.join(found, "doc_id", "left")
     return rows.agg(F.count(F.lit(1)).alias("documents"), F.count("c").alias("candidates"), F.count(F.when(hit & F.col("c").isNotNull(), 1)).alias("verified"), F.count(F.when(hit & F.col("c").isNull(), 1)).alias("lost"))
@@ -214,7 +214,7 @@ def page_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_cost_frontier(spark, d):
-    return tree.costs(page_nodes(spark, d)).select("doc", "node_id", "span", "residual", "cost")
+    return tree.costs(page_nodes(spark, d))
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions.text import byte_column, citation, lexical_score, literal_anchor, pattern, token_list
 from folioscan.operators.lines import lines, windows
-from folioscan.operators.trigram import candidates, postings
+from folioscan.operators.trigram import candidates, literal_trigrams, postings
 
 #: The window of a lexical match, the cap on lexical matches, documents that routing keeps.
 BEFORE, AFTER, MOST_MATCHES, ROUTED = 4, 12, 10_000, 8
@@ -62,7 +62,7 @@ def grep(documents: DataFrame, query: str, literal: bool = False, ignore_case: b
 
 def grep_indexed(documents: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
     """grep() of a literal in the documents that a trigram index leaves."""
-    index = postings(documents, "doc_key") if index is None else index
+    index = postings(documents, "doc_key", literal_trigrams(query)) if index is None else index
     return grep(documents.join(candidates(index, documents, "doc_key", query), "doc_key", "left_semi"), query, literal=True)
 
 

@@ -94,30 +94,48 @@ def located(headings: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     return starts.join(wanted, "doc").filter(F.array_contains("_joined", F.col("_title"))).groupBy("doc", "title").agg(F.min("line_no").alias("line_no"))
 
 
-def costs(nodes: DataFrame, deepest_level: int = 64) -> DataFrame:
-    """span, residual, cost and frontier of each node (doc, node_id, parent_id, page_start, page_end).
+def node_costs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Costs of one document's nodes, by two ways: cost from the leaves up, frontier from each node to those above it."""
+    parent = {r.node_id: r.parent_id if isinstance(r.parent_id, str) else None for r in rows.itertuples()}
+    pages = {r.node_id: (r.page_start, r.page_end) for r in rows.itertuples()}
+    below: dict[str, list[str]] = {node: [] for node in parent}
+    for node, up in parent.items():
+        if up is not None:
+            below[up].append(node)
+    span = {node: end - start + 1 for node, (start, end) in pages.items()}
+    residual = {}
+    for node, children in below.items():
+        left, reached = span[node], pages[node][0] - 1
+        for start, end in sorted(pages[c] for c in children):
+            left -= max(0, end - max(start - 1, reached))
+            reached = max(reached, end)
+        residual[node] = left
+    order = [node for node, up in parent.items() if up is None]
+    for node in order:  # grows while it is read: nodes come after those above them
+        order += below[node]
+    if len(order) < len(parent):
+        raise ValueError("sections are their own parents")
+    cost = {}
+    for node in reversed(order):
+        cost[node] = 1 + max(residual[node], *(cost[c] for c in below[node])) if below[node] else span[node]
+    frontier = dict.fromkeys(parent, 0)
+    for node in order:
+        steps, at, own = 0, node, residual[node] + 1 if below[node] else span[node]
+        while at is not None:
+            frontier[at] = max(frontier[at], steps + own)
+            steps, at = steps + 1, parent[at]
+    return pd.DataFrame({"doc": rows["doc"].iloc[0], "node_id": order, **{name: [found[n] for n in order] for name, found in (("span", span), ("residual", residual), ("cost", cost), ("frontier", frontier))}})
+
+
+def costs(nodes: DataFrame) -> DataFrame:
+    """doc, node_id, span, residual, cost and frontier of each node (doc, node_id, parent_id, page_start, page_end).
 
     The span is the node's pages. The residual is the pages that no child covers. A leaf costs its span; another node
-    costs one step plus the larger of its residual and its children's costs. The frontier is the same for the whole
-    subtree from above: the most over its nodes of depth plus leaf span, or depth + 1 plus residual.
+    costs one step plus the larger of its residual and its children's costs. The frontier checks that: it is the most
+    over the nodes of a subtree of their depth plus their span, if leaves, or plus one and their residual. One fold for
+    each document, of any depth.
     """
-    own = nodes.withColumn("span", F.col("page_end") - F.col("page_start") + 1)
-    covered = own.filter("parent_id IS NOT NULL").select("doc", F.col("parent_id").alias("node_id"), "page_start", "page_end")
-    inner = Window.partitionBy("doc", "node_id").orderBy("page_start", "page_end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.col("page_end") - F.greatest(F.col("page_start"), F.coalesce(F.max("page_end").over(inner) + 1, F.col("page_start"))) + 1, F.lit(0))
-    covered = covered.withColumn("_new", new).groupBy("doc", "node_id").agg(F.sum("_new").alias("_covered"))
-    own = own.join(covered, ["doc", "node_id"], "left").withColumn("residual", F.col("span") - F.coalesce("_covered", F.lit(0))).withColumn("_leaf", F.col("_covered").isNull()).drop("_covered")
-    # All pairs of a node and a node below it, with their distance: a tree's are few, one for each level above a node.
-    above = own.select("doc", F.col("node_id").alias("below"), F.col("node_id").alias("at"), F.lit(0).alias("depth"))
-    links, every = own.select("doc", F.col("node_id").alias("at"), "parent_id"), above
-    for _ in range(deepest_level):
-        above = above.join(links, ["doc", "at"]).filter("parent_id IS NOT NULL").select("doc", "below", F.col("parent_id").alias("at"), (F.col("depth") + 1).alias("depth"))
-        if above.isEmpty():
-            break
-        every = every.unionByName(above)
-    parts = own.select("doc", F.col("node_id").alias("below"), F.when(F.col("_leaf"), F.col("span")).otherwise(F.col("residual") + 1).alias("_c"))
-    total = every.join(parts, ["doc", "below"]).groupBy("doc", F.col("at").alias("node_id")).agg(F.max(F.col("depth") + F.col("_c")).alias("frontier"))
-    return own.join(total, ["doc", "node_id"]).withColumn("cost", F.col("frontier")).drop("_leaf")
+    return nodes.select("doc", "node_id", "parent_id", "page_start", "page_end").groupBy("doc").applyInPandas(node_costs, "doc long, node_id string, span long, residual long, cost long, frontier long")
 
 
 MERGED = "doc long, node_id string, parent_id string, title string, page_start int, page_end int, line_start long, line_end long, key_items array<string>"

@@ -15,8 +15,14 @@ def trigrams(text):
     return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
 
 
-def postings(documents: DataFrame, key: str) -> DataFrame:
-    """tri and key: which documents have a trigram. Distinct within each document, so nothing is shuffled."""
+def postings(documents: DataFrame, key: str, only: list[str] | None = None) -> DataFrame:
+    """tri and key: which documents have a trigram. Distinct within each document, so nothing is shuffled.
+
+    With `only`, the postings of these trigrams: the others are never made, and texts without any give no row.
+    """
+    if only is not None:
+        found = F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in only]) if only else F.array().cast("array<string>")
+        return documents.select(key, F.explode(F.array_compact(found)).alias("tri"))
     return documents.select(key, F.explode(trigrams(F.col("text"))).alias("tri"))
 
 

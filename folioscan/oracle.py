@@ -96,7 +96,7 @@ v AS (SELECT doc, 'duplicate_node' AS kind FROM b GROUP BY doc, node_id HAVING c
 s AS (SELECT pn.doc, node_id, pn.parent_id, page_end - page_start + 1 AS span, page_end - page_start + 1 - coalesce(covered, 0) AS residual, covered IS NULL AS leaf FROM pn LEFT JOIN pgs ON pn.doc = pgs.doc AND pgs.parent_id = pn.node_id),
 up AS (SELECT doc, node_id AS below, node_id AS up_to, 0 AS depth FROM s UNION ALL SELECT up.doc, below, s.parent_id, depth + 1 FROM up JOIN s ON s.doc = up.doc AND s.node_id = up.up_to WHERE s.parent_id IS NOT NULL),
 f AS (SELECT up.doc, up_to AS node_id, max(depth + CASE WHEN leaf THEN span ELSE residual + 1 END) AS cost FROM up JOIN s ON s.doc = up.doc AND s.node_id = below GROUP BY ALL)
-SELECT doc, node_id, span, residual, cost FROM s JOIN f USING (doc, node_id)""",
+SELECT doc, node_id, span, residual, cost, cost AS frontier FROM s JOIN f USING (doc, node_id)""",
     "generic_bookmark_filter": rf"SELECT title, n AS normalized, regexp_matches(n, '^((page|slide|folie|documentpage)?\p{{N}}+)?$') AS generic FROM (SELECT title, lower(regexp_replace(title, '[^\p{{L}}\p{{N}}]', '', 'g')) AS n FROM {GENERIC})",
     "html_heading_tree": "WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS a FROM pages) SELECT page_id, i - 1 AS ord, a[i][3:3]::BIGINT AS level, trim(" + "replace(" * 6 + r"regexp_replace(regexp_replace(a[i], '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title FROM x, unnest(range(1, len(a) + 1)) AS u(i)",
     "semantic_round_robin": f"""WITH {PAGES}, sc AS (SELECT doc, count(*) FILTER (contains(text, 'tion')) / count(*) AS score FROM pg GROUP BY doc), r AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM sc ORDER BY score DESC, doc LIMIT 8),

@@ -32,9 +32,11 @@ def publish(documents: DataFrame, root: str) -> str:
     stream.write(bytearray(name.encode()))
     stream.close()
     current = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs.delete(current, False)
-    if not fs.rename(new, current):
-        raise OSError(f"cannot point to generation {name}")
+    # One step: readers see the pointer before or after it, never none.
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(current), how)
     return name
 
 
