@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import settle
 from folioscan.llm.subwords import flat, grams, parts
 
-SIZES, BITS = range(2, 5), 12
+#: Sampling rates are broadcast for up to so many languages, and joined by a shuffle beyond.
+SIZES, BITS, MOST_LANGUAGES = range(2, 5), 12, 10_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -118,7 +120,8 @@ def held_out():
 def learned(documents: DataFrame, most: int = 400) -> Model:
     """Fit to the labelled documents that aren't held out: document frequencies to all of them, centroids to a sample of about `most` of each language."""
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rates = usable.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_rate"))
+    rates = settle(usable.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_rate")))
+    rates = F.broadcast(rates) if rates.count() <= MOST_LANGUAGES else rates
     place = F.xxhash64(F.lit(23), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
     sample = usable.join(rates, "lang").filter(place < F.col("_rate")).select("lang", "text")
 
