@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,12 @@ from pyspark.sql.window import Window
 #: What separates words, as a character class of a regular expression: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A run of ASCII letters, digits and characters beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: UTF-8 bytes with A-Z lower-cased and all that isn't in a TERM made a space.
+_TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +61,21 @@ def word_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def terms(text: bytes | None) -> list[bytes]:
+    """TERMs of a text's UTF-8 bytes, in order, A-Z lower-cased; a null text has none."""
+    return (text or b"").translate(_TERM_BYTES).split()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that doesn't exist yet, among those that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def random_key(seed: int, *columns: Column) -> Column:
     """A seeded pseudo-random long in [0, 2**63), the same in every run."""
     return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit(2**63 - 1))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import fingerprints, langid, lm, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from folioscan.llm import (
+    blockmax, fingerprints, langid, licenses, lm, mixing, ngram_join, packing, quality_rules, resampling, sharding, toxicity, warc,
+)
 from folioscan.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,4 +32,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": lambda spark, d: packing.report(documents(spark, d), tokenizer_path()),
         "op9_quality_rules": lambda spark, d: quality_rules.report(documents(spark, d)),
         "op10_source_mix": lambda spark, d: mixing.report(documents(spark, d)),
+        "op11_license_scan": lambda spark, d: licenses.report(documents(spark, d)),
+        "op12_block_max_search": lambda spark, d: blockmax.report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op13_importance_resampling": lambda spark, d: resampling.report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     }

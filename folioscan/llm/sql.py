@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscan.llm.common import LOWER, TERM, UPPER
 from folioscan.llm.quality_rules import STOP_WORDS
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,5 +73,57 @@ FROM j
 """
 
 
+#: Each benchmark item's 20 best documents, over documents(doc_id, text) and benchmark(item_id, text).
+RANKED = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents),
+n AS (SELECT doc_id, r, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM n),
+p AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, n, unnest(ts) AS term FROM n) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM p, c GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // tokens))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+#: Importance weights of documents(doc_id, text) towards benchmark(text), and the draw. crc32 is made word by word from its table.
+RESAMPLED = rf"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM steps WHERE k = 8),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents),
+b AS (SELECT regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM benchmark),
+f AS (SELECT r, feature, count(*) AS n FROM (SELECT r, unnest(ts) AS feature FROM d) GROUP BY ALL),
+g AS (SELECT feature, count(*) AS n FROM (SELECT unnest(ts) AS feature FROM b) GROUP BY ALL),
+h AS (
+  SELECT feature, list_transform(range(1, strlen(feature) + 1), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i - 1, 2))::BIGINT) AS bytes
+  FROM (SELECT feature FROM f UNION SELECT feature FROM g)),
+k AS (
+  SELECT feature, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM h, crc),
+s AS (SELECT bucket, sum(n) AS s FROM f JOIN k USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM g JOIN k USING (feature) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(n), 0) FROM f)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM g)::DOUBLE AS t_all),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000)) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM f JOIN k USING (feature) JOIN gain USING (bucket) GROUP BY r),
+a AS (
+  SELECT doc_id, r, coalesce(len(ts), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)),
+e AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS docs FROM a WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * docs // 100 THEN rank END AS rank FROM a LEFT JOIN e USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": REVISITS, "op9_quality_rules": QUALITY}
+    return {"op5_warc_revisits": REVISITS, "op9_quality_rules": QUALITY, "op12_block_max_search": RANKED, "op13_importance_resampling": RESAMPLED}
