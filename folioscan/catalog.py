@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, token_list, tokens
+from folioscan.functions.patterns import plan
+from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, pattern, token_list, tokens
 from folioscan.operators import accounting, evaluation, lines, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
 from folioscan.sources.corpus import fresh, scoped, table_documents, table_pages
+from folioscan.sources.storage import new_folder, remove, settle
 from folioscan.streaming.ledger import folded
 
 LITERAL, REGEX, QUERY = "tion of", "[Tt]h[a-z]{2,}ing[.,]", "ontion threa of"
 VIEWS = ("ontion threa of", "thanedble there", "enonth ing")
+#: Alternatives, repeats, classes of all kinds, groups and flags; the last two leave no trigram to the index.
+PATTERNS = (
+    "[Tt]h[a-z]{2,}ing[.,]", r"\p{Lu}\p{Ll}*tion of", "(?i)licensed under (the|cc)", r"(?P<name>MIT|Apache) License", "[[:alpha:]]+ción(es)? (de|que)",
+    "(on|er)(tion|thing)+[^a-z]", r"^\p{Lu}[\p{Ll}&&[a-zñ]--[a-y]]", r"\d{4}",
+)
 LEVELS = {"system": 1, "user": 2, "assistant": 3}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,10 +102,19 @@ def trigram_postings_stats(spark, d):
     return index.groupBy("tri").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+def with_index(spark: SparkSession, docs: DataFrame, key: str, use: Callable[[trigram.Index], DataFrame]) -> DataFrame:
+    """What use makes of a stored index of docs. The result is kept, the index removed."""
+    path = new_folder(spark, "index")
+    trigram.write_index(docs, key, path)
+    found = settle(use(trigram.open_index(spark, path)))
+    remove(spark, path)
+    return found
+
+
 @query
 def trigram_candidates_vs_scan(spark, d):
     docs = table_documents(spark, d)
-    found = trigram.candidates(trigram.postings(docs, "doc_id", trigram.literal_trigrams(LITERAL)), docs, "doc_id", LITERAL)
+    found = with_index(spark, docs, "doc_id", lambda index: index.candidates(plan(LITERAL, literal=True)))
     verified = docs.join(found, "doc_id", "left_semi").withColumn("verified", F.contains("text", F.lit(LITERAL)))
     return verified.select("doc_id", "verified")
 
@@ -108,12 +122,41 @@ def trigram_candidates_vs_scan(spark, d):
 @query
 def search_coverage_report(spark, d):
     docs = table_documents(spark, d)
-    found = trigram.candidates(trigram.postings(docs, "doc_id", trigram.literal_trigrams(LITERAL)), docs, "doc_id", LITERAL).withColumn("c", F.lit(1))
+    found = with_index(spark, docs, "doc_id", lambda index: index.candidates(plan(LITERAL, literal=True))).withColumn("c", F.lit(1))
     hit = F.contains("text", F.lit(LITERAL))
     rows = docs.join(found, "doc_id", "left")
     return rows.agg(F.count(F.lit(1)).alias("documents"), F.count("c").alias("candidates"), F.count(F.when(hit & F.col("c").isNotNull(), 1)).alias("verified"), F.count(F.when(hit & F.col("c").isNull(), 1)).alias("lost"))
 
 
+@query
+def regex_index_search(spark, d):
+    """Lines that match each of some patterns, read from the documents that one stored index leaves for it."""
+    docs = table_documents(spark, d)
+
+    found = with_index(spark, docs, "doc_key", lambda index: search.indexed_searches(docs, index, list(PATTERNS)))
+    return found.select("pattern", "doc_key", "line_no", "byte_start", "match_column")
+
+
+@query
+def regex_index_coverage(spark, d):
+    """For each pattern, how many documents the index leaves, how many of them match, and how many match that it doesn't leave."""
+    docs = table_documents(spark, d)
+
+    every = docs.select("doc_key", F.explode(F.sequence(F.lit(0), F.lit(len(PATTERNS) - 1))).alias("pattern"))
+
+    def left(index: trigram.Index) -> DataFrame:
+        return reduce(DataFrame.unionByName, [index.candidates(plan(p)).withColumn("pattern", F.lit(i)) for i, p in enumerate(PATTERNS)])
+
+    left = with_index(spark, docs, "doc_key", left).withColumn("_left", F.lit(1))
+    rows = lines.lines(docs, "doc_key")
+    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(pattern(p)), F.lit(i)) for i, p in enumerate(PATTERNS)]))
+    hits = rows.select("doc_key", F.explode(hits).alias("pattern")).distinct().withColumn("_hit", F.lit(1))
+    rows = every.join(left, ["doc_key", "pattern"], "left").join(hits, ["doc_key", "pattern"], "left")
+    return rows.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("_left").alias("candidates"), F.count(F.when(F.col("_left") == 1, F.col("_hit"))).alias("verified"), F.count(F.when(F.col("_left").isNull(), F.col("_hit"))).alias("lost")
+    )
+
+
 @query
 def query_tokens(spark, d):
     rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", tokens(F.col("text")).alias("t"))
@@ -485,9 +528,7 @@ def ledger_transition_violations(spark, d):
 
 @query
 def streaming_ledger_fold(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    where = os.path.join(base, f"ledger-{uuid.uuid4().hex}")
-    return folded(spark, f"{d}/events.parquet", where, {"operation": "user_id", "sequence": "event_id", "status": "event_type"})
+    return folded(spark, f"{d}/events.parquet", new_folder(spark, "ledger"), {"operation": "user_id", "sequence": "event_id", "status": "event_type"})
 
 
 @query

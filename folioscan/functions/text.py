@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscan.functions import patterns
+
 TOKEN = r"[\p{IsAlphabetic}\p{N}_]+"
 #: The same class for constants, which the driver splits.
 _TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
@@ -34,19 +34,9 @@ def token_list(query: str, most: int = 16) -> list[str]:
     return list(dict.fromkeys(found))[:most]
 
 
-def _bare(source: str) -> str:
-    """A pattern without its character classes, and with escaped signs as letters: what is left of `(?=` or `*+` is an operator."""
-    escaped = re.sub(r"\\[^1-9kA-Za-z]", "x", source)
-    return re.sub(r"\[\^?\]?[^\]]*\]", "x", escaped)
-
-
 def pattern(source: str, ignore_case: bool = False, literal: bool = False) -> str:
-    """A line pattern in the dialect of the engine: Unicode classes, `.` and `$` know only line feeds, linear-time constructs only."""
-    if literal:
-        source = r"\Q" + source.replace(r"\E", r"\E\\E\Q") + r"\E"
-    elif re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+", _bare(source)):
-        raise ValueError(f"look-around, back-references and possessive or atomic groups are not supported: {source!r}")
-    return f"(?{'i' if ignore_case else ''}dU{'u' if ignore_case else ''}){source}"
+    """A line pattern of the engine's dialect in the JVM's."""
+    return patterns.java(patterns.escape(source) if literal else source, ignore_case)
 
 
 def literal_anchor(line: Column, query: str) -> Column:

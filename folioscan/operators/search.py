@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscan.functions.patterns import plan
 from folioscan.functions.text import byte_column, citation, lexical_score, literal_anchor, pattern, token_list
 from folioscan.operators.lines import lines, windows
-from folioscan.operators.trigram import candidates, literal_trigrams, postings
+from folioscan.operators.trigram import Index, candidates, postings
 
 #: The window of a lexical match, the cap on lexical matches, documents that routing keeps.
 BEFORE, AFTER, MOST_MATCHES, ROUTED = 4, 12, 10_000, 8
@@ -61,11 +63,38 @@ def grep(documents: DataFrame, query: str, literal: bool = False, ignore_case: b
 
 
 def grep_indexed(documents: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
-    """grep() of a literal in the documents that a trigram index leaves."""
-    index = postings(documents, "doc_key", literal_trigrams(query)) if index is None else index
+    """grep() of a literal in the documents that a trigram index leaves. index: tri, doc_key."""
+    index = postings(documents, "doc_key") if index is None else index
     return grep(documents.join(candidates(index, documents, "doc_key", query), "doc_key", "left_semi"), query, literal=True)
 
 
+def admitted(documents: DataFrame, index: Index, plans: list[object], accept: DataFrame | None = None) -> DataFrame:
+    """The documents (doc_key, text, text_sha256) whose text a search has to read, with `wanted`, which of the plans leave them.
+
+    accept (doc_key) tells which candidates may be read at all. A candidate that documents lack, or whose text hasn't the
+    recorded digest, is an error once it is read.
+    """
+    found = reduce(DataFrame.unionByName, [index.candidates(p).withColumn("_plan", F.lit(i)) for i, p in enumerate(plans)])
+    found = found if accept is None else found.join(accept.select("doc_key"), "doc_key", "left_semi")
+    found = found.groupBy("doc_key").agg(F.collect_set("_plan").alias("wanted"))
+    rows = found.join(documents.withColumn("_there", F.lit(True)), "doc_key", "left")
+    known = F.coalesce(F.col("_there"), F.lit(False)) & (F.sha2("text", 256) == F.col("text_sha256"))
+    text = F.when(known, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("a candidate is missing or has changed: "), F.col("doc_key"))))
+    return rows.withColumn("text", text).select(*documents.columns, "wanted")
+
+
+def indexed_searches(documents: DataFrame, index: Index, queries: list[str], literal: bool = False, ignore_case: bool = False, accept: DataFrame | None = None) -> DataFrame:
+    """grep() of several patterns, told by `pattern`, in the documents that the index leaves for them: each is read and split once.
+
+    The lines are those of a scan, as candidates are a superset of what matches.
+    """
+    regexes = [pattern(q, ignore_case, literal) for q in queries]
+    rows = lines(admitted(documents, index, [plan(q, ignore_case, literal) for q in queries], accept).filter("text <> ''"), "doc_key", "path", "wanted")
+    hits = F.array(*[F.when(F.array_contains("wanted", i) & F.col("line").rlike(r), F.struct(F.lit(i).alias("pattern"), byte_column(F.col("line"), r).alias("match_column"))) for i, r in enumerate(regexes)])
+    found = rows.withColumn("_hit", F.explode(F.array_compact(hits))).select("*", "_hit.*").drop("_hit", "wanted")
+    return found.withColumn("citation", citation(F.col("path"), F.col("line_no"), F.col("line_no")))
+
+
 def lexical(documents: DataFrame, query: str, limit: int, anchored: bool = True) -> DataFrame:
     """Each document's best window for a query: any term matches a line, the window around it is scored, the best stays.
 

@@ -64,7 +64,27 @@ def recall(query: str, key: str, gold: str, hits: str, k: int) -> str:
     return f"{query} SELECT g.{key}, round(count(h.rank) / count(*), 6) AS recall, round(coalesce(1.0 / min(h.rank), 0.0), 6) AS reciprocal_rank, count(*) AS relevant FROM {gold} g LEFT JOIN (SELECT * FROM {hits} WHERE rank <= {k}) h USING ({key}, item) GROUP BY g.{key}"
 
 
+def having(*strings: str) -> str:
+    return "(" + " AND ".join(f"contains(text, '{x}')" for x in strings) + ")"
+
+
+#: The catalog's patterns in the SQL engine's dialect, and what trigrams a document must have to match, worked out by hand.
+PATTERN_SQL = {
+    "[Tt]h[a-z]{2,}ing[.,]": "contains(text, 'ing') AND (contains(text, 'ng,') OR contains(text, 'ng.'))",
+    r"\p{Lu}\p{Ll}*tion of": "contains(text, 'tio') AND contains(text, 'ion') AND contains(text, 'on ') AND contains(text, 'n o') AND contains(text, ' of')",
+    "(?i)licensed under (the|cc)": " AND ".join(f"regexp_matches(text, '(?i){g}')" for g in ("lic", "ice", "cen", "ens", "nse", "sed", "ed ", "d u", " un", "und", "nde", "der", "er ", "r [ct]", " (cc|th)")),
+    "(MIT|Apache) License": " AND ".join([f"({having('Apa', 'pac', 'ach', 'che', 'he ', 'e L')} OR {having('MIT', 'IT ', 'T L')})", having(" Li", "Lic", "ice", "cen", "ens", "nse")]),
+    "[[:alpha:]]+ción(es)? (de|que)": f"{having('ció', 'ión')} AND ({having('es ')} OR {having('ón ')}) AND ({having('n d', ' de')} OR {having('n q', ' qu')} OR {having('s d', ' de')} OR {having('s q', ' qu')})",
+    "(on|er)(tion|thing)+[^a-z]": f"({having('thi', 'hin', 'ing')} OR {having('tio', 'ion')}) AND ({having('ert', 'rth')} OR {having('ert', 'rti')} OR {having('ont', 'nth')} OR {having('ont', 'nti')})",
+    r"^\p{Lu}[zñ]": "true",
+    r"\d{4}": "true",
+}
+PATTERN_HITS = " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, doc_key, line_no, byte_start, (strlen(regexp_extract(line, '^(.*?)(?:{p.removeprefix('(?i)')})', 1{', ' + chr(39) + 'i' + chr(39) if '(?i)' in p else ''})) + 1)::BIGINT AS match_column FROM l WHERE regexp_matches(line, '{p}')" for i, p in enumerate(PATTERN_SQL))
+
+
 ORACLE = {
+    "regex_index_coverage": f"WITH {L}, h AS ({PATTERN_HITS}), c AS (" + " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, {c} AS left_ FROM d" for i, c in enumerate(PATTERN_SQL.values())) + ") SELECT c.pattern, count(*) AS documents, count(*) FILTER (left_) AS candidates, count(*) FILTER (left_ AND h.doc_id IS NOT NULL) AS verified, count(*) FILTER (NOT left_ AND h.doc_id IS NOT NULL) AS lost FROM c LEFT JOIN (SELECT DISTINCT pattern, doc_id FROM h) h ON c.pattern = h.pattern AND c.doc_id = h.doc_id GROUP BY c.pattern",
+    "regex_index_search": f"WITH {L} SELECT pattern, doc_key, line_no, byte_start, match_column FROM ({PATTERN_HITS})",
     "corpus_catalog": f"WITH {D} SELECT doc_id, path, doc_key, sha256(text) AS text_sha256, strlen(text) AS source_bytes, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS n_lines FROM dk",
     "line_index": f"WITH {L} SELECT doc_id, line_no, byte_start, byte_start + strlen(line) AS byte_end FROM l",
     "literal_search": f"WITH {L} SELECT doc_key, path, line_no, {COLUMN.format(LITERAL)} AS match_column, byte_start, {CITE} AS citation FROM l WHERE contains(line, '{LITERAL}') ORDER BY doc_key, line_no LIMIT 200",
