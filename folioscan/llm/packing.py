@@ -25,7 +25,9 @@ crosses; that makes very long texts cheap, and lets a worker keep the tokens of
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -46,7 +48,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&|]*)")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: White space of Unicode, and separators that only str.split() takes for it.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MOST_WORDS = 300_000
+#: Words and pieces of words whose ids a worker keeps, some 200 bytes each.
+MOST_WORDS, MOST_RUNS = 300_000, 800_000
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -56,6 +59,14 @@ def _byte_symbols() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Numbers as unsigned 32-bit ones. Short lists are cheaper this way than as arrays of numpy."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class WordIds(dict):
     """The ids of each word, as bytes of little-endian unsigned 32-bit numbers."""
 
@@ -68,18 +79,19 @@ class WordIds(dict):
 
     def run(self, text: str) -> bytes:
         if (found := self.runs.get(text)) is None:
+            if len(self.runs) >= MOST_RUNS:
+                self.runs.clear()
             shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbols)
-            found = self.runs[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.runs[text] = little_endian([t.id for t in self.model.tokenize(shown)])
         return found
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-            self.runs.clear()
         if plain := PLAIN.fullmatch(word):
             ids = self.run(plain[1].lower()) + (self.run(plain[2]) if plain[2] else b"")
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = little_endian(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
