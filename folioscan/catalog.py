@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions.patterns import plan
 from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, pattern, token_list, tokens
-from folioscan.operators import accounting, evaluation, lines, results, rules, search, tree, trigram
+from folioscan.operators import accounting, evaluation, lines, outline, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
 from folioscan.sources.corpus import fresh, scoped, table_documents, table_pages
@@ -215,6 +215,64 @@ def line_to_page(spark, d):
     return tree.pages_of_lines(hits, tree.page_spans(pages)).select("doc", "line_no", "page")
 
 
+def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as Markdown: a turn has a heading by its role, some in the underlined form, with marks; some bring headings in code, quotes and lists, which are none."""
+    n, k = F.col("number").cast("string"), F.col("number")
+    head = F.when(F.col("role") == "system", F.concat(F.lit("System *"), n, F.lit("*\n===\n"))).when(F.col("role") == "user", F.concat(F.lit("## User **"), n, F.lit("** `a_b` ##\n")))
+    head = head.otherwise(F.concat(F.lit("### [Reply "), n, F.lit("](x) &amp; <b>more</b>\n")))
+    odd = F.when(k % 5 == 4, "```\n# code\n```\n").when(k % 5 == 3, "> # quoted\n\n").when(k % 5 == 2, "- # item\n\n  # of it\n\n").otherwise("")
+    body = F.concat(F.lit("x "), F.regexp_replace("text", "\n", "\nx "), F.lit("\n\n"))
+    parts = table_pages(spark, d).select("doc", "number", F.concat(F.when(k > 1, head).otherwise(""), F.lit("\n"), odd, body).alias("part"))
+    rows = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("number", "part"))).alias("p"))
+    return rows.select("doc", F.array_join(F.transform("p", lambda p: p["part"]), "").alias("text"), F.concat(F.lit("c"), F.col("doc").cast("string")).alias("title"))
+
+
+@query
+def markdown_tree(spark, d):
+    docs = markdown_documents(spark, d)
+    return outline.built(docs, outline.whole_pages(docs), outline.document_headings(docs))
+
+
+def page_bookmarks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of conversations, bookmarks and layout headings of them. Every ninth conversation has neither.
+
+    Titles are a page's first two lines, or stand on no page, or only number it; some go back, to no page or have no level.
+    """
+    pages = tree.page_spans(table_pages(spark, d)).withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    rows = pages.filter("doc % 9 <> 0").withColumn("ls", F.split("text", "\n"))
+    n = F.col("number")
+    first = F.trim(F.array_join(F.slice("ls", 1, 2), " "))
+    title = F.when(n % 4 == 0, F.concat(F.lit("Absent "), n.cast("string"))).when(n % 4 == 3, F.concat(F.lit("Page "), n.cast("string"))).otherwise(first)
+    own = rows.select("doc", (2 * n).alias("ord"), title.alias("title"), F.expr("1 + number * 7 % 3").cast("int").alias("level"), n.alias("page"))
+    wrong = rows.filter("number % 3 = 0").select(
+        "doc", (2 * n + 1).alias("ord"), F.concat(F.lit("Odd "), n.cast("string")).alias("title"), F.when(n % 2 == 0, 0).otherwise(1).alias("level"), F.when(n % 5 == 0, 0).when(n % 5 == 1, n + 1000).otherwise(n - 1).alias("page")
+    )
+    top = rows.select("doc", (2 * n).alias("ord"), F.trim(F.element_at("ls", 1)).alias("title"), F.expr("1 + number % 2").cast("int").alias("level"), n.alias("page"), F.lit(1).alias("line"))
+    low = rows.select("doc", (2 * n + 1).alias("ord"), F.trim(F.element_at("ls", -1)).alias("title"), F.lit(2).alias("level"), n.alias("page"), F.size("ls").alias("line"))
+    return pages, own.unionByName(wrong), top.unionByName(low)
+
+
+@query
+def bookmark_admission(spark, d):
+    pages, bookmarks, _ = page_bookmarks(spark, d)
+    return outline.admitted(bookmarks, pages).select("doc", "ord", "page", "level", "accepted")
+
+
+@query
+def bookmark_places(spark, d):
+    pages, bookmarks, _ = page_bookmarks(spark, d)
+    return outline.framed(outline.admitted(bookmarks, pages), pages).select("doc", "ord", "page", "line", "page_boundary")
+
+
+@query
+def bookmark_tree(spark, d):
+    """Sections of paginated documents: bookmarks as a frame, layout headings within it, pages where there are neither."""
+    pages, bookmarks, layout = page_bookmarks(spark, d)
+    headings = outline.merged(outline.layout_lines(layout, pages), outline.framed(outline.admitted(bookmarks, pages), pages))
+    docs = pages.select("doc", F.concat(F.lit("c"), F.col("doc").cast("string")).alias("title")).distinct()
+    return outline.built(docs, pages, headings).withColumn("title", F.sha2("title", 256))
+
+
 def conversation_nodes(spark: SparkSession, d: str) -> DataFrame:
     spans = tree.page_spans(table_pages(spark, d))
     level = F.element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), F.col("role"))

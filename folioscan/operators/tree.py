@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.text import normalized
+from folioscan.operators.outline import markdown_headings, section_rows  # noqa: F401
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
@@ -41,16 +42,9 @@ def sections(headings: DataFrame, ends: DataFrame) -> DataFrame:
     """Nodes of a document's headings (doc, line, level, title), given each document's last line (doc, last_line).
 
     A node's parent is the latest earlier heading with a lower level; it ends before the next one that isn't below it.
-    Both are folds over the headings of one document.
+    Both come from one pass with a stack over the headings of a document.
     """
-    row = F.struct("line", "level", "title")
-    lists = headings.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("h")).join(ends, "doc")
-    numbered = lists.select("doc", "last_line", "h", F.posexplode("h").alias("ord", "x"))
-    earlier = F.filter(F.slice("h", F.lit(1), F.col("ord")), lambda e: e["level"] < F.col("x.level"))
-    later = F.filter(F.slice("h", F.col("ord") + 2, F.size("h")), lambda e: e["level"] <= F.col("x.level"))
-    parent = F.when(F.size(earlier) > 0, F.array_position("h", F.element_at(earlier, -1)) - 1)
-    end = F.when(F.size(later) > 0, F.element_at(later, 1)["line"] - 1).otherwise(F.col("last_line"))
-    return numbered.select("doc", "ord", node_id(F.col("ord")).alias("node_id"), node_id(parent).alias("parent_id"), F.col("x.title").alias("title"), F.col("x.level").alias("level"), F.col("x.line").alias("line_start"), F.greatest(end, F.col("x.line")).alias("line_end"))
+    return section_rows(headings, ends)
 
 
 def node_id(number: Column) -> Column:
@@ -242,44 +236,3 @@ def html_headings(pages: DataFrame) -> DataFrame:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         title = F.replace(title, F.lit(entity), F.lit(char))
     return rows.select("page_id", "ord", F.regexp_extract("_h", r"(?i)<h([1-6])", 1).cast("int").alias("level"), F.trim(title).alias("title"))
-
-
-def markdown_headings(text: str) -> list[tuple[int, int, str]]:
-    """(line, level, title) of the ATX and Setext headings of a CommonMark text: not in code fences, front matter, quotes or lists."""
-    import re
-
-    found, lines, k = [], text.replace("\r\n", "\n").split("\n"), 0
-    if lines and lines[0].rstrip() in ("---", "+++"):
-        end = next((i for i in range(1, len(lines)) if lines[i].rstrip() == lines[0].rstrip()), None)
-        k = end + 1 if end is not None else 0
-    fence, run = None, []
-    for i in range(k, len(lines)):
-        line = lines[i]
-        if fence:
-            if re.fullmatch(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}\s*", line):
-                fence = None
-            continue
-        if m := re.match(r" {0,3}(`{3,}|~{3,})(?!.*`)", line):
-            fence, run = m[1], []
-        elif m := re.fullmatch(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*", line):
-            if title := (m[2] or "").strip():
-                found.append((i + 1, len(m[1]), title))
-            run = []
-        elif run and re.fullmatch(r" {0,3}(=+|-+)[ \t]*", line):
-            found.append((run[0][0], 1 if "=" in line else 2, " ".join(t for _, t in run)))
-            run = []
-        elif not line.strip() or re.match(r" {0,3}(>|[-*+] |\d{1,9}[.)] )|    ", line) and not run:
-            run = []
-        else:
-            run.append((i + 1, line.strip()))
-    return found
-
-
-def document_headings(documents: DataFrame) -> DataFrame:
-    """doc_key, line, level and title of the headings of Markdown documents."""
-
-    @F.pandas_udf("array<struct<line: int, level: int, title: string>>")
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"line": a, "level": b, "title": c} for a, b, c in markdown_headings(t or "")])
-
-    return documents.select("doc_key", F.explode(parse("text")).alias("h")).select("doc_key", "h.*")

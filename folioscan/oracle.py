@@ -82,7 +82,56 @@ PATTERN_SQL = {
 PATTERN_HITS = " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, doc_key, line_no, byte_start, (strlen(regexp_extract(line, '^(.*?)(?:{p.removeprefix('(?i)')})', 1{', ' + chr(39) + 'i' + chr(39) if '(?i)' in p else ''})) + 1)::BIGINT AS match_column FROM l WHERE regexp_matches(line, '{p}')" for i, p in enumerate(PATTERN_SQL))
 
 
+#: Sections of candidates cd(doc, i, line, level, title, page, boundary), i from 0 without gaps, and pages sp: what one pass with a stack gives, from whole sets.
+SECTIONS = """lp AS (SELECT doc, max(line_end) AS last_line, max(number) AS n_pages FROM sp GROUP BY doc),
+fi AS (SELECT doc, CASE WHEN min(line) > 1 THEN 1 ELSE 0 END AS shift FROM cd GROUP BY doc),
+nx AS (SELECT a.*, (SELECT min(b.i) FROM cd b WHERE b.doc = a.doc AND b.i > a.i AND b.level <= a.level) AS until, (SELECT max(b.i) FROM cd b WHERE b.doc = a.doc AND b.i < a.i AND b.level < a.level) AS up FROM cd a),
+en AS (SELECT nx.*, greatest(nx.line, CASE WHEN until IS NULL THEN last_line WHEN u.boundary THEN p.line_end ELSE u.line - 1 END) AS own_end, last_line
+  FROM nx JOIN lp USING (doc) LEFT JOIN cd u ON u.doc = nx.doc AND u.i = nx.until LEFT JOIN sp p ON p.doc = nx.doc AND p.number = u.page),
+ee AS (SELECT a.doc, a.i, a.line, a.level, a.title, a.page, a.up, max(b.own_end) AS line_end FROM en a JOIN en b ON a.doc = b.doc AND b.i >= a.i AND b.i < coalesce(a.until, 1000000) GROUP BY ALL),
+un AS (SELECT ee.doc, i + shift AS ord, up + shift AS up, title, level, line AS line_start, line_end, page AS page_start FROM ee JOIN fi USING (doc)
+  UNION ALL SELECT doc, 0, NULL, 'Preface', 1, 1, min(line) - 1, 1 FROM cd GROUP BY doc HAVING min(line) > 1
+  UNION ALL SELECT sp.doc, number - 1, NULL, CASE WHEN n_pages = 1 THEN 'c' || sp.doc ELSE 'Page ' || number END, 1, line_start, line_end, number FROM sp JOIN lp USING (doc) WHERE sp.doc NOT IN (SELECT doc FROM cd)),
+sections AS (SELECT un.doc, ord, printf('%04d', ord) AS node_id, CASE WHEN up IS NULL THEN NULL ELSE printf('%04d', up) END AS parent_id, title, level::BIGINT AS level, un.line_start, un.line_end, page_start, max(p.number) AS page_end
+  FROM un JOIN sp p ON p.doc = un.doc AND p.line_start <= un.line_end GROUP BY ALL)"""
+PLAIN = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+#: Markdown made of conversations: blocks of lines whose numbers are known from how they are made.
+MARKDOWN = """pg AS (SELECT conv_id AS doc, turn + 1 AS number, role, coalesce(text, '') AS text FROM conversations),
+bl AS (SELECT *, CASE WHEN number = 1 THEN 0 WHEN role = 'system' THEN 2 ELSE 1 END AS hl, 1 + CASE number % 5 WHEN 4 THEN 3 WHEN 3 THEN 2 WHEN 2 THEN 4 ELSE 0 END + len(string_split(text, chr(10))) + 1 AS bl FROM pg),
+st AS (SELECT *, coalesce(sum(hl + bl) OVER (PARTITION BY doc ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS line FROM bl),
+sp AS (SELECT doc, 1 AS number, 1 AS line_start, sum(hl + bl)::BIGINT AS line_end FROM bl GROUP BY doc),
+cd AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY number) - 1 AS i, line, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level,
+  CASE role WHEN 'system' THEN 'System ' || number WHEN 'user' THEN 'User ' || number || ' a_b' ELSE 'Reply ' || number || ' & more' END AS title, 1 AS page, false AS boundary FROM st WHERE number > 1)"""
+#: Bookmarks and layout headings of pages, and the bookmarks' admission by a recursion with a list of open levels.
+MARKS = rf"""{PAGES}, lt AS (SELECT sp.*, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM sp JOIN pg USING (doc, number) WHERE sp.doc % 9 <> 0),
+bk0 AS (SELECT doc, 2 * number AS ord, CASE number % 4 WHEN 0 THEN 'Absent ' || number WHEN 3 THEN 'Page ' || number ELSE trim(array_to_string(ls[1:2], ' ')) END AS title, 1 + number * 7 % 3 AS level, number AS page FROM lt
+  UNION ALL SELECT doc, 2 * number + 1, 'Odd ' || number, CASE WHEN number % 2 = 0 THEN 0 ELSE 1 END, CASE number % 5 WHEN 0 THEN 0 WHEN 1 THEN number + 1000 ELSE number - 1 END FROM lt WHERE number % 3 = 0),
+bk AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k, max(number) OVER (PARTITION BY doc) AS n_pages, {PLAIN.format('title')} AS key FROM bk0 JOIN (SELECT doc, max(number) AS number FROM sp GROUP BY doc) USING (doc)),
+ad AS (
+  SELECT doc, 0::BIGINT AS k, NULL::BIGINT AS ord, NULL::VARCHAR AS title, 0::BIGINT AS page, []::BIGINT[] AS levels, 0::BIGINT AS reached, false AS accepted FROM (SELECT DISTINCT doc FROM bk)
+  UNION ALL
+  SELECT bk.doc, bk.k, bk.ord, bk.title, bk.page, CASE WHEN ok THEN list_append(list_filter(levels, lambda x: x < bk.level), bk.level) ELSE levels END, CASE WHEN ok THEN bk.page ELSE reached END, ok
+  FROM ad JOIN (SELECT * FROM bk) bk ON bk.doc = ad.doc AND bk.k = ad.k + 1,
+    LATERAL (SELECT bk.page >= reached AND bk.page BETWEEN 1 AND n_pages AND bk.level > 0 AND bk.title <> '' AND NOT regexp_matches(key, '^((page|slide|folie|documentpage)\p{{N}}+|\p{{N}}*)$') AS ok)),
+fr AS (
+  SELECT a.doc, a.ord, a.title, len(levels) AS level, a.page, line_start, (
+    SELECT min(i) FROM unnest(range(1, len(ls) + 1)) u(i), unnest(range(0, 8)) v(j)
+    WHERE {PLAIN.format('ls[i]')} <> '' AND {PLAIN.format("array_to_string(ls[i:i + j], '')")} = {PLAIN.format('a.title')}) AS found
+  FROM ad a JOIN lt ON lt.doc = a.doc AND lt.number = a.page WHERE accepted),
+fm AS (SELECT doc, ord, title, level, page, line_start + coalesce(found, 1) - 1 AS line, found IS NULL AS boundary, {PLAIN.format('title')} AS key FROM fr),
+la AS (SELECT *, {PLAIN.format('title')} AS key FROM (SELECT doc, 2 * number AS ord, trim(ls[1]) AS title, 1 + number % 2 AS level, number AS page, line_start AS line FROM lt
+  UNION ALL SELECT doc, 2 * number + 1, trim(ls[-1]), 2, number, line_start + len(ls) - 1 FROM lt) WHERE title <> ''),
+lf AS (SELECT la.*, coalesce((SELECT arg_max(fm.level, [fm.line, fm.level, fm.ord]) FROM fm WHERE fm.doc = la.doc AND fm.line <= la.line), 0) AS under FROM la WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.doc = la.doc AND fm.page = la.page AND fm.key = la.key)),
+al AS (SELECT doc, line, level, title, page, boundary, key, 0 AS kind, ord FROM fm UNION ALL SELECT doc, line, level + under, title, page, false, key, 1, ord FROM lf),
+ld AS (SELECT *, lag([line::VARCHAR, level::VARCHAR, key]) OVER (PARTITION BY doc ORDER BY line, level, kind, ord) AS before FROM al),
+cd AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line, level, kind, ord) - 1 AS i, line, level, title, page, boundary FROM ld WHERE before IS DISTINCT FROM [line::VARCHAR, level::VARCHAR, key])"""
+
+
 ORACLE = {
+    "markdown_tree": f"WITH {MARKDOWN}, {SECTIONS} SELECT * FROM sections",
+    "bookmark_admission": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, CASE WHEN accepted THEN len(levels) END AS level, accepted FROM ad WHERE k > 0",
+    "bookmark_places": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, line, boundary AS page_boundary FROM fm",
+    "bookmark_tree": f"WITH RECURSIVE {MARKS}, {SECTIONS} SELECT * REPLACE (sha256(title) AS title) FROM sections",
     "regex_index_coverage": f"WITH {L}, h AS ({PATTERN_HITS}), c AS (" + " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, {c} AS left_ FROM d" for i, c in enumerate(PATTERN_SQL.values())) + ") SELECT c.pattern, count(*) AS documents, count(*) FILTER (left_) AS candidates, count(*) FILTER (left_ AND h.doc_id IS NOT NULL) AS verified, count(*) FILTER (NOT left_ AND h.doc_id IS NOT NULL) AS lost FROM c LEFT JOIN (SELECT DISTINCT pattern, doc_id FROM h) h ON c.pattern = h.pattern AND c.doc_id = h.doc_id GROUP BY c.pattern",
     "regex_index_search": f"WITH {L} SELECT pattern, doc_key, line_no, byte_start, match_column FROM ({PATTERN_HITS})",
     "corpus_catalog": f"WITH {D} SELECT doc_id, path, doc_key, sha256(text) AS text_sha256, strlen(text) AS source_bytes, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS n_lines FROM dk",
