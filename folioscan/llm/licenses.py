@@ -5,7 +5,8 @@ A match votes for a diagonal, the offset between text and template, as a copy of
 with words put in or left out gives a few close together. Diagonals that lie within a few words of each other are merged
 to a span. By the q-gram lemma a span that differs in a given share of its words keeps a number of hashes; spans with
 fewer are dropped, and the others are verified: similarity is the longest common subsequence of span and template, in
-words, over the longer of both. A span of `least` or more gives its template's label.
+words, over the longer of both. A span of `least` or more gives its template's label, unless it overlaps a better one, as
+licenses that differ in a word do.
 
 Spans are kept by the text's digest, so that any number of copies is joined to a text's few spans. Beside them,
 phrases of a license's name give labels by themselves.
@@ -18,6 +19,7 @@ are merged by one task.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +177,7 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
 def verified(text: list[bytes], first: int, last: int, template: list[bytes]) -> tuple[int, int, float]:
     """The span with similarity, widened at either end by the template's words that no hash matched, where that is better."""
     best = None
-    room = max(0, len(template) - (last - first + 1))
+    room = max(K, len(template) - (last - first + 1))
     for before in range(min(room, first) + 1):
         for after in sorted({0, min(room - before, len(text) - 1 - last)}):
             a, z = first - before, last + after
@@ -185,6 +187,16 @@ def verified(text: list[bytes], first: int, last: int, template: list[bytes]) ->
     return best
 
 
+def apart(spans: list[tuple]) -> list[tuple]:
+    """Spans (template, first, last, similarity) without those that overlap a better one, in order. Of equally good ones the longer, then the first template stays."""
+    kept: list[tuple] = []
+    for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+        at = bisect.bisect(kept, span[1], key=lambda s: s[1])
+        if (at == 0 or kept[at - 1][2] < span[1]) and (at == len(kept) or span[2] < kept[at][1]):
+            kept.insert(at, span)
+    return kept
+
+
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """At which words a phrase starts, in words joined and enclosed by spaces."""
     found, at, counted, word = [], joined.find(b" " + phrase + b" "), 0, 0
@@ -217,8 +229,7 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
         base = [(p, label) for phrase, label in phrases for p in places(joined, b" ".join(terms(phrase.encode())))]
         starts = [p for p, _ in base]
         checked = [(s["template"], *verified(found, s["first"], s["last"], split[s["template"]])) for s in spans or ()]
-        checked.sort(key=lambda c: (c[1], c[2], c[0]))
-        kept = [{"label": names[t], "template": t, "first_word": a, "last_word": z, "similarity": v} for t, a, z, v in checked if v >= least]
+        kept = [{"label": names[t], "template": t, "first_word": a, "last_word": z, "similarity": v} for t, a, z, v in apart([c for c in checked if c[3] >= least])]
         labels = {label for _, label in base}
         score = 1.0 if base else max((v for *_, v in checked), default=0.0)
         return len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {s["label"] for s in kept})), score, kept
