@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions.patterns import plan
 from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, pattern, token_list, tokens
-from folioscan.operators import accounting, evaluation, lines, outline, results, rules, search, tree, trigram
+from folioscan.operators import accounting, evaluation, hits, lines, outline, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
 from folioscan.sources.corpus import fresh, scoped, table_documents, table_pages
@@ -175,6 +175,39 @@ def lexical_best_window_topk(spark, d):
     return top.select("path", "match_line", "first", "last", "score", F.sha2("text", 256).alias("text_sha256"))
 
 
+HIT = "path node_id match_line match_column line_start line_end page_start page_end byte_start byte_end column_start node_offset next_offset complete unread_before unread_after text_truncated score literal_anchor citation".split()
+
+
+def conversation_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as paginated documents with a path, and their pages' lines."""
+    pages = table_pages(spark, d)
+    texts = tree.assembled(pages).select(F.col("doc").alias("doc_key"), F.concat(F.lit("conv/"), F.col("doc").cast("string")).alias("path"), "text")
+    return texts, tree.page_spans(pages).select("doc", "number", "line_start", "line_end")
+
+
+@query
+def node_search_hits(spark, d):
+    """The best window of each section of paginated documents, as hits; sections come from bookmarks and layout headings."""
+    texts, spans = conversation_texts(spark, d)
+    found = hits.lexical_hits(texts, QUERY, 200, CATALOG["bookmark_tree"](spark, d), spans)
+    return found.select(*HIT, F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def regex_snippets(spark, d):
+    """Matches of a pattern with two lines around them, in snippets of 160 bytes."""
+    found = hits.regex_hits(table_documents(spark, d), REGEX, 500, 2, most=160)
+    return found.select("doc_key", *HIT, F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def lines_of_bytes(spark, d):
+    """The line of every 997th byte of every document."""
+    docs = table_documents(spark, d)
+    places = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("text").cast("long"), F.lit(997).cast("long"))).alias("byte"))
+    return hits.lines_of_bytes(places, lines.lines(docs, "doc_id").select("doc_id", "line_no", "byte_start"), "doc_id")
+
+
 @query
 def literal_anchor_flags(spark, d):
     rows = doc_lines(spark, d).filter(F.contains(F.lower("line"), F.lit("tion")))
@@ -367,7 +400,7 @@ def hybrid_search(spark, d):
 def ranked_views(spark: SparkSession, d: str) -> DataFrame:
     docs, out = table_documents(spark, d), None
     for view, text in enumerate(VIEWS):
-        top = search.lexical(docs, text, 24, anchored=view == 0)
+        top = search.lexical(docs, text, 24, anchored=view == 0, with_text=False)
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "path", "first")) - 1
         rows = top.select(F.lit(view).alias("view"), rank.alias("rank"), F.concat_ws(":", "path", "first", "last").alias("span"))
         out = rows if out is None else out.unionByName(rows)

@@ -54,8 +54,8 @@ def lexical_score(text: Column, terms: list[str]) -> Column:
 
 
 def byte_column(line: Column, regex: str) -> Column:
-    """1-based byte column of the first match in a line."""
-    return (F.octet_length(F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(regex)) - 1)) + 1).cast("long")
+    """1-based byte column of the first match in a line. What comes before it is cut out as text: numbers of characters mean UTF-16 units in patterns."""
+    return (F.octet_length(F.regexp_extract(line, rf"(?s)\A(.*?)(?:{regex})", 1)) + 1).cast("long")
 
 
 def byte_clip(text: Column, most: int) -> Column:

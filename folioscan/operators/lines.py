@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 
@@ -13,22 +16,28 @@ def raw_lines(text: Column) -> Column:
     return F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+@F.pandas_udf(ArrayType(LongType()))  # a type, as the text of one needs a session
+def line_starts(texts: pd.Series) -> pd.Series:
+    """The first byte of each of raw_lines()."""
+
+    def one(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10) + 1
+        return np.r_[0, ends[:-1] if len(ends) and ends[-1] == len(raw) else ends]
+
+    return texts.map(one)
+
+
 def lines(documents: DataFrame, *keys: str) -> DataFrame:
     """keys, line_no (from 1), line, byte_start and byte_end of each line. A terminator is in no line; an empty text has one empty line.
 
-    Offsets are running sums inside the document's own array, so nothing is shuffled.
+    A document's lines and their first bytes are arrays of its row, so nothing is shuffled.
     """
-    closed = F.col("text").endswith("\n")
-    rows = documents.select(*keys, F.octet_length("text").alias("_bytes"), raw_lines(F.col("text")).alias("_raw"), closed.alias("_closed"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
-    starts = F.aggregate("_raw", start, lambda a, x: F.struct((a["at"] + F.octet_length(x) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-    # The running sum copies the array it builds; texts of many lines get theirs from a window instead.
-    short = rows.filter(F.size("_raw") <= 4096).withColumn("_starts", starts).select(*keys, "_closed", F.size("_raw").alias("_n"), F.posexplode(F.arrays_zip("_raw", "_starts")).alias("_p", "_l"))
-    short = short.select(*keys, "_closed", "_n", "_p", F.col("_l._raw").alias("_line"), F.col("_l._starts").alias("byte_start"))
-    long = rows.filter(F.size("_raw") > 4096).select(*keys, "_closed", F.size("_raw").alias("_n"), F.posexplode("_raw").alias("_p", "_line"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    long = long.withColumn("byte_start", F.coalesce(F.sum(F.octet_length("_line") + 1).over(before), F.lit(0)).cast("long"))
-    every = short.unionByName(long)
+    rows = documents.select(*keys, raw_lines(F.col("text")).alias("_raw"), line_starts("text").alias("_starts"), F.col("text").endswith("\n").alias("_closed"))
+    every = rows.select(*keys, "_closed", F.size("_raw").alias("_n"), F.posexplode(F.arrays_zip("_raw", "_starts")).alias("_p", "_l"))
+    every = every.select(*keys, "_closed", "_n", "_p", F.col("_l._raw").alias("_line"), F.col("_l._starts").alias("byte_start"))
     ended = (F.col("_p") + 1 < F.col("_n")) | F.col("_closed")
     line = F.when(ended & F.col("_line").endswith("\r"), F.expr("left(_line, length(_line) - 1)")).otherwise(F.col("_line"))
     every = every.withColumn("line", line)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions.patterns import plan
-from folioscan.functions.text import byte_column, citation, lexical_score, literal_anchor, pattern, token_list
-from folioscan.operators.lines import lines, windows
+from folioscan.functions.text import byte_column, citation, pattern, token_list
+from folioscan.operators.hits import best_windows, contains_any, strongest, window_text, with_lines
+from folioscan.operators.lines import lines
 from folioscan.operators.trigram import Index, candidates, postings
 
 #: The window of a lexical match, the cap on lexical matches, documents that routing keeps.
@@ -95,26 +96,20 @@ def indexed_searches(documents: DataFrame, index: Index, queries: list[str], lit
     return found.withColumn("citation", citation(F.col("path"), F.col("line_no"), F.col("line_no")))
 
 
-def lexical(documents: DataFrame, query: str, limit: int, anchored: bool = True) -> DataFrame:
+def lexical(documents: DataFrame, query: str, limit: int, anchored: bool = True, with_text: bool = True) -> DataFrame:
     """Each document's best window for a query: any term matches a line, the window around it is scored, the best stays.
 
     Columns: doc_key, path, match_line, first, last, text, score, literal_anchor. A document is one section here;
-    windows end at its first and last line.
+    windows end at its first and last line. Without text the documents are read once.
     """
-    terms = token_list(query)
-    found = lines(documents.filter("text <> ''"), "doc_key", "path")
-    low = F.lower("line")
-    any_term = F.lit(False)
-    for term in terms:
-        any_term = any_term | F.contains(low, F.lit(term))
-    matches = found.filter(any_term)
-    around = windows(matches, found, BEFORE, AFTER, "doc_key", "path")
-    anchor = literal_anchor(F.col("line"), query) if anchored else F.lit(False)
-    flags = matches.select("doc_key", F.col("line_no").alias("match_line"), anchor.alias("literal_anchor"))
-    scored = around.withColumn("score", lexical_score(F.col("text"), terms)).join(flags, ["doc_key", "match_line"])
-    best = Window.partitionBy("doc_key").orderBy(F.desc("score"), "match_line")
-    top = scored.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best")
-    return top.orderBy(F.desc("score"), "path", "first").limit(limit)
+    rows = with_lines(documents.filter(contains_any(F.col("text"), token_list(query))).select("doc_key", "path", "text"))
+    found = best_windows(rows, query, whole=True)
+    found = found if anchored else found.withColumn("literal_anchor", F.lit(False))
+    top = strongest(found, "doc_key").orderBy(F.desc("score"), "path", "first").limit(limit)
+    if not with_text:
+        return top
+    texts = rows.join(F.broadcast(top.drop("path")), "doc_key").withColumn("text", window_text(F.col("first"), F.col("last")))
+    return texts.select("doc_key", "path", "match_line", "first", "last", "text", "score", "literal_anchor").orderBy(F.desc("score"), "path", "first")
 
 
 def leaf_interleave(leaves: DataFrame, ranked: DataFrame, seen: DataFrame, most: int) -> DataFrame:

@@ -127,7 +127,50 @@ ld AS (SELECT *, lag([line::VARCHAR, level::VARCHAR, key]) OVER (PARTITION BY do
 cd AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line, level, kind, ord) - 1 AS i, line, level, title, page, boundary FROM ld WHERE before IS DISTINCT FROM [line::VARCHAR, level::VARCHAR, key])"""
 
 
+def continues(place: str) -> str:
+    """Whether the byte at a place (from 0) of a window, in hexadecimal digits h, continues a character."""
+    return f"substr(h, 2 * ({place}) + 1, 1) IN ('8', '9', 'A', 'B')"
+
+
+def steps(place: str, sign: str) -> str:
+    """How many bytes from a place the next one that begins a character is."""
+    return f"CASE WHEN NOT {continues(place)} THEN 0 WHEN NOT {continues(f'{place} {sign} 1')} THEN 1 WHEN NOT {continues(f'{place} {sign} 2')} THEN 2 ELSE 3 END"
+
+
+def snippets(matches: str, table: str, pages: str, most: int, name: str) -> str:
+    """CTEs from matches (doc, path, m, lat, col, first, last, node_id, na, nz, n_first, n_last, p_first, p_last) and lines table(doc, line_no, line, byte_start) to hits, ending in name."""
+    return f"""{name}w AS (SELECT m.*, min(b.byte_start) AS wat, string_agg(b.line, chr(10) ORDER BY b.line_no) AS w FROM {matches} m JOIN {table} b ON b.doc = m.doc AND b.line_no BETWEEN first AND last GROUP BY ALL),
+{name}a AS (SELECT *, hex(encode(w)) AS h, strlen(w) AS size, lat - wat AS rl, lat - wat + col - 1 AS rel FROM {name}w),
+{name}b AS (SELECT *, CASE WHEN rel >= {max(most - 64, 0)} THEN greatest(rel - {most // 4}, rl) ELSE 0 END AS s0 FROM {name}a),
+{name}c AS (SELECT *, s0 + {steps('s0', '+')} AS skip FROM {name}b),
+{name}d AS (SELECT *, least(skip + {most}, size) AS e0 FROM {name}c),
+{name}e AS (SELECT *, e0 - CASE WHEN e0 = size THEN 0 ELSE {steps('e0', '-')} END AS e1 FROM {name}d),
+{name}f AS (SELECT *, regexp_replace(decode(unhex(substr(h, 2 * skip + 1, 2 * (e1 - skip)))), '(\r?\n)+$', '') AS text, wat + skip AS byte_start FROM {name}e),
+{name}g AS (SELECT * EXCLUDE (h, w), byte_start + strlen(text) AS byte_end, skip > 0 OR wat + skip + strlen(text) < wat + size AS text_truncated FROM {name}f),
+{name}i AS (SELECT g.*, count(*) FILTER (b.byte_start <= g.byte_start) AS c1, count(*) FILTER (b.byte_start < byte_end) AS c2 FROM {name}g g JOIN {table} b ON b.doc = g.doc GROUP BY ALL),
+{name}h AS (SELECT * EXCLUDE (c1, c2), CASE WHEN byte_start = byte_end AND byte_end = nz THEN n_last ELSE c1 END AS line_start, CASE WHEN byte_start = byte_end AND byte_end = nz THEN n_last ELSE greatest(c1, c2) END AS line_end FROM {name}i),
+{name} AS (SELECT h.*, h.byte_start - b.byte_start + 1 AS column_start, na <= h.byte_start AND h.byte_end <= nz AS inside, coalesce((SELECT min(number) FROM {pages} p WHERE p.doc = h.doc AND h.line_start BETWEEN p.line_start AND p.line_end), p_first) AS page_start,
+  coalesce((SELECT min(number) FROM {pages} p WHERE p.doc = h.doc AND h.line_end BETWEEN p.line_start AND p.line_end), p_last) AS page_end FROM {name}h h JOIN {table} b ON b.doc = h.doc AND b.line_no = h.line_start)"""
+
+
+HIT = """path, node_id, m AS match_line, col AS match_column, line_start, line_end, page_start, page_end, byte_start, byte_end, column_start, CASE WHEN inside THEN byte_start - na END AS node_offset, CASE WHEN inside AND byte_end < nz THEN byte_end - na END AS next_offset,
+  CASE WHEN inside THEN byte_start = na AND byte_end = nz END AS complete, CASE WHEN inside THEN byte_start - na END AS unread_before, CASE WHEN inside THEN nz - byte_end END AS unread_after, text_truncated, round(score, 6) AS score, literal_anchor"""
+#: Matches of the sections' words in conversations, each in its deepest section.
+NODE_MATCHES = f"""ln AS (SELECT pl.doc, line_no, line, byte_start FROM pl), tx AS (SELECT doc, strlen(text) AS bytes FROM asm),
+sn AS (SELECT s.*, a.byte_start AS na, coalesce(b.byte_start, bytes) AS nz FROM sections s JOIN tx USING (doc) JOIN ln a ON a.doc = s.doc AND a.line_no = s.line_start LEFT JOIN ln b ON b.doc = s.doc AND b.line_no = s.line_end + 1),
+mt0 AS (SELECT doc, line_no, line, byte_start FROM ln WHERE {" OR ".join(f"contains(lower(line), '{t}')" for t in token_list(QUERY))}),
+mt AS (SELECT * FROM (SELECT l.doc, 'conv/' || l.doc AS path, l.line_no AS m, l.byte_start AS lat, strlen(regexp_extract(line, '(?i)^(.*?)(?:{"|".join(token_list(QUERY))})', 1)) + 1 AS col, greatest(l.line_no - 4, s.line_start) AS first, least(l.line_no + 12, s.line_end) AS last,
+  node_id, na, nz, s.line_start AS n_first, s.line_end AS n_last, page_start AS p_first, page_end AS p_last, row_number() OVER (PARTITION BY l.doc, l.line_no ORDER BY level DESC, s.line_end - s.line_start, ord DESC) AS rn
+  FROM mt0 l JOIN sn s ON s.doc = l.doc AND l.line_no BETWEEN s.line_start AND s.line_end) WHERE rn = 1)"""
+
+
 ORACLE = {
+    "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
+    "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
+    f"mt AS (SELECT doc_key AS doc, path, line_no AS m, byte_start AS lat, strlen(regexp_extract(line, '^(.*?){REGEX}', 1)) + 1 AS col, greatest(line_no - 2, 1) AS first, least(line_no + 2, n) AS last, '0000' AS node_id, 0 AS na, bytes AS nz, 1 AS n_first, n AS n_last, 1 AS p_first, 1 AS p_last FROM l JOIN tx ON tx.doc = l.doc_key WHERE regexp_matches(line, '{REGEX}') ORDER BY doc_key, line_no LIMIT 500), "
+    f"np AS (SELECT NULL AS doc, 1 AS number, 1 AS line_start, 1 AS line_end), {snippets('mt', 'ln', 'np', 160, 'hh')} SELECT doc AS doc_key, {HIT.replace('round(score, 6)', '1.0::DOUBLE').replace('literal_anchor', 'false AS literal_anchor')}, path || ':L' || line_start || '-L' || line_end AS citation, sha256(text) AS text_sha256 FROM hh",
+    "node_search_hits": f"WITH RECURSIVE {MARKS}, {split('asm', 'doc', 'pl')}, {SECTIONS}, {NODE_MATCHES}, {snippets('mt', 'ln', 'sp', 4096, 'hh')}, sc AS (SELECT *, {score('text', token_list(QUERY))} AS score, false AS literal_anchor FROM hh), "
+    f"bs AS (SELECT *, row_number() OVER (PARTITION BY doc, node_id ORDER BY score DESC, m) AS best FROM sc) SELECT {HIT}, path || ':p' || page_start || '-p' || page_end AS citation, sha256(text) AS text_sha256 FROM bs WHERE best = 1 ORDER BY score DESC, path, first LIMIT 200",
     "markdown_tree": f"WITH {MARKDOWN}, {SECTIONS} SELECT * FROM sections",
     "bookmark_admission": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, CASE WHEN accepted THEN len(levels) END AS level, accepted FROM ad WHERE k > 0",
     "bookmark_places": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, line, boundary AS page_boundary FROM fm",
