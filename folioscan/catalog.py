@@ -14,9 +14,10 @@ from folioscan.functions.text import byte_clip, generic_title, lexical_score, li
 from folioscan.operators import accounting, evaluation, hits, lines, outline, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
-from folioscan.sources.corpus import fresh, scoped, table_documents, table_pages
+from folioscan.sources.corpus import corpus_rows, fresh, scoped, table_documents, table_pages
 from folioscan.sources.storage import new_folder, remove, settle
-from folioscan.streaming.ledger import folded
+from folioscan.streaming import publication
+from folioscan.streaming.ledger import file_stream, folded
 
 LITERAL, REGEX, QUERY = "tion of", "[Tt]h[a-z]{2,}ing[.,]", "ontion threa of"
 VIEWS = ("ontion threa of", "thanedble there", "enonth ing")
@@ -366,8 +367,9 @@ def heading_locate(spark, d):
 
 @query
 def generic_bookmark_filter(spark, d):
-    titles = spark.createDataFrame([(t,) for t in ("Page 3", "Folie 4", "12", "Slide IV", "Document Page 7", "", "Overview", "Page", "p. 9")], "title string")
-    return titles.select("title", normalized(F.col("title")).alias("normalized"), generic_title(F.col("title")).alias("generic"))
+    """Titles of bookmarks, and numbered in several manners, that only tell a page."""
+    marks = page_bookmarks(spark, d)[1].select("doc", "ord", F.explode(F.array("title", F.concat(F.lit("Slide "), F.col("page").cast("string")), F.concat(F.lit("Folie "), F.col("title")), F.col("ord").cast("string"))).alias("title"))
+    return marks.select("doc", "ord", normalized(F.col("title")).alias("normalized"), generic_title(F.col("title")).alias("generic"))
 
 
 @query
@@ -553,14 +555,16 @@ def price_band_cost(spark, d):
 
 
 def judgements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as queries: relevant are the documents that contain the item; hits are documents by the digest of its first 40 characters."""
+    """Benchmark items as queries: relevant are the documents that contain the whole item; hits are the documents retrieved for it."""
+    docs, items = table_documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    names = (F.col("item_id").alias("query"), F.col("doc_id").alias("item"))
+    return evaluation.retrieved(docs, items, 10).select(*names, "rank"), evaluation.containing(docs, items).select(*names)
+
+
+@query
+def item_retrieval(spark, d):
     docs = table_documents(spark, d).select("doc_id", "text")
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 40).alias("head"))
-    # A stated set of queries against all documents: each document is read once, beside all of the items.
-    near = docs.join(F.broadcast(items) if items.limit(10_001).count() <= 10_000 else items, F.contains("text", F.col("head")))
-    hits = near.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"), "rank")
-    relevant = near.filter(F.contains("text", F.col("item"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"))
-    return hits, relevant
+    return evaluation.retrieved(docs, spark.read.parquet(f"{d}/benchmark.parquet"), 10)
 
 
 @query
@@ -622,6 +626,19 @@ def streaming_ledger_fold(spark, d):
     return folded(spark, f"{d}/events.parquet", new_folder(spark, "ledger"), {"operation": "user_id", "sequence": "event_id", "status": "event_type"})
 
 
+@query
+def published_generation(spark, d):
+    """Documents published from a stream of their files, then a batch that changes every fifth; both batches are sent again, as after a crash."""
+    root, last = new_folder(spark, "generations"), 1_000_000
+    stream = file_stream(spark, f"{d}/documents.parquet")
+    publication.follow(corpus_rows(stream).select("path", "text", F.col("doc_id").alias("at")), root).awaitTermination()
+    docs = table_documents(spark, d)
+    changed = docs.filter("doc_id % 5 = 0").select("path", F.concat("text", F.lit("!")).alias("text"), F.col("doc_id").alias("at"))
+    for number in (last, last, 0):
+        name = publication.publish(changed, number, root)
+    return publication.documents_of(spark, root, name).select("path", "text_sha256", "source_bytes", (F.col("batch") == last).alias("replaced"))
+
+
 @query
 def node_search_windows(spark, d):
     """Windows of matches in conversations, ended at the section of the matched line."""
@@ -701,14 +718,19 @@ def counter_regressions(spark, d):
 
 @query
 def page_specifications(spark, d):
-    specs = spark.createDataFrame([(s,) for s in ("1-3,7", "5", "2-4,3-6", "10-10, 1")], "spec string")
-    return specs.select("spec", F.explode(rules.pages_of(F.col("spec"))).alias("page"))
+    """Pages of specifications made from events: a range, a page and a range that may overlap it."""
+    a, z = (F.col("k") % 40 + 1), F.col("event_id") % 9
+    part = lambda c: c.cast("string")
+    spec = F.concat(part(a), F.lit("-"), part(a + z), F.lit(", "), part(z + 1), F.lit(","), part(a + 2), F.lit("-"), part(a + z + 3))
+    return events(spark, d).select("event_id", F.explode(rules.pages_of(spec)).alias("page"))
 
 
 @query
 def tier_agreement(spark, d):
-    rows = spark.createDataFrame([("fast", "priority"), ("standard", None), ("Priority", "fast"), ("standard", "fast"), ("flex", "flex")], "asked string, observed string")
-    return rows.select("asked", "observed", rules.tier_agrees(F.col("asked"), F.col("observed")).alias("agrees"))
+    """Tiers that events asked for and got."""
+    names = [F.lit(t) for t in ("fast", "standard", " Priority", "flex", "FAST")]
+    rows = events(spark, d).select("event_id", F.element_at(F.array(*names), (F.col("k") % 5 + 1).cast("int")).alias("asked"), F.try_element_at(F.array(*names), (F.col("event_id") % 7 + 1).cast("int")).alias("observed"))
+    return rows.select("event_id", "asked", "observed", rules.tier_agrees(F.col("asked"), F.col("observed")).alias("agrees"))
 
 
 @query

@@ -56,8 +56,13 @@ ch AS (SELECT span, view_ids, pos // 100 AS rank, pos % 100 AS view, row_number(
 TRI = ", ".join(f"'{t}'" for t in literal_trigrams(LITERAL))
 TG = f"{D}, tg AS (SELECT DISTINCT doc_id, substr(text, i, 3) AS tri FROM d, unnest(range(1, length(text) - 1)) AS u(i))"
 PNODES = f"{NODES}, pn AS (SELECT nd.*, min(number) AS page_start, max(number) AS page_end FROM nd JOIN sp ON nd.doc = sp.doc AND sp.line_start <= nd.line_end AND sp.line_end >= nd.line_start GROUP BY ALL)"
-GENERIC = "(VALUES ('Page 3'), ('Folie 4'), ('12'), ('Slide IV'), ('Document Page 7'), (''), ('Overview'), ('Page'), ('p. 9')) t(title)"
-JUDGE = f"{D}, near AS (SELECT item_id, b.text AS item, doc_id, d.text FROM d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40))), hits AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM near), rel AS (SELECT item_id, doc_id FROM near WHERE contains(text, item))"
+JUDGE = rf"""{D}, dw AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))) AS ws FROM d),
+iw AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))) AS ws FROM benchmark),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM dw) GROUP BY word),
+ra AS (SELECT item_id, ws, min(struct_pack(n := n, word := word)).word AS word FROM (SELECT item_id, ws, coalesce(n, 0) AS n, u.word FROM (SELECT item_id, ws, unnest(ws) AS word FROM iw) u LEFT JOIN df USING (word)) GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, len(list_intersect(ra.ws, dw.ws)) / len(ra.ws) AS score FROM ra JOIN dw ON list_contains(dw.ws, ra.word)),
+hits AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10),
+rel AS (SELECT item_id, doc_id FROM d JOIN benchmark b ON contains(d.text, b.text))"""
 
 
 def recall(query: str, key: str, gold: str, hits: str, k: int) -> str:
@@ -165,6 +170,7 @@ mt AS (SELECT * FROM (SELECT l.doc, 'conv/' || l.doc AS path, l.line_no AS m, l.
 
 
 ORACLE = {
+    "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
     f"mt AS (SELECT doc_key AS doc, path, line_no AS m, byte_start AS lat, strlen(regexp_extract(line, '^(.*?){REGEX}', 1)) + 1 AS col, greatest(line_no - 2, 1) AS first, least(line_no + 2, n) AS last, '0000' AS node_id, 0 AS na, bytes AS nz, 1 AS n_first, n AS n_last, 1 AS p_first, 1 AS p_last FROM l JOIN tx ON tx.doc = l.doc_key WHERE regexp_matches(line, '{REGEX}') ORDER BY doc_key, line_no LIMIT 500), "
@@ -209,7 +215,7 @@ s AS (SELECT pn.doc, node_id, pn.parent_id, page_end - page_start + 1 AS span, p
 up AS (SELECT doc, node_id AS below, node_id AS up_to, 0 AS depth FROM s UNION ALL SELECT up.doc, below, s.parent_id, depth + 1 FROM up JOIN s ON s.doc = up.doc AND s.node_id = up.up_to WHERE s.parent_id IS NOT NULL),
 f AS (SELECT up.doc, up_to AS node_id, max(depth + CASE WHEN leaf THEN span ELSE residual + 1 END) AS cost FROM up JOIN s ON s.doc = up.doc AND s.node_id = below GROUP BY ALL)
 SELECT doc, node_id, span, residual, cost, cost AS frontier FROM s JOIN f USING (doc, node_id)""",
-    "generic_bookmark_filter": rf"SELECT title, n AS normalized, regexp_matches(n, '^((page|slide|folie|documentpage)?\p{{N}}+)?$') AS generic FROM (SELECT title, lower(regexp_replace(title, '[^\p{{L}}\p{{N}}]', '', 'g')) AS n FROM {GENERIC})",
+    "generic_bookmark_filter": rf"WITH RECURSIVE {MARKS}, t AS (SELECT doc, ord, unnest([title, 'Slide ' || page, 'Folie ' || title, ord::VARCHAR]) AS title FROM bk) SELECT doc, ord, {PLAIN.format('title')} AS normalized, regexp_matches({PLAIN.format('title')}, '^((page|slide|folie|documentpage)?\p{{N}}+)?$') AS generic FROM t",
     "html_heading_tree": "WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS a FROM pages) SELECT page_id, i - 1 AS ord, a[i][3:3]::BIGINT AS level, trim(" + "replace(" * 6 + r"regexp_replace(regexp_replace(a[i], '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title FROM x, unnest(range(1, len(a) + 1)) AS u(i)",
     "semantic_round_robin": f"""WITH {PAGES}, sc AS (SELECT doc, count(*) FILTER (contains(text, 'tion')) / count(*) AS score FROM pg GROUP BY doc), r AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM sc ORDER BY score DESC, doc LIMIT 8),
 o AS (SELECT doc, number AS node, row_number() OVER (PARTITION BY doc ORDER BY number) - 1 AS "offset", text FROM pg) SELECT doc, node, "offset", rank FROM o JOIN r USING (doc) WHERE NOT contains(text, 'hand') ORDER BY "offset", rank LIMIT 24""",
@@ -266,8 +272,9 @@ FROM m JOIN pl b ON b.doc = m.doc AND b.line_no BETWEEN greatest(m.line_no - 4,
     "reservation_receipts": f"WITH {EV} SELECT user_id, count(*) AS reserved, count(*) FILTER (k % 7 <> 0) AS observed, count(*) FILTER (k % 7 = 0) AS unobserved, CASE WHEN count(*) FILTER (k % 7 = 0 OR user_id % 5 = 0) = 0 THEN sum(cents)::BIGINT END AS cost_total, coalesce(sum(cents) FILTER (k % 7 <> 0 AND user_id % 5 <> 0), 0)::BIGINT AS cost_known FROM ev GROUP BY user_id",
     "attempt_rule_violations": f"WITH {EV}, v AS (SELECT 'unreserved' AS kind FROM ev WHERE k % 11 = 3 UNION ALL SELECT 'identity_changed' FROM ev GROUP BY user_id, k HAVING count(DISTINCT event_type) > 1 UNION ALL SELECT 'too_many_attempts' FROM ev WHERE k % 11 <> 3 GROUP BY user_id HAVING count(DISTINCT k) > 12) SELECT kind, count(*) AS n FROM v GROUP BY kind",
     "counter_regressions": f"WITH {EV}, r AS (SELECT user_id, event_id, k, max(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ev) SELECT * FROM r WHERE k < reached",
-    "page_specifications": "SELECT * FROM (VALUES ('1-3,7', 1), ('1-3,7', 2), ('1-3,7', 3), ('1-3,7', 7), ('5', 5), ('2-4,3-6', 2), ('2-4,3-6', 3), ('2-4,3-6', 4), ('2-4,3-6', 5), ('2-4,3-6', 6), ('10-10, 1', 1), ('10-10, 1', 10)) t(spec, page)",
-    "tier_agreement": "SELECT * FROM (VALUES ('fast', 'priority', true), ('standard', NULL, true), ('Priority', 'fast', true), ('standard', 'fast', false), ('flex', 'flex', true)) t(asked, observed, agrees)",
+    "page_specifications": f"WITH {EV}, e AS (SELECT event_id, k % 40 + 1 AS a, event_id % 9 AS z FROM ev) SELECT DISTINCT event_id, page FROM (SELECT event_id, unnest(range(a, a + z + 1)) AS page FROM e UNION ALL SELECT event_id, z + 1 FROM e UNION ALL SELECT event_id, unnest(range(a + 2, a + z + 4)) FROM e)",
+    "tier_agreement": f"WITH {EV}, t AS (SELECT event_id, ['fast', 'standard', ' Priority', 'flex', 'FAST'][k % 5 + 1] AS asked, ['fast', 'standard', ' Priority', 'flex', 'FAST'][event_id % 7 + 1] AS observed FROM ev) SELECT event_id, asked, observed, observed IS NULL OR CASE lower(trim(asked)) WHEN 'fast' THEN 'priority' ELSE lower(trim(asked)) END = CASE lower(trim(observed)) WHEN 'fast' THEN 'priority' ELSE lower(trim(observed)) END AS agrees FROM t",
+    "item_retrieval": f"WITH {JUDGE} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM hits",
     "repeated_views": r"WITH v AS (SELECT item_id % 8 AS request, item_id AS view, text FROM benchmark UNION ALL SELECT item_id % 8, item_id + 1000000, ' ' || replace(text, ' ', '  ') FROM benchmark WHERE (item_id + 1000000) % 3 = 0) SELECT request, view, row_number() OVER (PARTITION BY request, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) ORDER BY view) > 1 AS repeats FROM v",
     "anchor_windows": f"WITH {L}, w AS (SELECT doc_id, 'nav_' || sha256('g1:' || doc_key || ':' || byte_start || ':' || (byte_start + strlen(line)) || ':' || sha256(line)) AS anchor_id, byte_start + strlen(line) AS byte_end FROM l WHERE line_no = 1) SELECT doc_id AS hint_id, anchor_id, byte_end FROM w UNION ALL SELECT doc_id, 'nav_unknown', NULL FROM w WHERE doc_id % 9 = 0",
     "cost_gate": f"WITH {EV}, s AS (SELECT count(*) AS questions, count(*) FILTER (event_type <> 'error') AS correct, 0::BIGINT AS cost_missing, sum(cents + k)::DOUBLE / 100000 AS cost FROM ev) SELECT questions, correct, cost_missing, round(cost, 6) AS cost, round(cost / questions, 6) AS cost_per_question, correct >= 61 AND cost / questions < 0.003607 AS passes FROM s",

@@ -57,12 +57,17 @@ def described(rows: DataFrame, path: Column) -> DataFrame:
     return rows.withColumns({"path": path, "text": text}).withColumns({"doc_key": document_key(F.col("path")), "text_sha256": digest(F.col("text")), "source_bytes": F.octet_length("text").cast("long"), "title": F.element_at(F.split("path", "/"), -1)})
 
 
-def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as a corpus of plain-text files."""
+def corpus_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a table of documents (doc_id, source, text) as plain-text files, in folders by source."""
     # Ids of more than eight digits stay whole; documents without a source have a folder of their own.
     number = F.col("doc_id").cast("string")
     path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("_none")), F.lit("/"), F.when(F.length(number) < 8, F.lpad(number, 8, "0")).otherwise(F.coalesce(number, F.lit("_none"))), F.lit(".txt"))
-    return described(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), path)
+    return described(rows.select("doc_id", "source", "text"), path)
+
+
+def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a corpus of plain-text files."""
+    return corpus_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

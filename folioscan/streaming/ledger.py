@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,18 +33,23 @@ def fold(events: DataFrame, key: str = "operation", terminal: tuple[str, ...] =
     return events.select(key, "sequence", "status").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def file_stream(spark: SparkSession, source: str) -> DataFrame:
+    """The Parquet files of a path, one file or a folder, as a stream."""
+    schema = spark.read.parquet(source).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(schema)
+    # A stream reads folders.
+    return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString()) if single else reader.parquet(source)
+
+
 def folded(spark, source: str, checkpoint: str, columns: dict[str, str], key: str = "operation", terminal: tuple[str, ...] = ()) -> DataFrame:
     """All events that the files of source have now, through the stream: the last state of each operation.
 
     Updates are appended to a table beside the checkpoint, a batch to a folder, so that a batch that is run again
     replaces its own.
     """
-    schema = spark.read.parquet(source).schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-    reader = spark.readStream.schema(schema)
-    # A stream reads folders.
-    stream = reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString()) if single else reader.parquet(source)
+    stream = file_stream(spark, source)
     events = stream.select(*[F.expr(e).alias(n) for n, e in columns.items()])
     out = f"{checkpoint}/updates"
     query = (
