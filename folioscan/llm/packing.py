@@ -35,6 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,12 +45,15 @@ from folioscan.llm.common import random_key, settle
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Words of these forms have the same lower case and composition in Python as in the tokenizer, and end a token between letters and signs.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#*$%&|]*)")
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,!?;:#*$%&|]*"
+PLAIN = re.compile(f"({LETTERS})({SIGNS})")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: White space of Unicode, and separators that only str.split() takes for it.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words and pieces of words whose ids a worker keeps, some 200 bytes each.
-MOST_WORDS, MOST_RUNS = 300_000, 800_000
+#: Odd words whose ids a worker keeps, and letters of plain ones, of which it keeps up to twice as many; some 200 bytes each.
+MOST_WORDS, MOST_RUNS = 50_000, 150_000
+#: Bytes of texts that are tokenized together.
+PORTION = 16 << 20
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -75,14 +79,17 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.model, self.symbols, self.runs = self.tokenizer.model, _byte_symbols(), {}
+        self.model, self.symbols, self.runs, self.earlier = self.tokenizer.model, _byte_symbols(), {}, {}
 
     def run(self, text: str) -> bytes:
         if (found := self.runs.get(text)) is None:
+            if (found := self.earlier.get(text)) is None:
+                shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbols)
+                found = little_endian([t.id for t in self.model.tokenize(shown)])
             if len(self.runs) >= MOST_RUNS:
-                self.runs.clear()
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.symbols)
-            found = self.runs[text] = little_endian([t.id for t in self.model.tokenize(shown)])
+                # What hasn't been met since the last time goes.
+                self.runs, self.earlier = {}, self.runs
+            self.runs[text] = found
         return found
 
     def __missing__(self, word: str) -> bytes:
@@ -115,6 +122,49 @@ def word_ids(tokenizer_json: str) -> WordIds:
     return _WORKER[key]
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of some PORTION bytes of text, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PORTION, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def different_ids(words: pa.Array, ids_of: WordIds) -> list[bytes]:
+    """The ids of different words: a plain word's are those of its letters in lower case and of its signs, so that fewer strings are looked up."""
+    parts = pc.extract_regex(words, f"^(?P<letters>{LETTERS})(?P<signs>{SIGNS})$")
+    letters, signs = (pc.struct_field(parts, i) for i in (0, 1))
+    letters, signs = pc.utf8_lower(letters).dictionary_encode(), signs.dictionary_encode()
+    first, second = ([ids_of.run(s) if s else b"" for s in part.dictionary.to_pylist()] for part in (letters, signs))
+    pairs = zip(letters.indices.to_pylist(), signs.indices.to_pylist(), strict=True)
+    found = [None if i is None else first[i] + second[j] for i, j in pairs]
+    for i in np.flatnonzero(pc.is_null(letters.indices).to_numpy(zero_copy_only=False)).tolist():
+        word = words[i].as_py()
+        found[i] = ids_of[word] if word else b""
+    return found
+
+
+def token_ids(texts: pa.Array, ids_of: WordIds) -> Iterator[bytes]:
+    """The ids of each text. Its words are numbered first, so that each different word is looked up once for all texts."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten().dictionary_encode()
+    found = different_ids(words.dictionary, ids_of)
+    # A portion has fewer than 2 ** 31 tokens.
+    lengths, ids = np.fromiter(map(len, found), np.int32, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+    numbers = words.indices.to_numpy(zero_copy_only=False)
+    own = lengths[numbers]
+    upto = np.zeros(len(own) + 1, np.int32)
+    np.cumsum(own, out=upto[1:])
+    at = np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[numbers] - upto[:-1], own)
+    at += np.arange(len(at), dtype=np.int32)
+    out = ids[at]
+    ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield out[a:z].tobytes()
+
+
 def tokenized(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """The pieces of each document's tokens and end token, cut where they are longer than a sequence; with_ids adds the ids as bytes."""
     context = df.sparkSession.sparkContext
@@ -125,16 +175,17 @@ def tokenized(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(model.value)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of.text(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (5 + with_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            for part in portions(batch):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1), ids_of), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * (5 + with_ids)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
+                names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
