@@ -274,7 +274,7 @@ def test_sql(spark, data):
     import duckdb
 
     c = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     for name, sql in oracle_sql().items():
         ours = queries()[name](spark, data)
