@@ -14,9 +14,10 @@ from folioscan.functions.text import byte_clip, generic_title, lexical_score, li
 from folioscan.operators import accounting, evaluation, hits, lines, outline, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
+from folioscan.sources import chain
 from folioscan.sources.corpus import corpus_rows, fresh, scoped, table_documents, table_pages
 from folioscan.sources.storage import new_folder, remove, settle
-from folioscan.streaming import publication
+from folioscan.streaming import calls, publication
 from folioscan.streaming.ledger import file_stream, folded
 
 LITERAL, REGEX, QUERY = "tion of", "[Tt]h[a-z]{2,}ing[.,]", "ontion threa of"
@@ -626,6 +627,51 @@ def streaming_ledger_fold(spark, d):
     return folded(spark, f"{d}/events.parquet", new_folder(spark, "ledger"), {"operation": "user_id", "sequence": "event_id", "status": "event_type"})
 
 
+def call_events(rows: DataFrame) -> DataFrame:
+    """Ledgers of 25 events each: a regular course of calls and windows, with breaches of each rule where an event's number tells so."""
+    i, k = F.col("event_id") % 25, F.get_json_object("props", "$.k").cast("long")
+    step, cycle = (i - 1) % 5, F.floor((i - 1) / 5)
+    kind = F.when(i == 0, "bound").when(k % 31 == 30, "checkpoint").when(k % 37 == 36, "failed").when(k % 41 == 40, "rebuilt").when(i == 23, "prepared").when(i == 24, "published")
+    kind = kind.otherwise(F.element_at(F.array(*[F.lit(x) for x in ("reserved", "received", "reserved", "received", "window")]), (step + 1).cast("int")))
+    ledger, at = F.floor(F.col("event_id") / 25).cast("string"), F.col("ts").cast("timestamp")
+    return rows.select(
+        ledger.alias("ledger"), "event_id", F.when(k % 29 == 28, i - 3).otherwise(i).alias("sequence"), kind.alias("kind"), (cycle * 2 + (step >= 2).cast("int") + (k % 23 == 22).cast("int")).cast("long").alias("call_id"),
+        F.when(step < 2, "builder").otherwise("judge").alias("call_kind"), (k % 43).alias("size"), (k % 19 != 18).alias("ok"), F.sha2(F.concat(ledger, F.when((i == 24) & (k % 5 == 0), "!").otherwise("")), 256).alias("sha256"), at.alias("at"), F.unix_millis(at).alias("ms"),
+    )
+
+
+@query
+def call_ledger_verdicts(spark, d):
+    """What a stateful stream says on each event of ledgers of calls, and the ledgers whose open call ran out of time."""
+    folder = new_folder(spark, "calls")
+    return calls.run(call_events(file_stream(spark, f"{d}/events.parquet")), folder, {"builder": 4, "judge": 4}, 3 * 86_400_000)
+
+
+def appended(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All lines after three appends of the users' events to their ledgers, and what became of the last one; a ledger holds 70 lines."""
+    root = new_folder(spark, "chains")
+    payload = F.to_json(F.struct("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("ledger"), F.col("event_id").alias("ord"), payload.alias("payload"))
+    for part in range(3):
+        told = chain.append(rows.filter(F.col("ord") % 3 == part), root, chain.Budget(lines=70))
+    return chain.read(spark, root), told
+
+
+@query
+def appended_chains(spark, d):
+    return appended(spark, d)[0].select("ledger", "sequence", "previous_sha256", "sha256", "append")
+
+
+@query
+def appended_chain_report(spark, d):
+    """Per ledger: its lines, whether the last append was taken, and breaks of its chain."""
+    lines, told = appended(spark, d)
+    found = lines.groupBy("ledger").agg(F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"))
+    broken = chain.breaks(lines).groupBy("ledger").agg(F.count(F.lit(1)).alias("breaks"))
+    rows = told.select("ledger", "accepted").join(found, "ledger", "left").join(broken, "ledger", "left")
+    return rows.select("ledger", "lines", "bytes", "accepted", F.coalesce("breaks", F.lit(0)).alias("breaks"))
+
+
 @query
 def published_generation(spark, d):
     """Documents published from a stream of their files, then a batch that changes every fifth; both batches are sent again, as after a crash."""

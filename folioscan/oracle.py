@@ -160,6 +160,35 @@ def snippets(matches: str, table: str, pages: str, most: int, name: str) -> str:
 
 HIT = """path, node_id, m AS match_line, col AS match_column, line_start, line_end, page_start, page_end, byte_start, byte_end, column_start, CASE WHEN inside THEN byte_start - na END AS node_offset, CASE WHEN inside AND byte_end < nz THEN byte_end - na END AS next_offset,
   CASE WHEN inside THEN byte_start = na AND byte_end = nz END AS complete, CASE WHEN inside THEN byte_start - na END AS unread_before, CASE WHEN inside THEN nz - byte_end END AS unread_after, text_truncated, round(score, 6) AS score, literal_anchor"""
+#: Chains of the users' events, appended in three parts; a part that would bring a ledger over 70 lines is left out.
+CHAINS = """ap AS (SELECT user_id::VARCHAR AS ledger, event_id, event_id % 3 AS part, '{"event_type":"' || event_type || '","k":' || (props->>'k')::BIGINT || '}' AS payload FROM events),
+n3 AS (SELECT ledger, count(*) FILTER (part = 0) AS a, count(*) FILTER (part = 1) AS b, count(*) FILTER (part = 2) AS c FROM ap GROUP BY ledger),
+t3 AS (SELECT *, a <= 70 AS ta, CASE WHEN a <= 70 THEN a ELSE 0 END + b <= 70 AS tb, CASE WHEN a <= 70 THEN a ELSE 0 END + CASE WHEN CASE WHEN a <= 70 THEN a ELSE 0 END + b <= 70 THEN b ELSE 0 END + c <= 70 AS tc FROM n3),
+kp AS (SELECT ap.*, row_number() OVER (PARTITION BY ap.ledger ORDER BY part, event_id) - 1 AS sequence FROM ap JOIN t3 USING (ledger) WHERE CASE part WHEN 0 THEN ta WHEN 1 THEN tb ELSE tc END),
+cc AS (SELECT ledger, sequence, NULL::VARCHAR AS previous_sha256, payload, sha256('0||' || payload) AS sha256, part FROM kp WHERE sequence = 0
+  UNION ALL SELECT kp.ledger, kp.sequence, cc.sha256, kp.payload, sha256(kp.sequence || '|' || cc.sha256 || '|' || kp.payload), kp.part FROM cc JOIN kp ON kp.ledger = cc.ledger AND kp.sequence = cc.sequence + 1)"""
+#: Ledgers of calls, one event after the other by a recursion that carries the ledger's state.
+CALLS = f"""{EV}, ce AS (
+  SELECT event_id, tm, event_id // 25 AS ledger, event_id % 25 AS i, (event_id % 25 + 4) % 5 AS step, CASE WHEN event_id % 25 = 0 THEN -1 ELSE (event_id % 25 - 1) // 5 END AS cycle, k, CASE WHEN event_id % 25 = 0 THEN 'bound' WHEN k % 31 = 30 THEN 'checkpoint' WHEN k % 37 = 36 THEN 'failed'
+    WHEN k % 41 = 40 THEN 'rebuilt' WHEN event_id % 25 = 23 THEN 'prepared' WHEN event_id % 25 = 24 THEN 'published' ELSE ['reserved', 'received', 'reserved', 'received', 'window'][(event_id % 25 + 4) % 5 + 1] END AS kind FROM ev),
+cx AS (SELECT event_id, tm, ledger, i, kind, CASE WHEN k % 29 = 28 THEN i - 3 ELSE i END AS sequence, cycle * 2 + (step >= 2)::INT + (k % 23 = 22)::INT AS call_id, step < 2 AS builder, k % 43 AS size, k % 19 <> 18 AS ok, sha256(ledger || CASE WHEN i = 24 AND k % 5 = 0 THEN '!' ELSE '' END) AS sha FROM ce),
+st AS (
+  SELECT ledger, -1::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS verdict, -1::BIGINT AS seq, false AS bound, 0 AS res, 0 AS rec, 0 AS com, 0 AS nb, 0 AS nj, false AS fail, '' AS prep, false AS publ, []::VARCHAR[] AS cs, '' AS open_kind, 0::BIGINT AS open_at FROM (SELECT DISTINCT ledger FROM cx)
+  UNION ALL
+  SELECT ledger, i, event_id, kind, coalesce(v, 'accepted'), CASE WHEN v IS NULL THEN sequence ELSE seq END, bound OR (v IS NULL AND kind = 'bound'), res + (v IS NULL AND kind = 'reserved')::INT, rec + (v IS NULL AND kind = 'received')::INT,
+    CASE WHEN v IS NULL AND kind IN ('window', 'rebuilt') THEN res ELSE com END, nb + (v IS NULL AND kind = 'reserved' AND builder)::INT, nj + (v IS NULL AND kind = 'reserved' AND NOT builder)::INT,
+    CASE WHEN v IS NULL AND kind = 'failed' THEN true WHEN v IS NULL AND kind IN ('window', 'rebuilt') THEN false ELSE fail END, CASE WHEN v IS NULL AND kind = 'prepared' THEN sha ELSE prep END, publ OR (v IS NULL AND kind = 'published'),
+    CASE WHEN v IS NULL AND kind = 'received' THEN list_append(cs, open_kind || ok::INT) WHEN v IS NULL AND kind IN ('window', 'rebuilt') THEN [] ELSE cs END,
+    CASE WHEN v IS NULL AND kind = 'reserved' THEN CASE WHEN builder THEN 'B' ELSE 'J' END ELSE open_kind END, CASE WHEN v IS NULL AND kind = 'reserved' THEN tm // 1000 ELSE open_at END
+  FROM (SELECT st.ledger, cx.i, cx.event_id, cx.kind, cx.sequence, cx.builder, cx.ok, cx.sha, cx.tm, seq, bound, res, rec, com, nb, nj, fail, prep, publ, cs, open_kind, open_at,
+    CASE WHEN publ OR (fail AND cx.kind <> 'rebuilt') THEN 'closed' WHEN cx.sequence <= seq THEN 'order' WHEN cx.kind = 'bound' THEN CASE WHEN bound THEN 'binding' END WHEN NOT bound THEN 'unbound'
+      WHEN cx.kind = 'reserved' THEN CASE WHEN prep <> '' OR res <> rec OR cx.call_id <> res THEN 'reservation' WHEN cx.size <= 0 THEN 'request' WHEN CASE WHEN cx.builder THEN nb ELSE nj END >= 4 THEN 'budget' END
+      WHEN cx.kind = 'received' THEN CASE WHEN res <> rec + 1 OR cx.call_id <> rec THEN 'receipt' END
+      WHEN cx.kind = 'window' THEN CASE WHEN res <> rec OR len(cs) NOT BETWEEN 1 AND 4 OR cs[1] <> 'B1' OR NOT ends_with(cs[-1], '1') OR len(list_filter(cs[2:], lambda x: x[1] <> 'J')) > 0 OR len(list_filter(cs[2:-2], lambda x: x <> 'J0')) > 0 THEN 'window' END
+      WHEN cx.kind = 'checkpoint' THEN CASE WHEN res <> com THEN 'checkpoint' END WHEN cx.kind = 'rebuilt' THEN CASE WHEN NOT fail OR res <> rec THEN 'rebuild' END
+      WHEN cx.kind = 'prepared' THEN CASE WHEN res <> com OR prep <> '' THEN 'publication' END WHEN cx.kind = 'published' THEN CASE WHEN prep = '' OR cx.sha <> prep THEN 'publication' END END AS v
+    FROM st JOIN cx ON cx.ledger = st.ledger AND cx.i = st.i + 1)),
+la2 AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY i DESC) AS rn FROM st)"""
 #: Matches of the sections' words in conversations, each in its deepest section.
 NODE_MATCHES = f"""ln AS (SELECT pl.doc, line_no, line, byte_start FROM pl), tx AS (SELECT doc, strlen(text) AS bytes FROM asm),
 sn AS (SELECT s.*, a.byte_start AS na, coalesce(b.byte_start, bytes) AS nz FROM sections s JOIN tx USING (doc) JOIN ln a ON a.doc = s.doc AND a.line_no = s.line_start LEFT JOIN ln b ON b.doc = s.doc AND b.line_no = s.line_end + 1),
@@ -170,6 +199,9 @@ mt AS (SELECT * FROM (SELECT l.doc, 'conv/' || l.doc AS path, l.line_no AS m, l.
 
 
 ORACLE = {
+    "call_ledger_verdicts": f"WITH RECURSIVE {CALLS} SELECT ledger::VARCHAR AS ledger, event_id, kind, verdict FROM st WHERE i >= 0 UNION ALL SELECT ledger::VARCHAR, NULL, 'deadline', 'expired' FROM la2 WHERE rn = 1 AND res <> rec AND NOT fail AND NOT publ AND open_at + 259200000 <= (SELECT max(tm) // 1000 FROM ev)",
+    "appended_chains": f"WITH RECURSIVE {CHAINS} SELECT ledger, sequence, previous_sha256, sha256, part AS append FROM cc",
+    "appended_chain_report": f"WITH RECURSIVE {CHAINS} SELECT t3.ledger, count(cc.ledger) AS lines, sum(strlen(payload))::BIGINT AS bytes, tc AND c > 0 AS accepted, 0 AS breaks FROM t3 LEFT JOIN cc USING (ledger) WHERE c > 0 GROUP BY ALL HAVING true",
     "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
