@@ -6,7 +6,7 @@ its cosine is lower than almost all of that centroid's training texts had.
 
 A null text, or one without a letter, is `und`. Rows are judged alone, repeated rows too. Without training rows every
 text is `und`. Document frequencies count all training texts. The centroids are fitted to a bounded sample: about `most`
-texts of each language, by a hash of their id; each language is clustered by itself on an executor, and only its
+different texts of each language, one at least, by a hash of id and text, so that ids may be null or shared; each language is clustered by itself on an executor, and only its
 centroids, vectors of fixed length, come to the driver. A very long text is counted in parts that end at white space.
 """
 
@@ -120,10 +120,13 @@ def held_out():
 def learned(documents: DataFrame, most: int = 400) -> Model:
     """Fit to the labelled documents that aren't held out: document frequencies to all of them, centroids to a sample of about `most` of each language."""
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rates = settle(usable.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_rate")))
+    # Rows are told apart by id and text, so that neither a shared id nor a null one takes or loses a language whole.
+    usable = usable.withColumn("_place", F.xxhash64(F.lit(23), "doc_id", "text").bitwiseAND(F.lit(2**53 - 1)))
+    rates = settle(usable.groupBy("lang").agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_rate"), F.min("_place").alias("_least")))
     rates = F.broadcast(rates) if rates.count() <= MOST_LANGUAGES else rates
-    place = F.xxhash64(F.lit(23), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
-    sample = usable.join(rates, "lang").filter(place < F.col("_rate")).select("lang", "text")
+    chosen = (F.col("_place") / F.lit(float(2**53)) < F.col("_rate")) | (F.col("_place") == F.col("_least"))
+    # Copies have one place; a group of many counts once.
+    sample = usable.join(rates, "lang").filter(chosen).select("lang", "text", "_place").dropDuplicates(["lang", "_place"]).select("lang", "text")
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0

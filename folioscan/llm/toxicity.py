@@ -160,7 +160,9 @@ def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_byte
     """Train on at most `most` labelled rows outside the held-out third, of at most most_bytes of text together."""
     key = F.xxhash64(F.lit(17), F.col("doc_id"))
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = some.withColumn("_key", key).orderBy("_key", "doc_id").limit(most)
+    # Labels whose documents aren't there, or have no text, don't count towards the bound.
+    there = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id")
+    some = settle(some.join(there, "doc_id", "left_semi").withColumn("_key", key).orderBy("_key", "doc_id").limit(most))
     texts = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter("text IS NOT NULL")
     # Repeated rows can make this more than `most`.
     texts = settle(texts.withColumns({"_bytes": F.octet_length("text"), "_hash": F.xxhash64("text")}).orderBy("_key", "doc_id", "_hash").limit(most))
