@@ -139,11 +139,14 @@ class _Node:
     def __init__(self, row):
         self.title, self.pages, self.lines, self.keys, self.below = row.title, (row.page_start, row.page_end), [row.line_start, row.line_end], list(row.key_items if row.key_items is not None else []), []
 
-    def all_titles(self) -> list[str]:
-        found = [self.title, *self.keys]
-        for node in self.below:
-            found += node.all_titles()
-        return found
+
+def _preorder(nodes: list[_Node]) -> list[_Node]:
+    """The nodes and all below them, each before its own, by a stack: trees may be deep."""
+    out, left = [], nodes[::-1]
+    while left:
+        out.append(left.pop())
+        left += out[-1].below[::-1]
+    return out
 
 
 def _label(titles: list[str], pages: tuple[int, int], most: int = 200) -> str:
@@ -170,22 +173,23 @@ def _join_equal(siblings: list[_Node]) -> list[_Node]:
     return [n for n in siblings if id(n) not in gone]
 
 
-def _collapse(node: _Node) -> int:
-    """Fold a subtree that isn't cheaper to walk than to scan, bottom-up; the node's cost after that."""
-    span = node.pages[1] - node.pages[0] + 1
-    if not node.below:
-        return span
-    below = [_collapse(n) for n in node.below]
-    left, end = span, node.pages[0] - 1
-    for start, stop in sorted(n.pages for n in node.below):
-        left -= max(0, min(stop, node.pages[1]) - max(start, end + 1) + 1)
-        end = max(end, stop)
-    cost = 1 + max(left, *below)
-    if span <= cost:
-        node.keys += [t for n in node.below for t in n.all_titles()]
-        node.below = []
-        return span
-    return cost
+def _collapse(roots: list[_Node]) -> None:
+    """Fold each subtree that isn't cheaper to walk than to scan, bottom-up."""
+    costs: dict[int, int] = {}
+    for node in reversed(_preorder(roots)):
+        span = costs[id(node)] = node.pages[1] - node.pages[0] + 1
+        if not node.below:
+            continue
+        left, end = span, node.pages[0] - 1
+        for start, stop in sorted(n.pages for n in node.below):
+            left -= max(0, min(stop, node.pages[1]) - max(start, end + 1) + 1)
+            end = max(end, stop)
+        cost = 1 + max(left, *(costs[id(n)] for n in node.below))
+        if span <= cost:
+            node.keys += [t for n in _preorder(node.below) for t in (n.title, *n.keys)]
+            node.below = []
+        else:
+            costs[id(node)] = cost
 
 
 def merge_document(rows: pd.DataFrame) -> pd.DataFrame:
@@ -194,31 +198,21 @@ def merge_document(rows: pd.DataFrame) -> pd.DataFrame:
     roots = []
     for node, parent in made.values():
         (made[parent][0].below if parent in made else roots).append(node)
-
-    def joined(nodes: list[_Node]) -> list[_Node]:
-        for node in nodes:
-            node.below = joined(node.below)
-        return _join_equal(nodes)
-
-    def count(nodes: list[_Node]) -> int:
-        return sum(1 + count(n.below) for n in nodes)
-
     while True:
-        before = count(roots)
-        roots = joined(roots)
-        for node in roots:
-            _collapse(node)
-        if count(roots) == before:
+        before = _preorder(roots)
+        roots = _join_equal(roots)
+        for node in before:
+            node.below = _join_equal(node.below)
+        _collapse(roots)
+        if len(_preorder(roots)) == len(before):
             break
     out: list[tuple] = []
-
-    def write(nodes: list[_Node], parent: str | None) -> None:
-        for node in nodes:
-            name = f"{len(out):04d}"
-            out.append((rows["doc"].iloc[0], name, parent, node.title, *node.pages, *node.lines, node.keys))
-            write(node.below, name)
-
-    write(roots, None)
+    left: list[tuple[_Node, str | None]] = [(node, None) for node in reversed(roots)]
+    while left:
+        node, parent = left.pop()
+        name = f"{len(out):04d}"
+        out.append((rows["doc"].iloc[0], name, parent, node.title, *node.pages, *node.lines, node.keys))
+        left += [(n, name) for n in reversed(node.below)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in MERGED.split(", ")])
 
 
