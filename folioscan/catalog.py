@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions.patterns import plan
 from folioscan.functions.text import byte_clip, generic_title, lexical_score, literal_anchor, normalized, pattern, token_list, tokens
-from folioscan.operators import accounting, evaluation, hits, lines, outline, results, rules, search, tree, trigram
+from folioscan.operators import accounting, decisions, evaluation, hits, lines, outline, results, rules, search, tree, trigram
 from folioscan.plans.search import TermOverlap, descriptions
 from folioscan.plans.search import search as whole_search
 from folioscan.sources import chain
@@ -647,6 +647,47 @@ def call_ledger_verdicts(spark, d):
     return calls.run(call_events(file_stream(spark, f"{d}/events.parquet")), folder, {"builder": 4, "judge": 4}, 3 * 86_400_000)
 
 
+QUESTIONS = '{"a":{"type":"noul","instructions":"i"},"b":{"type":"choice","instructions":["x"],"criteria":{"yes":"y","no":null}},"c":{"type":"score","instructions":{"t":1},"criteria":["low","mid","high"]}}'
+ANSWERS = (
+    '{"model":"m","id":"r","answers":{"a":{"type":"noul","noul":0.5},"b":{"type":"choice","choice":"yes","confidence":0.9,"probabilities":{"yes":0.7,"no":0.3}},'
+    '"c":{"type":"score","score":1.2,"probabilities":{"0":0.1,"1":0.6,"2":0.3},"legend":{"0":"low","1":"mid","2":"high"}}},"usage":{"input_tokens":5,"output_tokens":null,"cost":0.25}}'
+)
+#: What is changed in the questions or the answers, the question at fault and the fault's name.
+REQUEST_FAULTS = (
+    ('{"a":', '[{"a":', None, "questions"), ('"a":', '"b":1,"a":', None, "questions"), ('"a":', '"":', "", "id"), ('{"type":"noul","instructions":"i"}', '"ask"', "a", "question"), ('"i"}', '"i","more":1}', "a", "field"),
+    ('"instructions":"i"', '"instructions":7', "a", "instructions"), ('"noul"', '"nul"', "a", "type"), ('"i"}', '"i","criteria":{"true":"t"}}', "a", "criteria"), (',"no":null', "", "b", "criteria"), ('"no":null', '"no":3', "b", "criteria"),
+    ('"low","mid","high"', '"low"', "c", "criteria"), ('["low","mid","high"]', '{"0":"low"}', "c", "criteria"),
+)
+ANSWER_FAULTS = (
+    ('{"model"', '{"model":"n","model"', None, "json"), ('"answers":{', '"replies":{', None, "schema"), ('"m"', '" "', None, "model"), ('"id":"r"', '"id":""', None, "metadata"), ('"input_tokens":5', '"input_tokens":-5', None, "usage"),
+    ('"cost":0.25', '"cost":"low"', None, "usage"), ('"a":{', '"d":{', "a", "answer_ids"), ('"type":"noul"', '"type":"score"', "a", "answer_type"), ('"noul":0.5', '"noul":1.5', "a", "probability"), ('"noul":0.5', '"noul":"0.5"', "a", "probability"),
+    ('"choice":"yes"', '"choice":"maybe"', "b", "option"), ("0.9", "-0.9", "b", "confidence"), ('"yes":0.7', '"yes":0.5', "b", "distribution"), ('"no":0.3', '"none":0.3', "b", "distribution"), ('"choice":"yes"', '"choice":"no"', "b", "disagrees"),
+    ('"score":1.2', '"score":2.5', "c", "range"), ('"2":0.3', '"3":0.3', "c", "distribution"), ('"score":1.2', '"score":1.3', "c", "disagrees"), ('"2":"high"', '"2":"top"', "c", "legend"),
+)
+
+
+def decision_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A request and its response for each event; one in some has a fault, of each kind in turn."""
+    n = F.col("event_id") % 50
+    state = F.when(n == 12, F.col("k").cast("string")).otherwise(F.to_json(F.struct("k", "event_type")))
+    changed = lambda whole, faults, at: F.try_element_at(F.array(*[F.lit(whole.replace(old, new, 1)) for old, new, *_ in faults]), at.cast("int"))
+    asked = F.when(n == 13, "{}").otherwise(F.coalesce(changed(QUESTIONS, REQUEST_FAULTS, n + 1), F.lit(QUESTIONS)))
+    sound = F.replace(F.lit(ANSWERS), F.lit("0.25"), F.concat(F.lit("0."), F.col("k").cast("string")))
+    told = F.coalesce(F.when(n >= 20, changed(ANSWERS, ANSWER_FAULTS, n - 19)), sound)
+    rows = events(spark, d)
+    return rows.select(F.col("event_id").alias("request_id"), state.alias("state"), asked.alias("questions")), rows.filter(n >= 14).select(F.col("event_id").alias("request_id"), told.alias("body"))
+
+
+@query
+def decision_request_faults(spark, d):
+    return decisions.request_faults(decision_rows(spark, d)[0])
+
+
+@query
+def decision_response_faults(spark, d):
+    return decisions.response_faults(*decision_rows(spark, d))
+
+
 def appended(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All lines after three appends of the users' events to their ledgers, and what became of the last one; a ledger holds 70 lines."""
     root = new_folder(spark, "chains")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.catalog import LITERAL, QUERY, REGEX, VIEWS
+from folioscan.catalog import ANSWER_FAULTS, LITERAL, QUERY, REGEX, REQUEST_FAULTS, VIEWS
 from folioscan.functions.text import token_list
 from folioscan.operators.search import ROLES
 from folioscan.operators.trigram import literal_trigrams
@@ -160,6 +160,11 @@ def snippets(matches: str, table: str, pages: str, most: int, name: str) -> str:
 
 HIT = """path, node_id, m AS match_line, col AS match_column, line_start, line_end, page_start, page_end, byte_start, byte_end, column_start, CASE WHEN inside THEN byte_start - na END AS node_offset, CASE WHEN inside AND byte_end < nz THEN byte_end - na END AS next_offset,
   CASE WHEN inside THEN byte_start = na AND byte_end = nz END AS complete, CASE WHEN inside THEN byte_start - na END AS unread_before, CASE WHEN inside THEN nz - byte_end END AS unread_after, text_truncated, round(score, 6) AS score, literal_anchor"""
+def named(faults, first: int) -> str:
+    """Rows of which fault an event has, told by the number that it leaves over."""
+    return ", ".join(f"({first + i}, {'NULL' if q is None else repr(q)}, '{fault}')" for i, (_, _, q, fault) in faults)
+
+
 #: Chains of the users' events, appended in three parts; a part that would bring a ledger over 70 lines is left out.
 CHAINS = """ap AS (SELECT user_id::VARCHAR AS ledger, event_id, event_id % 3 AS part, '{"event_type":"' || event_type || '","k":' || (props->>'k')::BIGINT || '}' AS payload FROM events),
 n3 AS (SELECT ledger, count(*) FILTER (part = 0) AS a, count(*) FILTER (part = 1) AS b, count(*) FILTER (part = 2) AS c FROM ap GROUP BY ledger),
@@ -202,6 +207,8 @@ ORACLE = {
     "call_ledger_verdicts": f"WITH RECURSIVE {CALLS} SELECT ledger::VARCHAR AS ledger, event_id, kind, verdict FROM st WHERE i >= 0 UNION ALL SELECT ledger::VARCHAR, NULL, 'deadline', 'expired' FROM la2 WHERE rn = 1 AND res <> rec AND NOT fail AND NOT publ AND open_at + 259200000 <= (SELECT max(tm) // 1000 FROM ev)",
     "appended_chains": f"WITH RECURSIVE {CHAINS} SELECT ledger, sequence, previous_sha256, sha256, part AS append FROM cc",
     "appended_chain_report": f"WITH RECURSIVE {CHAINS} SELECT t3.ledger, count(cc.ledger) AS lines, sum(strlen(payload))::BIGINT AS bytes, tc AND c > 0 AS accepted, 0 AS breaks FROM t3 LEFT JOIN cc USING (ledger) WHERE c > 0 GROUP BY ALL HAVING true",
+    "decision_request_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(REQUEST_FAULTS), 0)}, (12, NULL, 'state'), (13, NULL, 'question_count')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
+    "decision_response_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(ANSWER_FAULTS), 20)}, (26, 'd', 'answer_ids')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
     "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
