@@ -268,6 +268,14 @@ def markdown_tree(spark, d):
     return outline.built(docs, outline.whole_pages(docs), outline.document_headings(docs))
 
 
+@query
+def nested_trees(spark, d):
+    """Each Markdown document's sections as one nested JSON."""
+    docs = markdown_documents(spark, d)
+    found = outline.nested(outline.built(docs, outline.whole_pages(docs), outline.document_headings(docs)))
+    return found.select("doc", "nodes", "depth", F.octet_length("tree").alias("bytes"), F.sha2("tree", 256).alias("tree_sha256"))
+
+
 def page_bookmarks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of conversations, bookmarks and layout headings of them. Every ninth conversation has neither.
 

@@ -7,6 +7,7 @@ What needs the pages' texts, finding a title on its page, is done page by page b
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -321,3 +322,24 @@ def rejected(bookmarks: DataFrame) -> DataFrame:
     """doc and how many of its admitted() bookmarks were accepted, and rejected."""
     taken = F.col("accepted")
     return bookmarks.groupBy("doc").agg(F.count(F.when(taken, 1)).alias("accepted"), F.count(F.when(~taken, 1)).alias("rejected"))
+
+
+def _nest(document: dict) -> list[tuple]:
+    """A document's tree as JSON, from the last section up: each is written once, when all below it are."""
+    below: dict[str | None, list[str]] = {}
+    depth: dict[str | None, int] = {None: 0}
+    for n in document["nodes"]:
+        depth[n["node_id"]] = depth[n["parent_id"]] + 1
+    for n in reversed(document["nodes"]):
+        own = {"title": n["title"], "node_id": n["node_id"], "start_index": n["page_start"], "end_index": n["page_end"]}
+        text = json.dumps(own, ensure_ascii=False, separators=(",", ":"))
+        if nodes := below.pop(n["node_id"], None):
+            text = f'{text[:-1]},"nodes":[{",".join(reversed(nodes))}]}}'
+        below.setdefault(n["parent_id"], []).append(text)
+    return [(f'[{",".join(reversed(below.get(None, [])))}]', len(document["nodes"]), max(depth.values()))]
+
+
+def nested(nodes: DataFrame) -> DataFrame:
+    """doc, tree (JSON: each section with those below it), nodes and depth of sections in preorder (doc, ord, node_id, parent_id, title, page_start, page_end)."""
+    rows = gathered(nodes.select("doc", "ord", "node_id", "parent_id", "title", "page_start", "page_end"), "nodes", ["ord"])
+    return by_document(rows, _nest, "tree string, nodes int, depth int")

@@ -209,6 +209,10 @@ ORACLE = {
     "appended_chain_report": f"WITH RECURSIVE {CHAINS} SELECT t3.ledger, count(cc.ledger) AS lines, sum(strlen(payload))::BIGINT AS bytes, tc AND c > 0 AS accepted, 0 AS breaks FROM t3 LEFT JOIN cc USING (ledger) WHERE c > 0 GROUP BY ALL HAVING true",
     "decision_request_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(REQUEST_FAULTS), 0)}, (12, NULL, 'state'), (13, NULL, 'question_count')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
     "decision_response_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(ANSWER_FAULTS), 20)}, (26, 'd', 'answer_ids')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
+    "nested_trees": f"""WITH RECURSIVE {MARKDOWN}, {SECTIONS}, dp AS (SELECT doc, ord, node_id, parent_id, 1 AS depth FROM sections WHERE parent_id IS NULL UNION ALL SELECT s.doc, s.ord, s.node_id, s.parent_id, depth + 1 FROM dp JOIN sections s ON s.doc = dp.doc AND s.parent_id = dp.node_id),
+ds AS (SELECT s.*, depth, lag(depth, 1, 0) OVER o AS before, lead(depth, 1, 1) OVER o AS after FROM dp JOIN sections s USING (doc, ord) WINDOW o AS (PARTITION BY doc ORDER BY ord)),
+js AS (SELECT doc, '[' || string_agg(CASE WHEN before >= depth THEN ',' ELSE '' END || '{{"title":"' || title || '","node_id":"' || printf('%04d', ord) || '","start_index":' || page_start || ',"end_index":' || page_end || CASE WHEN after > depth THEN ',"nodes":[' ELSE '}}' || repeat(']}}', (depth - after)::BIGINT) END, '' ORDER BY ord) || ']' AS tree, count(*) AS nodes, max(depth) AS depth FROM ds GROUP BY doc)
+SELECT doc, nodes, depth, strlen(tree) AS bytes, sha256(tree) AS tree_sha256 FROM js""",
     "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
