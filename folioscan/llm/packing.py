@@ -192,6 +192,8 @@ def tokenized(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
 
 #: Pieces and gaps in a range, about; pieces and gaps are told apart by these.
 RANGE, PIECE, GAP = 50_000, 0, 1
+#: Tables of earlier rounds that a round reads, at most.
+PILE = 3
 
 def swept(rows: pd.DataFrame) -> pd.DataFrame:
     """Match the pieces and slots of one range: each slot takes the largest piece before it that is still free.
@@ -273,7 +275,7 @@ def ranged(items: DataFrame, counts: dict[tuple[int, int], int]) -> tuple[DataFr
     return items.join(cells, ["size", "kind"]).withColumn("_range", place).drop("_first", "_n"), -(-total // RANGE)
 
 
-def placed(pieces: DataFrame, capacity: int, band: float = 0.25, seed: int = 3) -> DataFrame:
+def placed(pieces: DataFrame, capacity: int, band: float = 0.1, seed: int = 3) -> DataFrame:
     """id, sequence and offset of each of pieces (id long, size int)."""
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -308,6 +310,8 @@ def placed(pieces: DataFrame, capacity: int, band: float = 0.25, seed: int = 3)
         done.append(rows.filter(F.col("kind") == PIECE).select("id", "sequence", "offset"))
         waiting = [*(t.filter(F.col("size") < least) for t in waiting), found.filter("sequence IS NULL").select("id", "size")]
         gaps = [*(t.filter(F.col("size") < least) for t in gaps), rows.filter((F.col("kind") == GAP) & (F.col("left") > 0)).select(F.col("sequence").alias("id"), F.col("left").alias("size"))]
+        # Plans stay small: tables that have piled up become one, without what earlier rounds took.
+        waiting, gaps = ([settle(reduce(DataFrame.unionByName, tables).coalesce(parts))] if len(tables) > PILE else tables for tables in (waiting, gaps))
         widths = Counter({gap: n for gap, n in widths.items() if gap < least})
         size = F.when(F.col("kind") == PIECE, F.col("size")).otherwise(F.col("left"))
         for kind, size, n in rows.groupBy("kind", size.alias("size")).count().collect():  # at most capacity rows of each kind
@@ -319,7 +323,7 @@ def placed(pieces: DataFrame, capacity: int, band: float = 0.25, seed: int = 3)
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "id long, sequence long, offset long")
 
 
-def packed(pieces: DataFrame, capacity: int = 4096, band: float = 0.25) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = 4096, band: float = 0.1) -> DataFrame:
     """Add sequence_id and offset to pieces."""
     rows = settle(pieces.withColumn("_id", F.monotonically_increasing_id()))
     found = placed(rows.select(F.col("_id").alias("id"), F.col("length").cast("int").alias("size")), capacity, band)
