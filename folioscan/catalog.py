@@ -777,7 +777,7 @@ def payload_prefix(spark, d):
 
 @query
 def hint_packet(spark, d):
-    """Items of each lane in order of size and id, at most 8 and 2048 bytes; one that is too large is passed over."""
+    """Items of each lane in order of id, at most 8 and 1,200 bytes; one that is too large is passed over."""
     rows = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") % 16).alias("lane"), "item_id", F.octet_length("text").cast("long").alias("n"))
     lists = rows.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("item_id", "n"))).alias("l"))
     taken = lists.withColumn("t", results.packet(F.transform("l", lambda x: x["n"]), 8, 1200))
