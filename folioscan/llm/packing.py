@@ -51,8 +51,8 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: White space of Unicode, and separators that only str.split() takes for it.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Odd words whose ids a worker keeps, and letters of plain ones, of which it keeps up to twice as many; some 200 bytes each.
-MOST_WORDS, MOST_RUNS = 50_000, 150_000
-#: Bytes of texts that are tokenized together.
+MOST_WORDS, MOST_RUNS = 20_000, 100_000
+#: Bytes of texts that are tokenized together, and a quarter of that where ids are kept, which take more than the texts.
 PORTION = 16 << 20
 
 
@@ -122,12 +122,12 @@ def word_ids(tokenizer_json: str) -> WordIds:
     return _WORKER[key]
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch of some PORTION bytes of text, or of one longer text."""
+def portions(batch: pa.RecordBatch, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of some `size` bytes of text, or of one longer text."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PORTION, "right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -175,7 +175,7 @@ def tokenized(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(model.value)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, PORTION // 4 if with_ids else PORTION):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), token_ids(part.column(1), ids_of), strict=True):
                     ids += end
