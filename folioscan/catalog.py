@@ -210,6 +210,12 @@ def lines_of_bytes(spark, d):
     return hits.lines_of_bytes(places, lines.lines(docs, "doc_id").select("doc_id", "line_no", "byte_start"), "doc_id")
 
 
+@query
+def fitted_windows(spark, d):
+    """Windows of at most 600 bytes that fit in 610 as JSON: lines and quotes take more, so that windows with many of them are cut smaller."""
+    return lines.fitted_windows(table_documents(spark, d), 600, 610, "doc_id")
+
+
 @query
 def literal_anchor_flags(spark, d):
     rows = doc_lines(spark, d).filter(F.contains(F.lower("line"), F.lit("tion")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -89,3 +92,43 @@ def byte_windows(documents: DataFrame, size: int, *keys: str) -> DataFrame:
     rows = documents.select(*keys, F.col("text").cast("binary").alias("text"))
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "ordinal int, byte_start long, byte_end long, sha256 string"])
     return rows.mapInArrow(cut, schema)
+
+
+def encoded_bytes(raw: bytes) -> int:
+    """Bytes of a text as a JSON string, quotes included; what isn't ASCII stays as it is."""
+    return len(json.dumps(raw.decode(), ensure_ascii=False).encode())
+
+
+def fitted_windows(documents: DataFrame, size: int, most: int, *keys: str, least: int = 4) -> DataFrame:
+    """keys, ordinal, byte_start, byte_end and encoded of windows that tile each text, each of at most `most` bytes as JSON.
+
+    A window begins where the one before ends. It is tried with `size` bytes, then with half of these, and so on down to
+    `least`, always ended between characters; how large it gets depends on the text. A text of which no window fits is
+    an error. A text is cut by one task, and an empty one has no window.
+    """
+    kinds = {k: documents.schema[k].dataType.simpleString() for k in keys}
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for i, raw in enumerate(batch.column(len(keys)).to_pylist()):
+                at, out = 0, []
+                while at < len(raw or b""):
+                    want = size
+                    while True:
+                        end = min(len(raw), at + want)
+                        while at < end < len(raw) and raw[end] & 0xC0 == 0x80:
+                            end -= 1
+                        if end > at and (n := encoded_bytes(raw[at:end])) <= most:
+                            break
+                        if want <= least:
+                            raise ValueError(f"no window at byte {at} fits in {most} bytes")
+                        want = max(want // 2, least)
+                    out.append({"ordinal": len(out), "byte_start": at, "byte_end": end, "encoded": n})
+                    at = end
+                rows.append(out)
+            struct = pa.list_(pa.struct([("ordinal", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("encoded", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(rows, struct)], [*keys, "_w"])
+
+    made = documents.select(*keys, F.encode("text", "utf-8").alias("text")).mapInArrow(cut, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", _w array<struct<ordinal: int, byte_start: bigint, byte_end: bigint, encoded: bigint>>")
+    return made.select(*keys, F.inline("_w"))

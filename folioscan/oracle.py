@@ -165,6 +165,21 @@ def named(faults, first: int) -> str:
     return ", ".join(f"({first + i}, {'NULL' if q is None else repr(q)}, '{fault}')" for i, (_, _, q, fault) in faults)
 
 
+def window(want: int) -> str:
+    """The end of a window of so many bytes from `reached` on, before a character begins."""
+    return f"CASE WHEN reached + {want} >= size THEN size ELSE reached + {want} - ({steps(f'reached + {want}', '-')}) END"
+
+
+WINDOW_SIZES = (600, 300, 150, 75, 37, 18, 9, 4)
+#: Windows of documents by a recursion: the first size whose window fits as JSON.
+WINDOWS = f"""{D}, hx AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS size FROM d WHERE text <> ''),
+wr AS (
+  SELECT doc_id, -1 AS ordinal, 0::BIGINT AS byte_start, 0::BIGINT AS reached, 0::BIGINT AS encoded FROM hx
+  UNION ALL
+  SELECT doc_id, ordinal + 1, byte_start, pick.e, pick.n FROM (
+    SELECT doc_id, ordinal, reached AS byte_start, list_filter(list_transform([{", ".join(window(w) for w in WINDOW_SIZES)}], lambda e: struct_pack(e := e, n := {{}})), lambda x: x.n <= 610)[1] AS pick
+    FROM wr JOIN hx USING (doc_id) WHERE reached < size))"""
+WINDOWS = WINDOWS.replace("{}", "(e - reached) + 2 + len(regexp_extract_all(decode(unhex(substr(h, 2 * reached + 1, 2 * (e - reached)))), '[\\n\\r\\t\\x08\\x0C\"\\\\]')) + 5 * len(regexp_extract_all(decode(unhex(substr(h, 2 * reached + 1, 2 * (e - reached)))), '[\\x00-\\x07\\x0B\\x0E-\\x1F]'))")
 #: Chains of the users' events, appended in three parts; a part that would bring a ledger over 70 lines is left out.
 CHAINS = """ap AS (SELECT user_id::VARCHAR AS ledger, event_id, event_id % 3 AS part, '{"event_type":"' || event_type || '","k":' || (props->>'k')::BIGINT || '}' AS payload FROM events),
 n3 AS (SELECT ledger, count(*) FILTER (part = 0) AS a, count(*) FILTER (part = 1) AS b, count(*) FILTER (part = 2) AS c FROM ap GROUP BY ledger),
@@ -213,6 +228,7 @@ ORACLE = {
 ds AS (SELECT s.*, depth, lag(depth, 1, 0) OVER o AS before, lead(depth, 1, 1) OVER o AS after FROM dp JOIN sections s USING (doc, ord) WINDOW o AS (PARTITION BY doc ORDER BY ord)),
 js AS (SELECT doc, '[' || string_agg(CASE WHEN before >= depth THEN ',' ELSE '' END || '{{"title":"' || title || '","node_id":"' || printf('%04d', ord) || '","start_index":' || page_start || ',"end_index":' || page_end || CASE WHEN after > depth THEN ',"nodes":[' ELSE '}}' || repeat(']}}', (depth - after)::BIGINT) END, '' ORDER BY ord) || ']' AS tree, count(*) AS nodes, max(depth) AS depth FROM ds GROUP BY doc)
 SELECT doc, nodes, depth, strlen(tree) AS bytes, sha256(tree) AS tree_sha256 FROM js""",
+    "fitted_windows": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, ordinal, byte_start, reached AS byte_end, encoded FROM wr WHERE ordinal >= 0",
     "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
