@@ -88,7 +88,7 @@ q AS (
 s AS (
   SELECT item_id, doc_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // tokens))))::BIGINT AS score
   FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY ALL)
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 20
 """
 
