@@ -84,7 +84,7 @@ PATTERN_SQL = {
     r"^\p{Lu}[zñ]": "true",
     r"\d{4}": "true",
 }
-PATTERN_HITS = " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, doc_key, line_no, byte_start, (strlen(regexp_extract(line, '^(.*?)(?:{p.removeprefix('(?i)')})', 1{', ' + chr(39) + 'i' + chr(39) if '(?i)' in p else ''})) + 1)::BIGINT AS match_column FROM l WHERE regexp_matches(line, '{p}')" for i, p in enumerate(PATTERN_SQL))
+PATTERN_HITS = " UNION ALL ".join(f"SELECT {i}::BIGINT AS pattern, doc_id, doc_key, line_no, byte_start, (strlen(regexp_extract(line, '^(.*?)(?:{p.removeprefix('(?i)')})', 1{', ' + chr(39) + 'i' + chr(39) if '(?i)' in p else ''})) + 1)::BIGINT AS match_column FROM l WHERE regexp_matches(line, '{p}')" for i, p in enumerate(PATTERN_SQL))
 
 
 #: Sections of candidates cd(doc, i, line, level, title, page, boundary), i from 0 without gaps, and pages sp: what one pass with a stack gives, from whole sets.
@@ -97,7 +97,7 @@ ee AS (SELECT a.doc, a.i, a.line, a.level, a.title, a.page, a.up, max(b.own_end)
 un AS (SELECT ee.doc, i + shift AS ord, up + shift AS up, title, level, line AS line_start, line_end, page AS page_start FROM ee JOIN fi USING (doc)
   UNION ALL SELECT doc, 0, NULL, 'Preface', 1, 1, min(line) - 1, 1 FROM cd GROUP BY doc HAVING min(line) > 1
   UNION ALL SELECT sp.doc, number - 1, NULL, CASE WHEN n_pages = 1 THEN 'c' || sp.doc ELSE 'Page ' || number END, 1, line_start, line_end, number FROM sp JOIN lp USING (doc) WHERE sp.doc NOT IN (SELECT doc FROM cd)),
-sections AS (SELECT un.doc, ord, printf('%04d', ord) AS node_id, CASE WHEN up IS NULL THEN NULL ELSE printf('%04d', up) END AS parent_id, title, level::BIGINT AS level, un.line_start, un.line_end, page_start, max(p.number) AS page_end
+sections AS (SELECT un.doc, ord, printf('%04d', ord) AS node_id, CASE WHEN up IS NULL THEN NULL ELSE printf('%04d', up) END AS parent_id, title, level::BIGINT AS level, un.line_start, un.line_end, page_start::BIGINT AS page_start, max(p.number)::BIGINT AS page_end
   FROM un JOIN sp p ON p.doc = un.doc AND p.line_start <= un.line_end GROUP BY ALL)"""
 PLAIN = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
 #: Markdown made of conversations: blocks of lines whose numbers are known from how they are made.
@@ -174,7 +174,7 @@ WINDOW_SIZES = (600, 300, 150, 75, 37, 18, 9, 4)
 #: Windows of documents by a recursion: the first size whose window fits as JSON.
 WINDOWS = f"""{D}, hx AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS size FROM d WHERE text <> ''),
 wr AS (
-  SELECT doc_id, -1 AS ordinal, 0::BIGINT AS byte_start, 0::BIGINT AS reached, 0::BIGINT AS encoded FROM hx
+  SELECT doc_id, -1::BIGINT AS ordinal, 0::BIGINT AS byte_start, 0::BIGINT AS reached, 0::BIGINT AS encoded FROM hx
   UNION ALL
   SELECT doc_id, ordinal + 1, byte_start, pick.e, pick.n FROM (
     SELECT doc_id, ordinal, reached AS byte_start, list_filter(list_transform([{", ".join(window(w) for w in WINDOW_SIZES)}], lambda e: struct_pack(e := e, n := {{}})), lambda x: x.n <= 610)[1] AS pick
@@ -221,26 +221,26 @@ mt AS (SELECT * FROM (SELECT l.doc, 'conv/' || l.doc AS path, l.line_no AS m, l.
 ORACLE = {
     "call_ledger_verdicts": f"WITH RECURSIVE {CALLS} SELECT ledger::VARCHAR AS ledger, event_id, kind, verdict FROM st WHERE i >= 0 UNION ALL SELECT ledger::VARCHAR, NULL, 'deadline', 'expired' FROM la2 WHERE rn = 1 AND res <> rec AND NOT fail AND NOT publ AND open_at + 259200000 <= (SELECT max(tm) // 1000 FROM ev)",
     "appended_chains": f"WITH RECURSIVE {CHAINS} SELECT ledger, sequence, previous_sha256, sha256, part AS append FROM cc",
-    "appended_chain_report": f"WITH RECURSIVE {CHAINS} SELECT t3.ledger, count(cc.ledger) AS lines, sum(strlen(payload))::BIGINT AS bytes, tc AND c > 0 AS accepted, 0 AS breaks FROM t3 LEFT JOIN cc USING (ledger) WHERE c > 0 GROUP BY ALL HAVING true",
+    "appended_chain_report": f"WITH RECURSIVE {CHAINS} SELECT t3.ledger, count(cc.ledger) AS lines, sum(strlen(payload))::BIGINT AS bytes, tc AND c > 0 AS accepted, 0::BIGINT AS breaks FROM t3 LEFT JOIN cc USING (ledger) WHERE c > 0 GROUP BY ALL HAVING true",
     "decision_request_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(REQUEST_FAULTS), 0)}, (12, NULL, 'state'), (13, NULL, 'question_count')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
     "decision_response_faults": f"WITH f AS (SELECT * FROM (VALUES {named(enumerate(ANSWER_FAULTS), 20)}, (26, 'd', 'answer_ids')) t(n, question, fault)) SELECT event_id AS request_id, question, fault FROM events JOIN f ON event_id % 50 = n",
     "nested_trees": f"""WITH RECURSIVE {MARKDOWN}, {SECTIONS}, dp AS (SELECT doc, ord, node_id, parent_id, 1 AS depth FROM sections WHERE parent_id IS NULL UNION ALL SELECT s.doc, s.ord, s.node_id, s.parent_id, depth + 1 FROM dp JOIN sections s ON s.doc = dp.doc AND s.parent_id = dp.node_id),
 ds AS (SELECT s.*, depth, lag(depth, 1, 0) OVER o AS before, lead(depth, 1, 1) OVER o AS after FROM dp JOIN sections s USING (doc, ord) WINDOW o AS (PARTITION BY doc ORDER BY ord)),
-js AS (SELECT doc, '[' || string_agg(CASE WHEN before >= depth THEN ',' ELSE '' END || '{{"title":"' || title || '","node_id":"' || printf('%04d', ord) || '","start_index":' || page_start || ',"end_index":' || page_end || CASE WHEN after > depth THEN ',"nodes":[' ELSE '}}' || repeat(']}}', (depth - after)::BIGINT) END, '' ORDER BY ord) || ']' AS tree, count(*) AS nodes, max(depth) AS depth FROM ds GROUP BY doc)
+js AS (SELECT doc, '[' || string_agg(CASE WHEN before >= depth THEN ',' ELSE '' END || '{{"title":"' || title || '","node_id":"' || printf('%04d', ord) || '","start_index":' || page_start || ',"end_index":' || page_end || CASE WHEN after > depth THEN ',"nodes":[' ELSE '}}' || repeat(']}}', (depth - after)::BIGINT) END, '' ORDER BY ord) || ']' AS tree, count(*) AS nodes, max(depth)::BIGINT AS depth FROM ds GROUP BY doc)
 SELECT doc, nodes, depth, strlen(tree) AS bytes, sha256(tree) AS tree_sha256 FROM js""",
     "fitted_windows": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, ordinal, byte_start, reached AS byte_end, encoded FROM wr WHERE ordinal >= 0",
     "published_generation": f"WITH {D} SELECT path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_sha256, strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS source_bytes, doc_id % 5 = 0 AS replaced FROM d",
     "lines_of_bytes": f"WITH {L}, p AS (SELECT doc_id, unnest(range(0, strlen(text) + 1, 997)) AS byte FROM d) SELECT p.doc_id, byte, line_no FROM p ASOF JOIN l ON p.doc_id = l.doc_id AND p.byte >= l.byte_start",
     "regex_snippets": f"WITH {L}, ln AS (SELECT doc_key AS doc, line_no, line, byte_start FROM l), tx AS (SELECT doc_key AS doc, strlen(text) AS bytes, max(line_no) AS n FROM dk JOIN (SELECT doc_key, line_no FROM l) USING (doc_key) GROUP BY ALL), "
-    f"mt AS (SELECT doc_key AS doc, path, line_no AS m, byte_start AS lat, strlen(regexp_extract(line, '^(.*?){REGEX}', 1)) + 1 AS col, greatest(line_no - 2, 1) AS first, least(line_no + 2, n) AS last, '0000' AS node_id, 0 AS na, bytes AS nz, 1 AS n_first, n AS n_last, 1 AS p_first, 1 AS p_last FROM l JOIN tx ON tx.doc = l.doc_key WHERE regexp_matches(line, '{REGEX}') ORDER BY doc_key, line_no LIMIT 500), "
-    f"np AS (SELECT NULL AS doc, 1 AS number, 1 AS line_start, 1 AS line_end), {snippets('mt', 'ln', 'np', 160, 'hh')} SELECT doc AS doc_key, {HIT.replace('round(score, 6)', '1.0::DOUBLE').replace('literal_anchor', 'false AS literal_anchor')}, path || ':L' || line_start || '-L' || line_end AS citation, sha256(text) AS text_sha256 FROM hh",
+    f"mt AS (SELECT doc_key AS doc, path, line_no AS m, byte_start AS lat, strlen(regexp_extract(line, '^(.*?){REGEX}', 1)) + 1 AS col, greatest(line_no - 2, 1) AS first, least(line_no + 2, n) AS last, '0000' AS node_id, 0 AS na, bytes AS nz, 1 AS n_first, n AS n_last, 1::BIGINT AS p_first, 1::BIGINT AS p_last FROM l JOIN tx ON tx.doc = l.doc_key WHERE regexp_matches(line, '{REGEX}') ORDER BY doc_key, line_no LIMIT 500), "
+    f"np AS (SELECT NULL AS doc, 1::BIGINT AS number, 1 AS line_start, 1 AS line_end), {snippets('mt', 'ln', 'np', 160, 'hh')} SELECT doc AS doc_key, {HIT.replace('round(score, 6)', '1.0::DOUBLE').replace('literal_anchor', 'false AS literal_anchor')}, path || ':L' || line_start || '-L' || line_end AS citation, sha256(text) AS text_sha256 FROM hh",
     "node_search_hits": f"WITH RECURSIVE {MARKS}, {split('asm', 'doc', 'pl')}, {SECTIONS}, {NODE_MATCHES}, {snippets('mt', 'ln', 'sp', 4096, 'hh')}, sc AS (SELECT *, {score('text', token_list(QUERY))} AS score, false AS literal_anchor FROM hh), "
     f"bs AS (SELECT *, row_number() OVER (PARTITION BY doc, node_id ORDER BY score DESC, m) AS best FROM sc) SELECT {HIT}, path || ':p' || page_start || '-p' || page_end AS citation, sha256(text) AS text_sha256 FROM bs WHERE best = 1 ORDER BY score DESC, path, first LIMIT 200",
     "markdown_tree": f"WITH {MARKDOWN}, {SECTIONS} SELECT * FROM sections",
     "bookmark_admission": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, CASE WHEN accepted THEN len(levels) END AS level, accepted FROM ad WHERE k > 0",
     "bookmark_places": f"WITH RECURSIVE {MARKS} SELECT doc, ord, page, line, boundary AS page_boundary FROM fm",
     "bookmark_tree": f"WITH RECURSIVE {MARKS}, {SECTIONS} SELECT * REPLACE (sha256(title) AS title) FROM sections",
-    "regex_index_coverage": f"WITH {L}, h AS ({PATTERN_HITS}), c AS (" + " UNION ALL ".join(f"SELECT {i} AS pattern, doc_id, {c} AS left_ FROM d" for i, c in enumerate(PATTERN_SQL.values())) + ") SELECT c.pattern, count(*) AS documents, count(*) FILTER (left_) AS candidates, count(*) FILTER (left_ AND h.doc_id IS NOT NULL) AS verified, count(*) FILTER (NOT left_ AND h.doc_id IS NOT NULL) AS lost FROM c LEFT JOIN (SELECT DISTINCT pattern, doc_id FROM h) h ON c.pattern = h.pattern AND c.doc_id = h.doc_id GROUP BY c.pattern",
+    "regex_index_coverage": f"WITH {L}, h AS ({PATTERN_HITS}), c AS (" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS pattern, doc_id, {c} AS left_ FROM d" for i, c in enumerate(PATTERN_SQL.values())) + ") SELECT c.pattern, count(*) AS documents, count(*) FILTER (left_) AS candidates, count(*) FILTER (left_ AND h.doc_id IS NOT NULL) AS verified, count(*) FILTER (NOT left_ AND h.doc_id IS NOT NULL) AS lost FROM c LEFT JOIN (SELECT DISTINCT pattern, doc_id FROM h) h ON c.pattern = h.pattern AND c.doc_id = h.doc_id GROUP BY c.pattern",
     "regex_index_search": f"WITH {L} SELECT pattern, doc_key, line_no, byte_start, match_column FROM ({PATTERN_HITS})",
     "corpus_catalog": f"WITH {D} SELECT doc_id, path, doc_key, sha256(text) AS text_sha256, strlen(text) AS source_bytes, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS n_lines FROM dk",
     "line_index": f"WITH {L} SELECT doc_id, line_no, byte_start, byte_start + strlen(line) AS byte_end FROM l",
