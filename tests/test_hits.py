@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators import hits, lines, outline
+from folioscan.operators.search import Options
+from folioscan.plans.search import located
 
 
 def documents(spark, texts):
@@ -104,3 +106,25 @@ def test_lines_of_bytes(spark):
     for i, text in enumerate(("a\nbé\n\nc", "")):
         for b in range(len(text.encode()) + 1):
             assert got[f"k{i}", b] == text.encode()[:b].count(b"\n") + 1
+
+
+def test_searches_leave_stale_documents_out(spark):
+    docs = documents(spark, [f"line\nneedle {i}\n" for i in range(5)])
+    recorded = docs.select("path", F.sha2("text", 256).alias("source_sha256"))
+    calls = []
+
+    def probe():
+        """d/1 has changed before the search, d/3 is gone after it."""
+        calls.append(1)
+        now = recorded.withColumn("source_sha256", F.when(F.col("path") == "d/1.txt", "x").otherwise(F.col("source_sha256")))
+        return now if len(calls) == 1 else now.filter("path <> 'd/3.txt'")
+
+    for mode in ("regex", "lexical"):
+        calls.clear()
+        found = located(docs, "needle", Options(mode=mode, limit=3), recorded=recorded, probe=probe)
+        assert [(h["path"], h["place"]) for h in found.hits.collect()] == [("d/0.txt", 1), ("d/2.txt", 2)]
+        assert [r["path"] for r in found.stale.collect()] == ["d/1.txt", "d/3.txt"] and found.truncated
+    found = located(docs, "needle 4", Options(mode="regex", limit=1))
+    assert found.hits.count() == 1 and not found.truncated and found.stale.count() == 0
+    with pytest.raises(ValueError):
+        located(docs, "needle", Options(mode="hybrid"))
