@@ -35,11 +35,12 @@ def absent(value: Column) -> Column:
 
 def members(value: Column) -> Column:
     """An object's fields as a map; null for anything else."""
-    return F.when(is_a(value, "OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def elements(value: Column) -> Column:
-    return F.when(is_a(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    """An array's elements; null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def text(value: Column) -> Column:
@@ -64,6 +65,15 @@ def name_fits(value: Column) -> Column:
     return F.coalesce((F.trim(name) != "") & (F.octet_length(name) <= NAME_BYTES) & ~name.rlike(r"\p{Cntrl}"), F.lit(False))
 
 
+def only_faults(rows: DataFrame) -> DataFrame:
+    """request_id, question and fault of rows that have one.
+
+    A filter on fault would be pushed below the steps that work it out, with all of them written out for each use; an
+    exploded array isn't.
+    """
+    return rows.select("request_id", "question", F.explode(F.array_compact(F.array("fault"))).alias("fault"))
+
+
 def questions_of(requests: DataFrame) -> DataFrame:
     """request_id, id and question of requests whose questions are an object."""
     return requests.select("request_id", F.explode(members(F.try_parse_json("questions"))).alias("id", "question"))
@@ -73,8 +83,8 @@ def _with_question_fault(rows: DataFrame) -> DataFrame:
     """Add fault to questions. Step by step, so that what several rules need is worked out once."""
     rows = rows.withColumn("_q", members(F.col("question")))
     of = lambda name: F.try_element_at("_q", F.lit(name))
-    rows = rows.withColumns({"_kind": text(of("type")), "_criteria": of("criteria"), "_told": described(of("instructions"))})
-    rows = rows.withColumns({"_options": members(F.col("_criteria")), "_levels": elements(F.col("_criteria"))})
+    rows = rows.withColumns({"_type": of("type"), "_criteria": of("criteria"), "_told": described(of("instructions"))})
+    rows = rows.withColumns({"_kind": text(F.col("_type")), "_options": members(F.col("_criteria")), "_levels": elements(F.col("_criteria"))})
     noul = absent(F.col("_criteria")) | (F.size("_options") == 2) & described(F.try_element_at("_options", F.lit("true"))) & described(F.try_element_at("_options", F.lit("false")))
     choice = F.size("_options").between(2, OPTIONS) & F.forall(F.map_entries("_options"), lambda e: (e["key"] != "") & (F.is_variant_null(e["value"]) | described(e["value"])))
     score = F.size("_levels").between(2, LEVELS) & F.forall("_levels", described)
@@ -88,11 +98,11 @@ def _with_question_fault(rows: DataFrame) -> DataFrame:
 
 def request_faults(requests: DataFrame) -> DataFrame:
     """request_id, question (null: the whole request) and fault of requests (request_id, state, questions; JSON)."""
-    fields = members(F.try_parse_json("questions"))
-    whole = first_fault((~described(F.try_parse_json("state")), "state"), (fields.isNull(), "questions"), (~F.size(fields).between(1, QUESTIONS), "question_count"))
-    of_whole = requests.select("request_id", F.lit(None).cast("string").alias("question"), whole.alias("fault"))
+    whole = requests.withColumn("_fields", members(F.try_parse_json("questions")))
+    fault = first_fault((~described(F.try_parse_json("state")), "state"), (F.col("_fields").isNull(), "questions"), (~F.size("_fields").between(1, QUESTIONS), "question_count"))
+    of_whole = whole.select("request_id", F.lit(None).cast("string").alias("question"), fault.alias("fault"))
     each = _with_question_fault(questions_of(requests)).select("request_id", F.col("id").alias("question"), "fault")
-    return of_whole.unionByName(each).filter("fault IS NOT NULL")
+    return only_faults(of_whole).unionByName(only_faults(each))
 
 
 def _distribution_fits(shares: Column, keys: Column) -> Column:
@@ -105,24 +115,27 @@ def _distribution_fits(shares: Column, keys: Column) -> Column:
 
 def _with_answer_fault(both: DataFrame) -> DataFrame:
     """Add fault to pairs of question and answer: each type's rules over its own rows, step by step, so that what several need is worked out once."""
-    rows = both.withColumns({"_q": members(F.col("question")), "_a": members(F.col("answer"))})
     asked, told = (lambda name: F.try_element_at("_q", F.lit(name))), (lambda name: F.try_element_at("_a", F.lit(name)))
-    rows = rows.withColumns({"_kind": text(asked("type")), "_answered": text(told("type"))})
+    rows = both.withColumns({"_q": members(F.col("question")), "_a": members(F.col("answer"))})
+    rows = rows.withColumns({"_type": asked("type"), "_own": told("type")})
+    # Kept with the kinds that rows are dealt by, as each type's rules read it.
+    rows = settle(rows.select(*both.columns, text(F.col("_type")).alias("_kind"), text(F.col("_own")).alias("_answered")))
+    rows = rows.withColumns({"_q": members(F.col("question")), "_a": members(F.col("answer"))})
     fits = F.coalesce(F.col("_answered") == F.col("_kind"), F.lit(False))
     odd = rows.filter(~fits).withColumn("fault", F.when(F.col("question").isNull() | F.col("answer").isNull(), "answer_ids").otherwise("answer_type"))
-    noul = rows.filter(fits & (F.col("_kind") == "noul")).withColumn("fault", first_fault((~probable(told("noul")), "probability")))
+    noul = rows.filter(fits & (F.col("_kind") == "noul")).withColumn("_noul", told("noul")).withColumn("fault", first_fault((~probable(F.col("_noul")), "probability")))
 
     def rated(kind: str, **columns: Column) -> DataFrame:
         own = rows.filter(fits & (F.col("_kind") == kind)).withColumns({"_sure": told("confidence"), "_given": told("probabilities"), **columns})
         own = own.withColumns({"_shares": members(F.col("_given")), "_unsure": ~absent(F.col("_sure")) & ~probable(F.col("_sure")), "_is_given": ~absent(F.col("_given"))})
         return own.withColumn("_numbers", F.transform(F.map_values("_shares"), number))
 
-    choice = rated("choice", _options=F.map_keys(members(asked("criteria"))), _choice=text(told("choice")))
+    choice = rated("choice", _options=F.map_keys(members(asked("criteria"))), _own=told("choice")).withColumn("_choice", text(F.col("_own")))
     choice = choice.withColumn("fault", first_fault(
         (~F.array_contains("_options", F.col("_choice")), "option"), (F.col("_unsure"), "confidence"), (F.col("_is_given") & ~_distribution_fits(F.col("_shares"), F.col("_options")), "distribution"),
         (F.col("_is_given") & (number(F.try_element_at("_shares", F.col("_choice"))) < F.array_max("_numbers") - 1e-9), "disagrees"),
     ))
-    score = rated("score", _levels=elements(asked("criteria")), _score=number(told("score")), _told=told("legend"))
+    score = rated("score", _levels=elements(asked("criteria")), _own=told("score"), _told=told("legend")).withColumn("_score", number(F.col("_own")))
     score = score.withColumns({"_top": F.size("_levels") - 1, "_legend": members(F.col("_told")), "_places": F.transform(F.sequence(F.lit(0), F.size("_levels") - 1), lambda i: i.cast("string"))})
     expected = F.aggregate(F.zip_with(F.map_keys("_shares"), "_numbers", lambda k, v: k.try_cast("double") * v), F.lit(0.0), lambda s, x: s + x)
     same = F.forall(F.zip_with("_places", "_levels", lambda i, w: F.coalesce(F.to_json(F.try_element_at("_legend", i)) == F.to_json(w), F.lit(False))), lambda x: x)
@@ -148,10 +161,11 @@ def response_faults(requests: DataFrame, responses: DataFrame) -> DataFrame:
         (reduce(lambda a, b: a | b, [~absent(F.col(n)) & ~name_fits(F.col(n)) for n in ("_id", "_provider")]), "metadata"), (~F.coalesce("_fits", F.lit(False)), "usage"),
     )
     of_whole = rows.select("request_id", F.lit(None).cast("string").alias("question"), whole.alias("fault"))
-    told = responses.select("request_id", members(F.try_element_at(members(F.try_parse_json("body")), F.lit("answers"))).alias("_map"))
-    answers = told.select("request_id", F.explode("_map").alias("id", "answer"))
-    answered = told.filter("_map IS NOT NULL").select("request_id")
-    asked = questions_of(requests).join(answered, "request_id", "left_semi")
-    # Kept, as each type's rules read it.
-    both = settle(asked.join(answers, ["request_id", "id"], "full"))
-    return of_whole.unionByName(_with_answer_fault(both).select("request_id", F.col("id").alias("question"), "fault")).filter("fault IS NOT NULL")
+    # A response's answers beside its request's questions, by their ids; texts are joined and parsed after that, once.
+    pairs = responses.join(requests.select("request_id", "questions"), "request_id", "left")
+    pairs = pairs.withColumns({"_asked": members(F.try_parse_json("questions")), "_m": members(F.try_parse_json("body"))})
+    pairs = pairs.withColumn("_told", members(F.try_element_at("_m", F.lit("answers"))))
+    ids = F.array_union(F.coalesce(F.map_keys("_asked"), F.array().cast("array<string>")), F.map_keys("_told"))
+    pairs = pairs.select("request_id", "_asked", "_told", F.explode(ids).alias("id"))
+    both = pairs.select("request_id", "id", F.try_element_at("_asked", F.col("id")).alias("question"), F.try_element_at("_told", F.col("id")).alias("answer"))
+    return only_faults(of_whole).unionByName(only_faults(_with_answer_fault(both).select("request_id", F.col("id").alias("question"), "fault")))

@@ -37,6 +37,19 @@ def test_several_questions_may_be_at_fault(spark):
     assert faults(spark, [QUESTIONS] * 3, ["", "[]", '{"model":"m"}'])[1] == [(0, "", "json"), (1, "", "json"), (2, "", "schema")]
 
 
+def parses(frame):
+    """How many times a plan parses JSON."""
+    return frame._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson(")
+
+
+def test_responses_are_parsed_once_for_each_part_of_the_report(spark):
+    requests = spark.createDataFrame([(1, '"s"', QUESTIONS), (2, '"s"', "[]")], "request_id long, state string, questions string")
+    responses = spark.createDataFrame([(1, ANSWERS), (2, ANSWERS), (3, ANSWERS)], "request_id long, body string")
+    found = decisions.response_faults(requests, responses)
+    assert 1 <= parses(found) <= 2
+    assert sorted(map(tuple, found.collect())) == [(i, q, "answer_ids") for i in (2, 3) for q in "abc"]
+
+
 def test_windows_fit_and_tile(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choices(["a", '"', "\\", "\n", "é", "🙂", "\x01"], [20, 2, 1, 2, 3, 1, 0.3], k=rng.randint(0, 900))) for _ in range(30)] + ["", None]
