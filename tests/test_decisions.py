@@ -42,6 +42,11 @@ def parses(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson(")
 
 
+def test_requests_are_parsed_once_for_each_part_of_the_report(spark):
+    requests = spark.createDataFrame([(1, '"s"', QUESTIONS)], "request_id long, state string, questions string")
+    assert 1 <= parses(decisions.request_faults(requests)) <= 3
+
+
 def test_responses_are_parsed_once_for_each_part_of_the_report(spark):
     requests = spark.createDataFrame([(1, '"s"', QUESTIONS), (2, '"s"', "[]")], "request_id long, state string, questions string")
     responses = spark.createDataFrame([(1, ANSWERS), (2, ANSWERS), (3, ANSWERS)], "request_id long, body string")
