@@ -31,6 +31,8 @@ from folioscan.llm.common import new_folder, remove, settle, terms
 BUCKETS, LONGEST, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
 #: Features in a block of the matrix (about), and words whose buckets a worker keeps.
 BLOCK, MOST_WORDS = 500_000, 300_000
+#: Blocks in a file of the matrix. Spark's reader decodes thousands of rows at once, so a file bounds what a task holds.
+BLOCKS = 4
 
 MATRIX = "block long, ids array<long>, words array<int>, ends array<int>, buckets array<int>, counts array<int>"
 _SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64()))] + [(n, pa.list_(pa.int32())) for n in ("words", "ends", "buckets", "counts")])
@@ -86,7 +88,7 @@ def counted(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "
         if ids:
             yield csr(first + made, ids, words, found, buckets)
 
-    docs.select(F.col(id_column).cast("long"), F.encode(F.col(text), "utf-8")).mapInArrow(build, MATRIX).write.parquet(path)
+    docs.select(F.col(id_column).cast("long"), F.encode(F.col(text), "utf-8")).mapInArrow(build, MATRIX).write.option("maxRecordsPerFile", BLOCKS).parquet(path)
     return docs.sparkSession.read.schema(MATRIX).parquet(path)
 
 

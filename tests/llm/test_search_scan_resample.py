@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.llm import blockmax, licenses, resampling
 
@@ -155,6 +156,16 @@ def test_the_matrix_is_kept_in_blocks(spark, prose, tmp_path, monkeypatch):
     assert got == collections.Counter((i, sum(int(sums[zlib.crc32(w.encode()) % 10_000]) for w in terms(t))) for i, t in docs)
 
 
+def test_files_of_the_matrix_have_few_blocks(spark, prose, tmp_path, monkeypatch):
+    """A task decodes whole files' blocks at once, so they must not grow with its share of the input."""
+    monkeypatch.setattr(resampling, "BLOCK", 200)
+    frame = spark.createDataFrame([(i, prose(60)) for i in range(100)], "doc_id long, text string").coalesce(1)
+    matrix = resampling.counted(frame, str(tmp_path / "m"))
+    files = collections.Counter(r[0] for r in matrix.select(F.input_file_name()).collect())
+    assert len(files) > 1 and max(files.values()) <= 4
+    assert sorted(i for r in matrix.collect() for i in r["ids"]) == list(range(100))
+
+
 def test_resampling_of_nothing(spark, none, odd, tmp_path):
     assert resampling.report(none, items(spark, [(1, "a")])).count() == 0
     assert resampling.report(odd, items(spark, [])).count() == odd.count()
