@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from folioscan.functions.patterns import trigrams_of
 from folioscan.sources.storage import exists, read_json, write_json
 
 VERSION, BUCKETS, BOM = 2, 64, "\ufeff"
+#: Bytes of texts whose trigrams are sorted at once (a longer text stands alone), which bounds a worker's memory.
+PIECE = 4 << 20
 
 
 def distinct_trigrams(text: str) -> np.ndarray:
@@ -34,6 +37,20 @@ def written_out(number: int) -> str:
     return chr(number >> 42) + chr(number >> 21 & 0x1FFFFF) + chr(number & 0x1FFFFF)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) cut where the bytes of texts would pass `most`."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        low = held = 0
+        for at, size in enumerate(sizes.tolist()):
+            if at > low and held + size > most:
+                yield batch.slice(low, at - low)
+                low, held = at, 0
+            held += size
+        if low < batch.num_rows:
+            yield batch.slice(low)
+
+
 def _posted(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Trigrams of some texts, where each one's list ends, and the lists of texts' numbers one after the other."""
     found = [distinct_trigrams(t.as_py() or "") for t in texts]
@@ -49,7 +66,7 @@ def postings(documents: DataFrame, key: str) -> DataFrame:
     kind = documents.schema[key].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, PIECE):
             tris, ends, of = _posted(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), batch.column(0).take(pa.array(of)))
             yield pa.RecordBatch.from_arrays([pa.array(tris, pa.string()), lists], ["tri", "keys"])
@@ -81,7 +98,7 @@ def write_index(documents: DataFrame, key: str, path: str, buckets: int = BUCKET
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for made, batch in enumerate(batches):
+        for made, batch in enumerate(pieces(batches, PIECE)):
             texts = [t.as_py() or "" for t in batch.column(1)]
             marked = [t.startswith(BOM) for t in texts]
             tris, ends, of = _posted(pa.array([t.removeprefix(BOM) for t in texts], pa.string()))

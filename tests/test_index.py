@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns
-from folioscan.operators import search, trigram
+from folioscan.operators import lines, search, trigram
 from folioscan.sources import corpus
 
 SCHEMA = "doc_id long, text string"
@@ -104,3 +104,15 @@ def test_broken_indexes_are_errors(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     index = stored(spark, documents(spark, []), tmp_path)
     assert index.candidates(patterns.plan("abc")).count() == 0 and index.candidates(True).count() == 0
+
+
+def test_segments_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """A worker sorts the trigrams of a bounded piece of texts, however many a task has; candidates are the same."""
+    monkeypatch.setattr(trigram, "PIECE", 1000, raising=False)
+    docs = spark.createDataFrame([(i, ("needle " if i % 3 == 0 else "thread ") * 30 if i else None) for i in range(40)], "doc_id long, text string").coalesce(1)
+    trigram.write_index(docs, "doc_id", str(tmp_path / "index"))
+    index = trigram.open_index(spark, str(tmp_path / "index"))
+    sizes = [len(r["keys"]) for r in index.segments.filter("bucket = -1").collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 5 and sum(sizes) == 40
+    assert {r[0] for r in index.candidates(("and", ["nee", "eed"])).collect()} == set(range(3, 40, 3))
+    assert trigram.postings(docs, "doc_id").filter("tri = 'nee'").count() == 13
