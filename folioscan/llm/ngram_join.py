@@ -36,7 +36,7 @@ from folioscan.llm.common import quoted, settle
 MOST_WORDS = 300_000
 #: A frame of ids is broadcast up to so many rows. Keys of more than LARGE rows are joined without a shuffle.
 MOST_IDS, LARGE = 50_000, 512
-#: Most sets in a part, and most shingles of its sets together.
+#: Most sets in a part, and most shingles of its sets together. Blocks of larger parts are twice as many sets, as each set is written for every other block.
 PART, PART_SHINGLES = 256, 1 << 21
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -124,14 +124,15 @@ def leaves(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
     for d in range(depth):
         last, key = d == depth - 1, f"k{d}"
         sums = [F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_shingles"), F.bit_xor(F.xxhash64("node")).alias("_members")]
-        blocks = F.greatest(F.ceil(F.col("_size") / PART), F.ceil(F.col("_shingles") / PART_SHINGLES)).cast("int")
+        blocks = F.greatest(F.ceil(F.col("_size") / (2 * PART)), F.ceil(F.col("_shingles") / PART_SHINGLES)).cast("int")
+        few = (F.col("_size") <= PART) & (F.col("_shingles") <= PART_SHINGLES)
         if last:
             parts = active.groupBy(key).agg(*sums).withColumns({"blocks": blocks, "_final": F.lit(True)})
         else:
             # A part that the next token wouldn't halve holds sets that are alike; splitting it on would only lose pairs.
             finer = active.groupBy(key, f"k{d + 1}").agg(*sums)
             parts = finer.groupBy(key).agg(F.sum("_size").alias("_size"), F.sum("_shingles").alias("_shingles"), F.bit_xor("_members").alias("_members"), F.max("_size").alias("_largest"))
-            parts = parts.withColumn("blocks", blocks).withColumn("_final", (F.col("blocks") == 1) | (2 * F.col("_largest") > F.col("_size"))).drop("_largest")
+            parts = parts.withColumn("blocks", blocks).withColumn("_final", few | (2 * F.col("_largest") > F.col("_size"))).drop("_largest")
         active = settle(joined_by_size(active, settle(parts.filter("_size > 1").drop("_shingles")), [key], "_size"))
         own = active.filter("_final").select("node", "run", F.col(key).alias("leaf"), "blocks", "_size", "_members")
         found = own if found is None else found.unionByName(own)
@@ -194,9 +195,16 @@ def compared(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
 
 
-def small(ids: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ids of few rows; more are joined by a shuffle."""
-    return F.broadcast(ids) if rows <= MOST_IDS else ids
+def marked(rows: DataFrame, key: str, ids: DataFrame, count: int) -> DataFrame:
+    """Add _maybe to rows: whether their key may be among ids, `count` longs. It is true of all that are, and of about one other in eight.
+
+    What is broadcast is a bit for each id, in 8 times as many bits. So rows that no id is for need no shuffle to be told.
+    """
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    word, bit = F.pmod(hashed, F.lit(max(1, -(-count // 8))).cast("long")), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    bits = ids.select(F.col(ids.columns[0]).alias(key)).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
 def links(documents: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
@@ -210,7 +218,9 @@ def links(documents: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, thre
     chosen = chosen.groupBy("node").agg(F.collect_list(member).alias("parts"))
     reps = settle(chosen.join(met, "node").select("node", "parts", all_leaves.alias("leaves")).join(nodes.select("node", "rep", "w", "d1", "d2"), "node"))
     count = reps.count()
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(small(reps, count), "rep")
+    # Most texts are in no part: they aren't shuffled to meet the parts.
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    texts = marked(texts, "rep", reps.select("rep"), count).filter("_maybe").drop("_maybe").join(reps, "rep")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["slot", "leaf", "pair", "cross", "run", "block", "node", "w", "leaves", "hashes"]
@@ -284,7 +294,10 @@ def deduplicated(documents: DataFrame, **how) -> DataFrame:
     named = classes.filter("doc_id IS NOT NULL")
     if named.count() == named.select("doc_id").distinct().count():
         dropped = named.filter("doc_id <> class_id").select("doc_id")
-        return documents.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*columns)
+        if (count := dropped.count()) <= MOST_IDS:
+            return documents.join(F.broadcast(dropped), "doc_id", "left_anti").select(*columns)
+        rows = marked(documents.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id")), "doc_id", dropped, count)
+        return rows.filter("NOT _maybe").select("_row.*").unionByName(rows.filter("_maybe").join(dropped, "doc_id", "left_anti").select("_row.*"))
     # Rows share ids: a row is told by its id and its text, and of equal rows one stays. This shuffles the texts.
     chosen = named.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("_chosen")).select("_chosen")
     rows = documents.select(F.struct(*columns).alias("_row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_chosen"))

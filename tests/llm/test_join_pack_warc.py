@@ -83,6 +83,32 @@ def test_joins_by_shuffle_beyond_the_broadcast_bound(odd, odd_rows, monkeypatch)
     assert result(odd) == brute(odd_rows)
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_a_like_are_not_shuffled(spark, odd, prose, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_IDS", 0)
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1500)) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, near(texts[0], 3, rng), near(texts[599], 3, rng)])], odd.schema)
+    before = shuffled(spark)
+    kept = {r["doc_id"] for r in ngram_join.deduplicated(rows).select("doc_id").collect()}
+    assert kept == set(range(600))
+    assert shuffled(spark) - before < sum(map(len, texts)) / 4
+
+
+def test_marked_ids_are_never_missed(spark):
+    ids = spark.range(0, 3000, 3)
+    rows = ngram_join.marked(spark.range(3000).withColumnRenamed("id", "k"), "k", ids, 1000)
+    found = {r["k"] for r in rows.filter("_maybe").collect()}
+    assert found >= set(range(0, 3000, 3)) and len(found) < 1000 + 2000 / 4
+    assert [r["_maybe"] for r in ngram_join.marked(spark.sql("SELECT CAST(7 AS LONG) AS k"), "k", ids.limit(0), 0).collect()] == [False]
+
+
 def test_join_of_different_texts_with_one_id(spark, odd, prose):
     """Near copies of each other, and texts of which each has its own near copy."""
     rng = random.Random(6)
