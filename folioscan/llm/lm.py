@@ -141,21 +141,19 @@ def counted(train: DataFrame, frequent: int, others: DataFrame | None = None) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            columns = [[word_hash(w) for w in found], [train[w] for w in found], list(found.values())]
+            columns = [[word_hash(w) for w in (*train, *rest)], [*train.values(), *[0] * len(rest)], [*train.values(), *rest.values()]]
+            train.clear()
+            rest.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "n", "m"])
 
-        found: Counter[bytes] = Counter()  # in all texts
+        # Each word is counted once: a word of both kinds of texts has two rows, which the sum joins.
         train: Counter[bytes] = Counter()
+        rest: Counter[bytes] = Counter()
         for batch in batches:
             for text, training in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or b"").lower().split()
-                found.update(words)
-                if training:
-                    train.update(words)
-                if len(found) > MOST_WORDS:
+                (train if training else rest).update((text or b"").lower().split())
+                if len(train) + len(rest) > MOST_WORDS:
                     yield out()
-                    found.clear()
-                    train.clear()
         yield out()
 
     seen = Observation()
