@@ -22,6 +22,7 @@ count is 0 and the model is uniform. A word is any run without space or U+0009 t
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,6 +72,13 @@ def contexts(texts: list[np.ndarray], size: int) -> list[np.ndarray]:
     return [np.concatenate([s[k] for s in seen]) if seen else np.zeros(0, np.int64) for k in range(3)]
 
 
+def places(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, below n, among `at`, and the place of each one of `at` among these."""
+    seen = np.zeros(n, bool)
+    seen[at] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[at]
+
+
 def row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """n sums of the rows by their numbers `at`."""
     dims = rows.shape[1]
@@ -86,21 +94,24 @@ def improve(state: State, y: np.ndarray, c1: np.ndarray, c2: np.ndarray, share:
         i = order[lo : lo + 512]
         near, far, true = c1[i], c2[i], y[i]
         false = np.minimum(np.searchsorted(upto, rng.random(noise)), size - 1)
-        r1, r2, t_true, t_false = r[near], r[far], t[true], t[false]
+        r1, r2, t_true, t_false = (x.take(k, 0) for x, k in ((r, near), (r, far), (t, true), (t, false)))
         q = r1 @ m1 + r2 @ m2
         g_true = 1 / (1 + np.exp(-np.clip((q * t_true).sum(1) + (b - log_noise)[true], -30, 30))) - 1
         g_false = 1 / (1 + np.exp(-np.clip(q @ t_false.T + (b - log_noise)[false], -30, 30)))
         dq = g_true[:, None] * t_true + g_false @ t_false
+        # Only rows of classes that are among the step's tokens have a gradient.
+        (before, at_before), (own, at_own) = places(np.concatenate([near, far]), size + 1), places(np.concatenate([true, false]), size)
         grads = [
-            row_sums(np.concatenate([near, far]), np.concatenate([dq @ m1.T, dq @ m2.T]), size + 1),
-            row_sums(np.concatenate([true, false]), np.concatenate([g_true[:, None] * q, g_false.T @ q]), size),
-            r1.T @ dq,
-            r2.T @ dq,
-            np.bincount(np.concatenate([true, false]), np.concatenate([g_true, g_false.sum(0)]), size).astype(np.float32),
+            (before, row_sums(at_before, np.concatenate([dq @ m1.T, dq @ m2.T]), len(before))),
+            (own, row_sums(at_own, np.concatenate([g_true[:, None] * q, g_false.T @ q]), len(own))),
+            (slice(None), r1.T @ dq),
+            (slice(None), r2.T @ dq),
+            (own, np.bincount(at_own, np.concatenate([g_true, g_false.sum(0)]), len(own)).astype(np.float32)),
         ]
-        for x, grad, square in zip(state[:5], grads, state[5:], strict=True):
-            square += grad * grad
-            x -= rate * grad / np.sqrt(square)
+        for x, (at, grad), square in zip(state[:5], grads, state[5:], strict=True):
+            total = square[at] + grad * grad
+            square[at] = total
+            x[at] -= rate * grad / np.sqrt(total)
 
 
 def finished(state: State, classes: dict[int, int]) -> Model:
@@ -256,7 +267,7 @@ class Words(dict):
     def __init__(self, model: Model, counts: Counts):
         super().__init__()
         self.model, self.counts = model, counts
-        self.kind, self.count, self.hash = [], [], []
+        self.kind, self.count, self.hash = array("q"), array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
@@ -266,8 +277,9 @@ class Words(dict):
         self.hash.append(h)
         return at
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.kind, np.int64), np.array(self.count, np.int64), np.array(self.hash, np.int64)
+    def tables(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, count (-1: not kept) and hash of some words. What other words a worker has seen isn't read or copied."""
+        return tuple(np.frombuffer(t, np.int64)[ids] if len(ids) else np.zeros(0, np.int64) for t in (self.kind, self.count, self.hash))
 
 
 ROWS = "row long, h long, tf int, train boolean, doc struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, n_other: bigint, log_counts: double, log_other: double, log_classes: double>"
@@ -292,9 +304,8 @@ def scored(documents: DataFrame, counts: Counts, model: Model) -> DataFrame:
                     seen = Words(model, counts)
                 lengths = np.array([len(t) for t in texts])
                 ids = np.fromiter((seen[w] for t in texts for w in t), np.int64, lengths.sum())
-                kinds, known, hashes = seen.tables()
                 doc = np.repeat(np.arange(len(texts)), lengths)
-                kind, count = kinds[ids], known[ids]
+                kind, count, hashes = seen.tables(ids)
                 # Classes with a start before each text and its end after it.
                 at = np.arange(len(ids)) + 3 * doc + 2
                 tape = np.full(len(ids) + 3 * len(texts), start)
@@ -314,13 +325,14 @@ def scored(documents: DataFrame, counts: Counts, model: Model) -> DataFrame:
                 ]
                 names = ["doc_id", "n_tokens", "n_known", "n_other", "log_counts", "log_other", "log_classes"]
                 train = some.column("train").to_numpy(zero_copy_only=False)
-                rare = np.unique(np.stack([doc[~common], ids[~common]]), axis=1, return_counts=True) if (~common).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                owner, rows = rare[0][0], base + line + np.arange(n)
+                # The other words of each text, once each: text and word as one number.
+                _, first, times = np.unique(doc[~common] * len(seen) + ids[~common], return_index=True, return_counts=True)
+                owner, own_hash, rows = doc[~common][first], hashes[~common][first], base + line + np.arange(n)
                 line += n
                 total = n + len(owner)
                 stats = pa.concat_arrays([pa.StructArray.from_arrays(sums, names), pa.nulls(len(owner), pa.struct([(k, a.type) for k, a in zip(names, sums, strict=True)]))])
                 # A document's own row gets a negative hash, which no word has.
-                columns = [np.concatenate([rows, rows[owner]]), np.concatenate([-1 - rows, hashes[rare[0][1]]]), np.concatenate([np.zeros(n, np.int64), rare[1]]).astype(np.int32), np.concatenate([train, train[owner]])]
+                columns = [np.concatenate([rows, rows[owner]]), np.concatenate([-1 - rows, own_hash]), np.concatenate([np.zeros(n, np.int64), times]).astype(np.int32), np.concatenate([train, train[owner]])]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), stats], ["row", "h", "tf", "train", "doc"])
                 assert total == len(columns[0])
 

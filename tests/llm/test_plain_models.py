@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folioscan.llm import langid, toxicity
+from folioscan.llm import langid, lm, toxicity
 
 
 def plain_grams(text, sizes, bits):
@@ -100,3 +100,31 @@ def test_labels_without_documents_leave_room(spark, prose):
     model = toxicity.learned(docs, labels, most=150)
     scores = toxicity.scored([r[1] for r in rows], model)
     assert np.mean((scores >= 0.7) == [r[0] % 2 == 1 for r in rows]) > 0.9
+
+
+def test_a_training_step_reads_only_its_own_classes():
+    """A class that is neither among the tokens nor in the noise has no part in a step: a sum of 0 squares would spoil it."""
+    share = np.array([0.4, 0.3, 0.0, 0.3])
+    state = lm.initial(share + 0.01)
+    for k in (5, 6, 9):
+        state[k][2] = 0.0
+    kept = [state[k][2].copy() for k in (0, 1, 4)]
+    with np.errstate(divide="ignore"):
+        lm.improve(state, np.array([0, 1, 3, 1]), np.array([4, 0, 1, 3]), np.array([4, 4, 0, 1]), share, np.random.default_rng(1))
+    assert all(np.isfinite(x).all() for x in state)
+    assert all(np.array_equal(state[k][2], x) for k, x in zip((0, 1, 4), kept, strict=True))
+
+
+def test_a_portion_of_texts_reads_the_rows_of_its_own_words():
+    import tracemalloc
+
+    words = [b"w%d" % k for k in range(100_000)]
+    model = lm.Model({lm.word_hash(w): k for k, w in enumerate(words[:5])}, *[np.zeros((1, 1), np.float32)] * 3)
+    seen = lm.Words(model, lm.Counts(9, 9, 1, {lm.word_hash(w): k for k, w in enumerate(words[:50])}))
+    ids = np.array([seen[w] for w in words])[[3, 7, 99_999, 3]]
+    tracemalloc.start()
+    kinds, counts, hashes = seen.tables(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (kinds.tolist(), counts.tolist()) == ([3, 6, 6, 3], [3, 7, -1, 3])
+    assert hashes.tolist() == [lm.word_hash(words[k]) for k in (3, 7, 99_999, 3)] and peak < 100_000
