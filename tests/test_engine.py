@@ -169,6 +169,18 @@ def test_quality_of_no_answer_queries(spark):
     assert got == {"q": (0.5, 0.5), "r": (0.0, 0.0)}
 
 
+def test_items_are_judged_by_words_split_once(spark):
+    docs = spark.createDataFrame([(1, "So THE Red fox runs far"), (2, "the red fox"), (3, "undered foxes"), (4, ""), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "the Red fox"), ("b", "ed fox"), ("c", "none of these"), ("d", "THE Red fox runs")], "item_id string, text string")
+    words = evaluation.words_of(docs, items)
+    of_documents = words._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[0]
+    assert of_documents.count("regexp_extract_all(") == 1
+    held = words.localCheckpoint()
+    assert sorted(map(tuple, evaluation.containing(docs, items, held).collect())) == [("b", 1), ("b", 2), ("b", 3), ("d", 1)]
+    found = {(r["item_id"], r["doc_id"]): (round(r["score"], 3), r["rank"]) for r in evaluation.retrieved(items, held, 5).collect()}
+    assert found == {("a", 1): (1.0, 1), ("a", 2): (1.0, 2), ("d", 1): (1.0, 1)}
+
+
 def test_files_and_generations(spark, tmp_path):
     root = tmp_path / "corpus"
     for name, body in {"a.md": "# A\nalpha\n", "sub/b.txt": "beta ü", "x.pem": "secret", ".env": "k=1", "node_modules/c.txt": "no", "img.png": "no"}.items():
