@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.catalog import ANSWERS, QUESTIONS
+from folioscan.catalog import ANSWERS, QUESTIONS, decision_rows
 from folioscan.operators import decisions, lines, outline
 
 
@@ -90,3 +90,9 @@ def test_deep_trees_merge_without_recursion(spark):
     rows = [(1, f"{i:04d}", f"{i - 1:04d}" if i else None, f"t{i}", 1, 3000 - i, 1, 3000 - i, None) for i in range(2500)]
     got = tree.merged(spark.createDataFrame(rows, tree.MERGED)).collect()
     assert len(got) >= 1 and sum(len(r["key_items"] or []) for r in got) + len(got) >= 2500
+
+
+def test_requests_are_dealt_over_tasks_whatever_the_files_row_groups(spark, data):
+    requests, responses = decision_rows(spark, data)
+    for rows in (requests, responses):
+        assert rows.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
