@@ -250,6 +250,7 @@ def links(documents: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, thre
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for all nodes of edges (a, b) but the roots."""
+    # Frames that a step reads several times are kept, or the plans of its joins hold them as often.
     pairs = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
@@ -258,9 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n"))
-        large = joined_by_size(both, least, ["a"], "_n").filter("b > a").select(F.col("b").alias("a"), F.least("_m", F.col("a")).alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        least = settle(both.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n")))
+        large = settle(joined_by_size(both, least, ["a"], "_n").filter("b > a").select(F.col("b").alias("a"), F.least("_m", F.col("a")).alias("b")).filter("a <> b").distinct())
+        least = settle(large.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n")))
         star = joined_by_size(large, least, ["a"], "_n")
         star = star.select(F.explode(F.array(F.struct(F.col("a"), F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e")).select("e.*")
         pairs = settle(star.filter("a <> b").distinct())

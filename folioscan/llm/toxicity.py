@@ -18,11 +18,13 @@ a word that is itself longer than that is cut.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,8 +177,19 @@ def learned(documents: DataFrame, labels: DataFrame, most: int = 5000, most_byte
     if sizes and not chosen:
         raise ValueError(f"none of {len(sizes)} labelled texts has at most {most_bytes} bytes")
     fits = documents.sparkSession.createDataFrame(chosen, "doc_id long, _hash long")
-    rows = texts.join(F.broadcast(fits), ["doc_id", "_hash"]).orderBy("_key", "doc_id", "_hash").select("text", "toxic").collect()
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    rows = texts.join(F.broadcast(fits), ["doc_id", "_hash"]).coalesce(1).sortWithinPartitions("_key", "doc_id", "_hash").select("text", "toxic")
+    fitted = train
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, toxic = [], []
+        for batch in batches:
+            kept += batch.column(0).to_pylist()
+            toxic += [int(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(kept, toxic))], pa.binary())], ["model"])
+
+    # One task trains, so that the driver gets the model and no texts.
+    model = rows.mapInArrow(trained, "model binary").first()
+    return pickle.loads(model["model"]) if model else train([], [])
 
 
 def with_score(df: DataFrame, model: Model, out: str = "score") -> DataFrame:

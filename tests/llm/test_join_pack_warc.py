@@ -349,3 +349,16 @@ def test_pipeline_of_odd_tables(spark, odd, clashing, odd_rows, none, prose, tmp
     wide.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {r["doc_id"] for r in out.select("doc_id").collect()} <= {r[0] for r in rows}
+
+
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    plans, settle = [], ngram_join.settle
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return settle(df)
+
+    monkeypatch.setattr(ngram_join, "settle", kept)
+    found = ngram_join.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)], "a long, b long"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(1, 41)} | {(i, 100) for i in range(101, 130)}
+    assert max(plans) <= 12  # over 20 when each frame held those that it was made of

@@ -5,10 +5,12 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import os
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.llm import langid, lm, subwords, toxicity
 
@@ -62,6 +64,17 @@ def test_one_long_text_does_not_end_the_training_rows(spark, odd, monkeypatch):
         toxicity.learned(docs, labels, most_bytes=2)
 
 
+def test_the_driver_does_not_train(spark, odd, monkeypatch):
+    labels = odd.filter("doc_id < 100").select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    expected = toxicity.learned(odd, labels)
+    rows = {r["doc_id"]: r for r in odd.join(labels, "doc_id").filter(~toxicity.held_out()).withColumn("_key", F.xxhash64(F.lit(17), F.col("doc_id"))).collect()}
+    order = sorted(rows.values(), key=lambda r: r["_key"])
+    plain = toxicity.train([r["text"] for r in order], [r["toxic"] for r in order])
+    assert (plain.weights == expected.weights).all() and plain.bias == expected.bias
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: os.getpid())
+    assert toxicity.learned(odd, labels) != os.getpid()
+
+
 def test_a_phrase_scores_alike_wherever_it_stands(labelled):
     """A phrase of two words, each common in clean texts, at every place; and across the cut of a very long text."""
     texts, y = [r[1] for r in labelled[:300]], [0] * 300
